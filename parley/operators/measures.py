@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from parley.functions.calendar import GRAINS
 from parley.functions.columns import safe_ratio
 from parley.operators.dimensions import RESOLUTION_STATUSES
-from parley.plans.rollup import user_conversations
+from parley.plans.rollup import KEYS, grain_partials, merge_partials, user_conversations
 
 BUCKET = ["grain", "bucket"]
 
@@ -61,8 +61,9 @@ def per_conversation(uc: DataFrame) -> DataFrame:
 def conversation_steps(uc: DataFrame, conv: DataFrame | None = None) -> DataFrame:
     """Each (user, conversation) row with its conversation's message count from all users.
 
-    An equi-join on (grain, bucket, conversation); with AQE a conversation
-    shared by very many users is split across tasks (skew join).
+    An equi-join on (grain, bucket, conversation); the conversation side is
+    already partitioned by that key, and with AQE a conversation shared by
+    very many users is split across tasks (skew join).
     """
     conv = per_conversation(uc) if conv is None else conv
     return (uc.select(*BUCKET, "user_id", "conversation_id",
@@ -95,8 +96,24 @@ def conversation_measures(conv: DataFrame) -> DataFrame:
                      *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES]))
 
 
+def measures_from_rows(rows: DataFrame) -> DataFrame:
+    """All ten measures from in-window hour partials (see ``plans.rollup.grain_rows``).
+
+    The conversation totals are grouped straight from the partials (users
+    collapse map-side) and the user-conversation table from the same
+    partials; neither is computed twice.
+    """
+    uc = merge_partials(rows, [*BUCKET, *KEYS])
+    conv = (rows.groupBy(*BUCKET, "conversation_id")
+                .agg(F.sum("n").alias("conv_n"),
+                     *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES]))
+    users = per_user(conversation_steps(uc, conv))
+    wide = conversation_measures(conv).join(user_measures(users), BUCKET)
+    return wide.select(*BUCKET, *[n for n, _ in MEASURES])
+
+
 def bucket_measures(uc: DataFrame) -> DataFrame:
-    """All ten measures, one row per (grain, bucket)."""
+    """All ten measures from a per-(grain, bucket, user, conversation) table."""
     conv = per_conversation(uc)
     users = per_user(conversation_steps(uc, conv))
     wide = conversation_measures(conv).join(user_measures(users), BUCKET)
@@ -106,7 +123,7 @@ def bucket_measures(uc: DataFrame) -> DataFrame:
 def multi_grain_measures(m: DataFrame, grains=GRAINS, newest: int | None = 30,
                          time_zone: str | None = None) -> DataFrame:
     """Messages -> the ten measures for the newest ``newest`` buckets of every grain."""
-    return bucket_measures(user_conversations(m, grains, newest, time_zone))
+    return measures_from_rows(grain_partials(m, grains, newest, time_zone))
 
 
 # --- single measures (each is the smallest plan that computes it) -----------
@@ -116,12 +133,12 @@ def message_totals(uc: DataFrame) -> DataFrame:
 
 
 def conversation_totals(uc: DataFrame) -> DataFrame:
-    return (uc.groupBy(*BUCKET, "conversation_id").agg()
+    return (uc.select(*BUCKET, "conversation_id").distinct()
               .groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("conversation_totals")))
 
 
 def user_totals(uc: DataFrame) -> DataFrame:
-    return (uc.groupBy(*BUCKET, "user_id").agg()
+    return (uc.select(*BUCKET, "user_id").distinct()
               .groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("user_totals")))
 
 

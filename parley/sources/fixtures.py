@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 
 from parley.functions.calendar import ntz_to_epoch_ms
 
+# Fixed values of the adapters (see FIXTURES.md section 4); "" is a blank
+# dimension, safari / tablet / bsd are deliberately unknown values.
+BROWSER_CYCLE = ("chrome", "firefox", "ie", "opera", "", "safari")
+DEVICE_CYCLE = ("apple", "android", "", "tablet")
+OS_CYCLE = ("linux", "windows", "macos", "", "bsd")
+EVENT_RESOLUTION = {"purchase": "resolved", "error": "escalated",
+                    "signup": "unresolved", "view": "abandoned", "click": ""}
+# conversations get synthetic arrival times: one hour per conversation id,
+# one minute per turn, from 2024-01-01T00:00:00Z
+CONVERSATION_EPOCH_MS = 1704067200000
+
 
 def _pick(key: Column, values: tuple[str, ...]) -> Column:
     """``values[key % len(values)]`` as a CASE expression."""
@@ -23,15 +34,6 @@ def _pick(key: Column, values: tuple[str, ...]) -> Column:
     return out
 
 
-# Fixed values of the adapters (see FIXTURES.md section 4); "" is a blank
-# dimension, safari / tablet / bsd are deliberately unknown values.
-BROWSER_CYCLE = ("chrome", "firefox", "ie", "opera", "", "safari")
-DEVICE_CYCLE = ("apple", "android", "", "tablet")
-OS_CYCLE = ("linux", "windows", "macos", "", "bsd")
-EVENT_RESOLUTION = {"purchase": "resolved", "error": "escalated",
-                    "signup": "unresolved", "view": "abandoned", "click": ""}
-
-
 def _event_resolution(event_type: Column) -> Column:
     out = F.lit("")
     for k, v in EVENT_RESOLUTION.items():
@@ -39,34 +41,37 @@ def _event_resolution(event_type: Column) -> Column:
     return out
 
 
+def event_columns() -> dict[str, Column]:
+    """Message fields as expressions over an ``events`` row."""
+    uid, eid = F.col("user_id"), F.col("event_id")
+    return {
+        "bot_id": F.concat(F.lit("bot-"), F.pmod(uid, F.lit(4)).cast("string")),
+        "dialog_id": F.concat(F.lit("dlg-"), F.pmod(uid, F.lit(16)).cast("string")),
+        "conversation_id": F.concat(F.lit("c"), F.pmod(uid, F.lit(64)).cast("string"),
+                                    F.lit("-"), F.dayofmonth("ts").cast("string")),
+        "dialog_node": F.concat(F.lit("node_"), F.col("event_type")),
+        "location_type": F.lit(""),
+        "user_location": F.lit(""),
+        "user_id": F.when(F.pmod(eid, F.lit(23)) == 0, F.lit("")).otherwise(uid.cast("string")),
+        "lp_chat_id": F.lit(""),
+        "browser": _pick(eid, BROWSER_CYCLE),
+        "device": _pick(eid, DEVICE_CYCLE),
+        "operating_system": _pick(eid, OS_CYCLE),
+        "channel": F.lit("web"),
+        "resolution_status": _event_resolution(F.col("event_type")),
+        "sentiment": F.lit(""),
+        "text": F.col("event_type"),
+        "intents": F.array(F.struct(F.col("event_type").alias("name"),
+                                    F.col("value").alias("confidence"))),
+        "entities": F.array(F.struct(F.lit("k").alias("name"),
+                                     F.get_json_object("props", "$.k").alias("value"))),
+        "timestamp": ntz_to_epoch_ms(F.col("ts")),
+    }
+
+
 def messages_from_events(events: DataFrame) -> DataFrame:
     """``events`` -> flat message rows (one bot response per event)."""
-    uid = F.col("user_id")
-    eid = F.col("event_id")
-    return events.select(
-        F.concat(F.lit("bot-"), F.pmod(uid, F.lit(4)).cast("string")).alias("bot_id"),
-        F.concat(F.lit("dlg-"), F.pmod(uid, F.lit(16)).cast("string")).alias("dialog_id"),
-        F.concat(F.lit("c"), F.pmod(uid, F.lit(64)).cast("string"), F.lit("-"),
-                 F.dayofmonth("ts").cast("string")).alias("conversation_id"),
-        F.concat(F.lit("node_"), F.col("event_type")).alias("dialog_node"),
-        F.lit("").alias("location_type"),
-        F.lit("").alias("user_location"),
-        F.when(F.pmod(eid, F.lit(23)) == 0, F.lit("")).otherwise(uid.cast("string"))
-         .alias("user_id"),
-        F.lit("").alias("lp_chat_id"),
-        _pick(eid, BROWSER_CYCLE).alias("browser"),
-        _pick(eid, DEVICE_CYCLE).alias("device"),
-        _pick(eid, OS_CYCLE).alias("operating_system"),
-        F.lit("web").alias("channel"),
-        _event_resolution(F.col("event_type")).alias("resolution_status"),
-        F.lit("").alias("sentiment"),
-        F.col("event_type").alias("text"),
-        F.array(F.struct(F.col("event_type").alias("name"),
-                         F.col("value").alias("confidence"))).alias("intents"),
-        F.array(F.struct(F.lit("k").alias("name"),
-                         F.get_json_object("props", "$.k").alias("value"))).alias("entities"),
-        ntz_to_epoch_ms(F.col("ts")).alias("timestamp"),
-    )
+    return events.select(*[e.alias(n) for n, e in event_columns().items()])
 
 
 def _order_resolution() -> Column:
@@ -116,3 +121,203 @@ def event_messages(spark, sf_dir: str) -> DataFrame:
 
 def order_messages(spark, sf_dir: str) -> DataFrame:
     return messages_from_orders(load_table(spark, sf_dir, "orders"))
+
+
+# --- payload builders (JSON records derived from the driver's tables) -------
+
+def _variant_string(s: Column) -> Column:
+    """A JSON string value as a variant (``s`` holds no quotes or backslashes)."""
+    return F.parse_json(F.concat(F.lit('"'), s, F.lit('"')))
+
+
+def _opt(value: Column) -> Column:
+    """Blank -> NULL, so the field is left out of the JSON."""
+    return F.when(value != F.lit(""), value)
+
+
+def response_records(events: DataFrame) -> DataFrame:
+    """``events`` -> typed ``(event_id, key, response, timestamp)`` bot-response records.
+
+    Variations keyed on ``event_id`` exercise every decode path: no key on
+    every 17th; text of one or two lines; ``output.text`` as array, string or
+    absent; action args as ``{"variables": [..]}``, as a string map, or
+    absent; an empty dialog stack (every 29th) and bare-string stack items
+    (every 31st); absent optional context fields; a layout on every 5th; no
+    intents on every 10th, no entities on every 10th+5; a free-form ``data``.
+    """
+    c = event_columns()
+    eid, et = F.col("event_id"), F.col("event_type")
+    stack = (F.when(F.pmod(eid, F.lit(29)) == 0, F.array().cast("array<variant>"))
+              .when(F.pmod(eid, F.lit(31)) == 0, F.array(_variant_string(c["dialog_node"])))
+              .otherwise(F.array(F.parse_json(F.to_json(
+                  F.struct(c["dialog_node"].alias("dialog_node")))))))
+    context = F.struct(
+        c["conversation_id"].alias("conversation_id"),
+        F.struct((F.pmod(eid, F.lit(7)) + 1).cast("int").alias("dialog_request_counter"),
+                 stack.alias("dialog_stack"),
+                 F.lit(1).alias("dialog_turn_counter")).alias("system"),
+        _opt(c["user_id"]).alias("user_id"),
+        _opt(c["browser"]).alias("browser"),
+        _opt(c["device"]).alias("device"),
+        _opt(c["operating_system"]).alias("operating_system"),
+        c["channel"].alias("channel"),
+        _opt(c["resolution_status"]).alias("resolution_status"),
+    )
+    k3, k4 = F.pmod(eid, F.lit(3)), F.pmod(eid, F.lit(4))
+    output_text = (F.when(k3 == 0, F.parse_json(F.to_json(F.array(et, F.lit("out")))))
+                    .when(k3 == 1, _variant_string(et)))
+    args = (F.when(k4 == 0, F.parse_json(F.to_json(
+                F.struct(F.array(et, F.lit("k")).alias("variables")))))
+             .when(k4 == 1, F.parse_json(F.to_json(F.create_map(F.lit("event"), et)))))
+    action = F.when(k4 != 3, F.struct(
+        F.when(k4 == 2, F.lit("noop")).otherwise(F.lit("lookup")).alias("name"),
+        args.alias("args")))
+    message = F.struct(
+        context.alias("context"),
+        F.array(F.create_map(F.lit("props"), F.col("props"))).alias("data"),
+        action.alias("action"),
+        F.when(F.pmod(eid, F.lit(10)) != 5, F.array(F.struct(
+            F.lit("k").alias("entity"), F.array(F.lit("0"), F.lit("1")).alias("location"),
+            F.get_json_object("props", "$.k").alias("value")))).alias("entities"),
+        F.when(F.pmod(eid, F.lit(10)) != 0, F.array(F.struct(
+            F.col("value").alias("confidence"), et.alias("intent")))).alias("intents"),
+        F.when(F.pmod(eid, F.lit(5)) == 0, F.struct(
+            F.lit("form").alias("name"), F.lit("0").alias("index"))).alias("layout"),
+        F.when(k3 != 2, F.struct(output_text.alias("text"))).alias("output"),
+        F.when(F.pmod(eid, F.lit(2)) == 0, F.array(et, F.lit("again")))
+         .otherwise(F.array(et)).alias("text"),
+    )
+    return events.select(
+        eid.alias("event_id"),
+        F.when(F.pmod(eid, F.lit(17)) != 0, F.concat(F.lit("k"), eid.cast("string"))).alias("key"),
+        F.struct(c["bot_id"].alias("bot_id"), c["dialog_id"].alias("dialog_id"),
+                 message.alias("message")).alias("response"),
+        c["timestamp"].alias("timestamp"),
+    )
+
+
+def response_payloads(events: DataFrame) -> DataFrame:
+    """``events`` -> ``(event_id, key, value)`` JSON bot-response payloads ``{response, timestamp}``."""
+    rec = response_records(events)
+    return rec.select("event_id", "key",
+                      F.to_json(F.struct("response", "timestamp")).alias("value"))
+
+
+def damaged_payloads(events: DataFrame) -> DataFrame:
+    """Bot-response payloads of which some are damaged, by ``event_id % 13``.
+
+    1 -> text cut short (not JSON); 2 -> no ``conversation_id``;
+    3 -> ``timestamp`` is a string; 4 -> an intent without ``confidence``;
+    any other value -> intact.
+    """
+    rec = response_records(events)
+    k = F.pmod(F.col("event_id"), F.lit(13))
+    msg = F.col("response.message")
+    ctx = msg["context"]
+    msg = (msg.withField("context", ctx.withField(
+                "conversation_id", F.when(k != 2, ctx["conversation_id"])))
+              .withField("intents", F.when(k == 4, F.array(F.struct(
+                  F.lit(None).cast("double").alias("confidence"),
+                  F.lit("lost").alias("intent")))).otherwise(msg["intents"])))
+    resp = F.col("response").withField("message", msg).alias("response")
+    text = F.when(k == 3, F.to_json(F.struct(
+                resp, F.concat(F.lit("t"), F.col("timestamp").cast("string")).alias("timestamp"))))
+    text = text.otherwise(F.to_json(F.struct(resp, F.col("timestamp"))))
+    value = F.when(k == 1, F.left(text, F.length(text) - F.lit(7))).otherwise(text)
+    return rec.select("event_id", "key", value.alias("value"))
+
+
+def _conversation_time() -> tuple[Column, Column]:
+    ms = (F.lit(CONVERSATION_EPOCH_MS) + F.col("conv_id") * F.lit(3600000)
+          + F.col("turn") * F.lit(60000)).cast("bigint")
+    time = F.date_format(F.timestamp_add("MILLISECOND", ms,
+                                         F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")),
+                         "yyyy-MM-dd'T'HH:mm:ss")
+    return ms, time
+
+
+def conversation_user_id() -> Column:
+    return F.concat(F.lit("u"), F.pmod(F.col("conv_id"), F.lit(37)).cast("string"))
+
+
+def user_message_records(conversations: DataFrame) -> DataFrame:
+    """``conversations`` rows with role ``user`` -> typed ``(conv_id, turn, user, utterance)``."""
+    ms, time = _conversation_time()
+    uid = conversation_user_id()
+    k = F.pmod(F.col("conv_id"), F.lit(37)).cast("string")
+    locale = F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")),
+                          (F.pmod(F.col("turn"), F.lit(3)) + 1).cast("int"))
+    user = F.struct(uid.alias("id"), F.concat(F.lit("First"), k).alias("firstName"),
+                    F.concat(F.lit("Last"), k).alias("lastName"),
+                    F.concat(F.lit("https://img.example/"), k).alias("picture"),
+                    locale.alias("locale"),
+                    (F.pmod(F.col("conv_id"), F.lit(24)) - 12).cast("int").alias("timezone"),
+                    F.when(F.pmod(F.col("conv_id"), F.lit(2)) == 0, "f").otherwise("m")
+                     .alias("gender"))
+    utterance = F.struct(
+        F.lit("text").alias("messageType"), uid.alias("sender"), F.col("text").alias("text"),
+        F.struct(F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("name"),
+                 (F.lit(0.5) + F.col("turn") / F.lit(100)).alias("confidence")).alias("intent"),
+        F.array(F.struct(F.lit("role").alias("name"), F.col("role").alias("value")))
+         .alias("entities"),
+        ms.alias("timestamp"), time.alias("time"))
+    return (conversations.where(F.col("role") == "user")
+            .select("conv_id", "turn", user.alias("user"), utterance.alias("utterance")))
+
+
+def system_text_records(conversations: DataFrame) -> DataFrame:
+    """``conversations`` rows with role ``assistant``/``system`` -> system text messages."""
+    ms, time = _conversation_time()
+    node = F.concat(F.lit("node_"), F.col("turn").cast("string"))
+    return (conversations.where(F.col("role").isin("assistant", "system"))
+            .select("conv_id", "turn",
+                    F.lit("text").alias("messageType"),
+                    conversation_user_id().alias("recipient"),
+                    F.col("text"), node.alias("node"),
+                    F.when(F.col("role") == "system", F.lit("system")).alias("nodeType"),
+                    F.when(F.col("turn") > 0, F.concat(F.lit("node_"),
+                           (F.col("turn") - 1).cast("string"))).alias("parent"),
+                    F.lit("main").alias("flow"),
+                    F.array(F.lit("main"), node).alias("path"),
+                    ms.alias("timestamp"), time.alias("time")))
+
+
+def user_message_payloads(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, key, value)`` JSON user messages."""
+    rec = user_message_records(conversations)
+    return rec.select("conv_id", "turn",
+                      F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("-"),
+                               F.col("turn").cast("string")).alias("key"),
+                      F.to_json(F.struct("user", "utterance")).alias("value"))
+
+
+def system_text_payloads(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, key, value)`` JSON system text messages."""
+    rec = system_text_records(conversations)
+    fields = [c for c in rec.columns if c not in ("conv_id", "turn")]
+    return rec.select("conv_id", "turn",
+                      F.concat(F.lit("s"), F.col("conv_id").cast("string"), F.lit("-"),
+                               F.col("turn").cast("string")).alias("key"),
+                      F.to_json(F.struct(*fields)).alias("value"))
+
+
+def request_payloads(events: DataFrame) -> DataFrame:
+    """``events`` -> ``(event_id, key, value)`` JSON bot-request payloads.
+
+    ``message.userID`` is left out for anonymous rows; ``message.context`` is
+    sent on every 3rd event.
+    """
+    c = event_columns()
+    eid = F.col("event_id")
+    context = F.when(F.pmod(eid, F.lit(3)) == 0, F.struct(
+        c["conversation_id"].alias("conversation_id"),
+        F.struct(F.lit(1).alias("dialog_request_counter"),
+                 F.array().cast("array<variant>").alias("dialog_stack"),
+                 F.lit(1).alias("dialog_turn_counter")).alias("system")))
+    message = F.struct(F.col("event_type").alias("message"),
+                       _opt(c["user_id"]).alias("userID"), context.alias("context"))
+    body = F.struct(c["bot_id"].alias("bot_id"), c["dialog_id"].alias("dialog_id"),
+                    message.alias("message"), c["timestamp"].alias("timestamp"))
+    return events.select(eid.alias("event_id"),
+                         F.concat(F.lit("q"), eid.cast("string")).alias("key"),
+                         F.to_json(body).alias("value"))
