@@ -41,4 +41,4 @@ def round_measures(df: DataFrame) -> DataFrame:
 
 def _load_all() -> None:
     # importing the modules runs their ``register`` decorators
-    from parley.plans import queries_measures  # noqa: F401
+    from parley.plans import queries_measures, queries_trends  # noqa: F401
