@@ -44,7 +44,8 @@ def flatten(decoded: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def response_layout(decoded: DataFrame) -> DataFrame:
+def response_layout(decoded: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per response, the layout widget name (``"none"`` without a layout)."""
-    return decoded.select(layout_name(F.col("response")["message"]["layout"]).alias("layout_name"),
+    return decoded.select(*(keep or []),
+                          layout_name(F.col("response")["message"]["layout"]).alias("layout_name"),
                           F.col("timestamp"))

@@ -6,6 +6,7 @@ Used only by the oracle queries that cross-check the Spark plans.
 EVENT_MESSAGES = """
 event_messages AS (
   SELECT
+    event_id,
     'bot-' || CAST(user_id % 4 AS VARCHAR) AS bot_id,
     'dlg-' || CAST(user_id % 16 AS VARCHAR) AS dialog_id,
     'c' || CAST(user_id % 64 AS VARCHAR) || '-' || CAST(day(ts) AS VARCHAR) AS conversation_id,

@@ -56,6 +56,10 @@ def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
     Adds the record's top-level fields plus ``decode_error``: NULL for a good
     record, ``"malformed"`` for text that is not JSON of the declared types,
     else ``"missing:<path>"`` naming the first absent required field.
+
+    The parse sits in a one-element ``explode`` (a Generate node): filters on
+    the decoded fields cannot be pushed beneath it, so ``from_json`` runs once
+    per record instead of once per field a filter mentions.
     """
     ddl = _KIND_SCHEMAS[kind]
     parsed = F.from_json(F.col(value_col), f"{ddl}, {CORRUPT} string",
@@ -67,7 +71,7 @@ def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
     error = F.when(F.col(value_col).isNull() | rec[CORRUPT].isNotNull(), F.lit("malformed")) \
              .otherwise(F.coalesce(*missing))
     fields = [f.split(" ", 1)[0] for f in _split_top(ddl)]
-    return (df.withColumn("__rec", parsed)
+    return (df.select("*", F.explode(F.array(parsed)).alias("__rec"))
               .select(*[c for c in df.columns], *[rec[f].alias(f) for f in fields],
                       error.alias(ERROR)))
 

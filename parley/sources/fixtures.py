@@ -223,8 +223,10 @@ def damaged_payloads(events: DataFrame) -> DataFrame:
     text = F.when(k == 3, F.to_json(F.struct(
                 resp, F.concat(F.lit("t"), F.col("timestamp").cast("string")).alias("timestamp"))))
     text = text.otherwise(F.to_json(F.struct(resp, F.col("timestamp"))))
-    value = F.when(k == 1, F.left(text, F.length(text) - F.lit(7))).otherwise(text)
-    return rec.select("event_id", "key", value.alias("value"))
+    out = rec.select("event_id", "key", k.alias("k"), text.alias("text"))
+    t = F.col("text")
+    value = F.when(F.col("k") == 1, F.left(t, F.length(t) - F.lit(7))).otherwise(t)
+    return out.select("event_id", "key", value.alias("value"))
 
 
 def _conversation_time() -> tuple[Column, Column]:
