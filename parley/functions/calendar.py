@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 # Grain names, coarsest first, as used for the series keys.
 GRAINS = ("year", "qtr", "month", "week", "day", "hour")
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def epoch_ms_to_local(ms: Column, time_zone: str | None = "UTC") -> Column:
     """Epoch milliseconds -> wall-clock ``timestamp_ntz`` in ``time_zone``."""
-    utc = F.timestamp_add("MILLISECOND", ms, _EPOCH)
+    utc = F.timestamp_add("MILLISECOND", ms, _epoch())
     if time_zone in (None, "UTC", "Z", "+00:00", "GMT", "Etc/UTC"):
         return utc
     return F.convert_timezone(F.lit("UTC"), F.lit(time_zone), utc)
@@ -26,7 +28,7 @@ def epoch_ms_to_local(ms: Column, time_zone: str | None = "UTC") -> Column:
 
 def ntz_to_epoch_ms(ts: Column) -> Column:
     """Wall-clock UTC ``timestamp_ntz`` -> epoch milliseconds, floored."""
-    micros = F.timestamp_diff("MICROSECOND", _EPOCH, ts)
+    micros = F.timestamp_diff("MICROSECOND", _epoch(), ts)
     # an exact multiple of 1000 below 2**53 divides exactly in double arithmetic
     return ((micros - F.pmod(micros, F.lit(1000))) / F.lit(1000)).cast("bigint")
 

@@ -21,15 +21,20 @@ OS_WEIGHTS = (("linux", .33), ("windows", .34), ("macos", .33))
 RESOLUTION_WEIGHTS = (("resolved", .5), ("unresolved", .25), ("abandoned", .17), ("escalated", .08))
 STATUS_PRESENT_ABOVE = .75
 
-HASH_MULTIPLIER = 2654435761
+# Odd 32-bit multipliers, one per draw stream; stream 0 is the classic
+# golden-ratio multiplicative hash.  Distinct multipliers (not key offsets,
+# which would only shift one stream against another) keep the draws of one
+# key from moving together.
+HASH_MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 HASH_MODULUS = 4294967296
-STREAM_STRIDE = 1000003
 
 
 def uniform(key: Column, stream: int = 0) -> Column:
-    """A number in [0, 1) from an integer key; ``stream`` gives independent draws."""
-    k = (key.cast("decimal(20,0)") + F.lit(stream * STREAM_STRIDE)).cast("decimal(20,0)")
-    h = F.pmod(k * F.lit(HASH_MULTIPLIER), F.lit(HASH_MODULUS))
+    """A number in [0, 1) from an integer key: ``(key * P[stream]) mod 2**32 / 2**32``.
+
+    Exact decimal arithmetic, so any engine with wide integers agrees.
+    """
+    h = F.pmod(key.cast("decimal(20,0)") * F.lit(HASH_MULTIPLIERS[stream]), F.lit(HASH_MODULUS))
     return h.cast("double") / F.lit(float(HASH_MODULUS))
 
 

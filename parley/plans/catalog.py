@@ -41,4 +41,6 @@ def round_measures(df: DataFrame) -> DataFrame:
 
 def _load_all() -> None:
     # importing the modules runs their ``register`` decorators
-    from parley.plans import queries_codec, queries_measures, queries_trends  # noqa: F401
+    from parley.plans import (  # noqa: F401
+        queries_codec, queries_generate, queries_measures, queries_streaming, queries_trends,
+    )

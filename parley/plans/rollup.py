@@ -121,6 +121,16 @@ def grain_partials(m: DataFrame, grains=GRAINS, newest: int | None = 30,
     return grain_rows(partials, newest_cutoffs(partials, newest, grains))
 
 
+def rows_from_partial_log(log: DataFrame, grains=GRAINS, newest: int | None = 30) -> DataFrame:
+    """An append-only log of hour partials (one slice per micro-batch) -> in-window rows.
+
+    Slices may repeat an (hour, user, conversation) key; the partials are
+    mergeable, so they are combined first.
+    """
+    partials = materialize(merge_partials(log, ["bucket", *KEYS]), "hour-partials")
+    return grain_rows(partials, newest_cutoffs(partials, newest, grains))
+
+
 def user_conversations(m: DataFrame, grains=GRAINS, newest: int | None = 30,
                        time_zone: str | None = None) -> DataFrame:
     """Messages -> ``(grain, bucket, user_id, conversation_id, n, first_ms, last_ms, <statuses>)``.
