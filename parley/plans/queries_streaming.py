@@ -36,7 +36,7 @@ def _run_ingest(spark, sf_dir, with_partials: bool = False):
     store, quarantine = scratch_path(spark, "store"), scratch_path(spark, "quarantine")
     log = scratch_path(spark, "partials")
     sinks = [partials_sink(log)] if with_partials else None
-    q = ingest_responses(text_stream(spark, drop, max_files_per_trigger=2), store,
+    q = ingest_responses(text_stream(spark, drop), store,
                          scratch_path(spark, "ckpt"), quarantine,
                          trigger={"availableNow": True}, extra_sinks=sinks)
     q.awaitTermination()
