@@ -24,7 +24,7 @@ resolved .. escalated          messages with that status and allowed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.calendar import GRAINS
@@ -52,72 +52,81 @@ DOUBLE_MEASURES = [n for n, k in MEASURES if k == "double"]
 
 
 def per_conversation(uc: DataFrame) -> DataFrame:
-    """``(grain, bucket, conversation_id) -> conv_n, <statuses>``: messages from all users."""
+    """``(grain, bucket, conversation_id) -> conv_n, rep_user, <statuses>``.
+
+    ``conv_n`` counts the conversation's messages from all users; ``rep_user``
+    (the smallest user id in it) marks one representative (user,
+    conversation) row, so conversation-level totals can ride along a
+    per-user aggregation without being counted once per user.
+    """
     return (uc.groupBy(*BUCKET, "conversation_id")
               .agg(F.sum("n").alias("conv_n"),
+                   F.min("user_id").alias("rep_user"),
                    *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES]))
 
 
 def conversation_steps(uc: DataFrame, conv: DataFrame | None = None) -> DataFrame:
-    """Each (user, conversation) row with its conversation's message count from all users.
+    """Each (user, conversation) row with its conversation's totals from all users.
 
-    An equi-join on (grain, bucket, conversation); the conversation side is
-    already partitioned by that key, and with AQE a conversation shared by
-    very many users is split across tasks (skew join).
+    An equi-join on (grain, bucket, conversation).  Spark broadcasts the
+    conversation side only when its measured size is under the broadcast
+    threshold; otherwise both sides shuffle on the key and AQE splits a
+    conversation shared by very many users across tasks (skew join).
     """
     conv = per_conversation(uc) if conv is None else conv
     return (uc.select(*BUCKET, "user_id", "conversation_id",
                       (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"))
-              .join(conv.select(*BUCKET, "conversation_id", "conv_n"),
-                    [*BUCKET, "conversation_id"]))
+              .join(conv, [*BUCKET, "conversation_id"]))
+
+
+def _rep(value) -> Column:
+    """``value`` on the conversation's representative row, else 0."""
+    is_rep = F.col("user_id").eqNullSafe(F.col("rep_user"))
+    return F.when(is_rep, value).otherwise(F.lit(0))
 
 
 def per_user(steps: DataFrame) -> DataFrame:
-    """``(grain, bucket, user_id) -> conversations, mean session ms, mean steps``."""
+    """``(grain, bucket, user_id)`` -> conversations, mean session ms, mean steps,
+    plus the conversation totals of the conversations this user represents."""
     return (steps.groupBy(*BUCKET, "user_id")
                  .agg(F.count(F.lit(1)).alias("conversations"),
                       F.avg("duration_ms").alias("session_ms"),
-                      F.avg("conv_n").alias("steps")))
+                      F.avg("conv_n").alias("steps"),
+                      F.sum(_rep(F.col("conv_n"))).alias("rep_messages"),
+                      F.sum(_rep(F.lit(1))).alias("rep_conversations"),
+                      *[F.sum(_rep(F.col(s))).alias(f"rep_{s}") for s in RESOLUTION_STATUSES]))
 
 
 def user_measures(users: DataFrame) -> DataFrame:
+    """Per (grain, bucket): all ten measures from the per-user rows."""
     return (users.groupBy(*BUCKET)
                  .agg(F.count(F.lit(1)).alias("user_totals"),
                       safe_ratio(F.sum("conversations"), F.count(F.lit(1)))
                       .alias("conversations_per_user_avg"),
                       F.avg("session_ms").alias("session_length_avg"),
-                      F.avg("steps").alias("steps_per_user_avg")))
-
-
-def conversation_measures(conv: DataFrame) -> DataFrame:
-    return (conv.groupBy(*BUCKET)
-                .agg(F.sum("conv_n").alias("message_totals"),
-                     F.count(F.lit(1)).alias("conversation_totals"),
-                     *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES]))
+                      F.avg("steps").alias("steps_per_user_avg"),
+                      F.sum("rep_messages").cast("bigint").alias("message_totals"),
+                      F.sum("rep_conversations").cast("bigint").alias("conversation_totals"),
+                      *[F.sum(f"rep_{s}").cast("bigint").alias(s) for s in RESOLUTION_STATUSES]))
 
 
 def measures_from_rows(rows: DataFrame) -> DataFrame:
     """All ten measures from in-window hour partials (see ``plans.rollup.grain_rows``).
 
-    The conversation totals are grouped straight from the partials (users
-    collapse map-side) and the user-conversation table from the same
-    partials; neither is computed twice.
+    One chain: the (user, conversation) table and the conversation totals
+    are both grouped straight from the partials (users collapse map-side in
+    the latter), joined once, then reduced per user and per bucket.
     """
     uc = merge_partials(rows, [*BUCKET, *KEYS])
-    conv = (rows.groupBy(*BUCKET, "conversation_id")
-                .agg(F.sum("n").alias("conv_n"),
-                     *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES]))
+    conv = per_conversation(rows)
     users = per_user(conversation_steps(uc, conv))
-    wide = conversation_measures(conv).join(user_measures(users), BUCKET)
-    return wide.select(*BUCKET, *[n for n, _ in MEASURES])
+    return user_measures(users).select(*BUCKET, *[n for n, _ in MEASURES])
 
 
 def bucket_measures(uc: DataFrame) -> DataFrame:
     """All ten measures from a per-(grain, bucket, user, conversation) table."""
-    conv = per_conversation(uc)
-    users = per_user(conversation_steps(uc, conv))
-    wide = conversation_measures(conv).join(user_measures(users), BUCKET)
-    return wide.select(*BUCKET, *[n for n, _ in MEASURES])
+    users = per_user(conversation_steps(uc))
+    return user_measures(users).select(*BUCKET, *[n for n, _ in MEASURES])
 
 
 def multi_grain_measures(m: DataFrame, grains=GRAINS, newest: int | None = 30,
@@ -165,8 +174,8 @@ def resolution_totals(uc: DataFrame) -> DataFrame:
 
 
 def messages_per_conversation(uc: DataFrame) -> DataFrame:
-    return per_conversation(uc).select(*BUCKET, "conversation_id",
-                                       F.col("conv_n").alias("messages"))
+    return (uc.groupBy(*BUCKET, "conversation_id")
+              .agg(F.sum("n").alias("messages")))
 
 
 def user_conversation_sessions(uc: DataFrame) -> DataFrame:
