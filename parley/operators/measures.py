@@ -24,13 +24,14 @@ resolved .. escalated          messages with that status and allowed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.calendar import GRAINS
 from parley.functions.columns import safe_ratio
 from parley.operators.dimensions import RESOLUTION_STATUSES
 from parley.plans.rollup import KEYS, grain_partials, merge_partials, user_conversations
+from parley.plans.stages import materialize
 
 BUCKET = ["grain", "bucket"]
 
@@ -51,22 +52,18 @@ INT_MEASURES = [n for n, k in MEASURES if k == "int"]
 DOUBLE_MEASURES = [n for n, k in MEASURES if k == "double"]
 
 
-def per_conversation(uc: DataFrame) -> DataFrame:
-    """``(grain, bucket, conversation_id) -> conv_n, rep_user, <statuses>``.
+def per_conversation(rows: DataFrame) -> DataFrame:
+    """``(grain, bucket, conversation_id) -> conv_n``: the conversation's messages from all users.
 
-    ``conv_n`` counts the conversation's messages from all users; ``rep_user``
-    (the smallest user id in it) marks one representative (user,
-    conversation) row, so conversation-level totals can ride along a
-    per-user aggregation without being counted once per user.
+    ``rows`` may be (user, conversation) partials or finer (hour) partials;
+    the sum is the same.  Only fixed-width aggregates, so Spark keeps a hash
+    aggregate with a map-side combine.
     """
-    return (uc.groupBy(*BUCKET, "conversation_id")
-              .agg(F.sum("n").alias("conv_n"),
-                   F.min("user_id").alias("rep_user"),
-                   *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES]))
+    return rows.groupBy(*BUCKET, "conversation_id").agg(F.sum("n").alias("conv_n"))
 
 
 def conversation_steps(uc: DataFrame, conv: DataFrame | None = None) -> DataFrame:
-    """Each (user, conversation) row with its conversation's totals from all users.
+    """Each (user, conversation) row with its conversation's message count from all users.
 
     An equi-join on (grain, bucket, conversation).  Spark broadcasts the
     conversation side only when its measured size is under the broadcast
@@ -74,59 +71,67 @@ def conversation_steps(uc: DataFrame, conv: DataFrame | None = None) -> DataFram
     conversation shared by very many users across tasks (skew join).
     """
     conv = per_conversation(uc) if conv is None else conv
-    return (uc.select(*BUCKET, "user_id", "conversation_id",
+    return (uc.select(*BUCKET, "user_id", "conversation_id", "n",
+                      *[c for c in RESOLUTION_STATUSES if c in uc.columns],
                       (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"))
-              .join(conv, [*BUCKET, "conversation_id"]))
-
-
-def _rep(value) -> Column:
-    """``value`` on the conversation's representative row, else 0."""
-    is_rep = F.col("user_id").eqNullSafe(F.col("rep_user"))
-    return F.when(is_rep, value).otherwise(F.lit(0))
+              .join(conv.select(*BUCKET, "conversation_id", "conv_n"),
+                    [*BUCKET, "conversation_id"]))
 
 
 def per_user(steps: DataFrame) -> DataFrame:
     """``(grain, bucket, user_id)`` -> conversations, mean session ms, mean steps,
-    plus the conversation totals of the conversations this user represents."""
+    and the user's own message and resolution counts (exact sums)."""
     return (steps.groupBy(*BUCKET, "user_id")
                  .agg(F.count(F.lit(1)).alias("conversations"),
                       F.avg("duration_ms").alias("session_ms"),
                       F.avg("conv_n").alias("steps"),
-                      F.sum(_rep(F.col("conv_n"))).alias("rep_messages"),
-                      F.sum(_rep(F.lit(1))).alias("rep_conversations"),
-                      *[F.sum(_rep(F.col(s))).alias(f"rep_{s}") for s in RESOLUTION_STATUSES]))
+                      F.sum("n").alias("messages"),
+                      *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES if s in steps.columns]))
 
 
 def user_measures(users: DataFrame) -> DataFrame:
-    """Per (grain, bucket): all ten measures from the per-user rows."""
+    """Per (grain, bucket): the user-based measures and the message/resolution totals."""
     return (users.groupBy(*BUCKET)
                  .agg(F.count(F.lit(1)).alias("user_totals"),
                       safe_ratio(F.sum("conversations"), F.count(F.lit(1)))
                       .alias("conversations_per_user_avg"),
                       F.avg("session_ms").alias("session_length_avg"),
                       F.avg("steps").alias("steps_per_user_avg"),
-                      F.sum("rep_messages").cast("bigint").alias("message_totals"),
-                      F.sum("rep_conversations").cast("bigint").alias("conversation_totals"),
-                      *[F.sum(f"rep_{s}").cast("bigint").alias(s) for s in RESOLUTION_STATUSES]))
+                      F.sum("messages").alias("message_totals"),
+                      *[F.sum(s).alias(s) for s in RESOLUTION_STATUSES if s in users.columns]))
+
+
+def conversation_counts(conv: DataFrame) -> DataFrame:
+    """Per (grain, bucket): distinct conversations = conversation rows."""
+    return conv.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("conversation_totals"))
+
+
+def _assemble(uc: DataFrame, conv: DataFrame) -> DataFrame:
+    users = per_user(conversation_steps(uc, conv))
+    wide = user_measures(users).join(conversation_counts(conv), BUCKET)
+    return wide.select(*BUCKET, *[n for n, _ in MEASURES])
 
 
 def measures_from_rows(rows: DataFrame) -> DataFrame:
     """All ten measures from in-window hour partials (see ``plans.rollup.grain_rows``).
 
-    One chain: the (user, conversation) table and the conversation totals
-    are both grouped straight from the partials (users collapse map-side in
-    the latter), joined once, then reduced per user and per bucket.
+    The conversation totals are grouped from the partials (users collapse
+    map-side) and written once to the shared checkpoint folder; the
+    (user, conversation) table is grouped from the same partials and joined
+    to them.  Reading the totals from files puts a plain shuffle under both
+    join inputs, which is what lets AQE split a conversation shared by very
+    many users across tasks (or broadcast the totals when they are small).
+    Per-user and per-bucket steps are partial aggregates; message and
+    resolution totals are exact sums over the (user, conversation) rows,
+    which partition the messages.
     """
-    uc = merge_partials(rows, [*BUCKET, *KEYS])
-    conv = per_conversation(rows)
-    users = per_user(conversation_steps(uc, conv))
-    return user_measures(users).select(*BUCKET, *[n for n, _ in MEASURES])
+    conv = materialize(per_conversation(rows), "conversation-totals")
+    return _assemble(merge_partials(rows, [*BUCKET, *KEYS]), conv)
 
 
 def bucket_measures(uc: DataFrame) -> DataFrame:
     """All ten measures from a per-(grain, bucket, user, conversation) table."""
-    users = per_user(conversation_steps(uc))
-    return user_measures(users).select(*BUCKET, *[n for n, _ in MEASURES])
+    return _assemble(uc, per_conversation(uc))
 
 
 def multi_grain_measures(m: DataFrame, grains=GRAINS, newest: int | None = 30,
@@ -174,8 +179,7 @@ def resolution_totals(uc: DataFrame) -> DataFrame:
 
 
 def messages_per_conversation(uc: DataFrame) -> DataFrame:
-    return (uc.groupBy(*BUCKET, "conversation_id")
-              .agg(F.sum("n").alias("messages")))
+    return per_conversation(uc).withColumnRenamed("conv_n", "messages")
 
 
 def user_conversation_sessions(uc: DataFrame) -> DataFrame:
