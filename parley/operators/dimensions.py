@@ -67,16 +67,19 @@ def dimension_cube(m: DataFrame, grains=None, newest: int | None = 30,
                    time_zone: str | None = None) -> DataFrame:
     """Messages per (grain, bucket, resolution, browser, device, os), newest buckets only.
 
-    Hour-level counts per dimension tuple are combined map-side first; the
-    (small) hour table is then expanded to the in-window buckets of each grain.
+    Hour-level counts per dimension tuple are combined map-side first and
+    written once (their size is bounded by hours x dimension tuples, not by
+    messages); the cut-offs and the expansion to the in-window buckets of
+    each grain both read that small table, so the messages are scanned once.
     """
     from parley.functions.calendar import GRAINS, bucket_start, epoch_ms_to_local
     from parley.plans.rollup import grain_rows, newest_cutoffs, session_time_zone
+    from parley.plans.stages import materialize
     grains = grains or GRAINS
     tz = time_zone or session_time_zone(m)
     hour = bucket_start("hour", epoch_ms_to_local(F.col("timestamp"), tz))
-    hourly = (m.groupBy(hour.alias("bucket"), *DIMENSIONS)
-               .agg(F.count(F.lit(1)).alias("messages")))
+    hourly = materialize(m.groupBy(hour.alias("bucket"), *DIMENSIONS)
+                          .agg(F.count(F.lit(1)).alias("messages")), "hourly-cube")
     rows = grain_rows(hourly, newest_cutoffs(hourly, newest, grains), [*DIMENSIONS, "messages"])
     return (rows.groupBy("grain", "bucket", *DIMENSIONS)
                 .agg(F.sum("messages").alias("messages")))

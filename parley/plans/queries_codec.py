@@ -227,12 +227,13 @@ def topic_fanout(spark, sf_dir):
 SELECT 'wvaSystemMessages' AS topic, 'response' AS kind, event_id FROM events
 UNION ALL SELECT 'wvaUserMessages' AS topic, 'request' AS kind, event_id FROM events""")
 def route_topic(spark, sf_dir):
-    """Requests and responses routed to their own topics by payload kind."""
+    """Requests and responses routed to their own topics by payload kind (one scan)."""
     e = _events(spark, sf_dir)
-    both = (X.response_payloads(e).select("event_id", "value", F.lit("response").alias("kind"))
-            .unionByName(X.request_payloads(e).select("event_id", "value",
-                                                      F.lit("request").alias("kind"))))
-    return both.select(TP.route(F.col("kind")).alias("topic"), "kind", "event_id")
+    kinds = F.array(
+        F.struct(F.lit("response").alias("kind"), X.response_value().alias("value")),
+        F.struct(F.lit("request").alias("kind"), X.request_value().alias("value")))
+    rows = e.select("event_id", F.inline(kinds))
+    return rows.select(TP.route(F.col("kind")).alias("topic"), "kind", "event_id")
 
 
 @register("scan_messages", f"""

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from parley.operators import measures as M
 from parley.operators import trends as T
 from parley.plans.catalog import RATIO_DIGITS, register, round_measures
-from parley.plans.rollup import grain_keys, hour_partials
+from parley.functions.calendar import bucket_start, epoch_ms_to_local
+from parley.plans.rollup import grain_keys, session_time_zone
 from parley.plans.sql_fixtures import ORDER_MESSAGES, grain_rows, measures_sql
 from parley.sources.fixtures import order_messages
 
@@ -47,8 +48,11 @@ FROM (SELECT grain, bucket, row_number() OVER (PARTITION BY grain ORDER BY bucke
 WHERE rn <= 30""")
 def latest_buckets(spark, sf_dir):
     """Top-k per group: the newest 30 existing buckets of each grain with their position."""
-    keys = grain_keys(hour_partials(order_messages(spark, sf_dir)).select("bucket").distinct())
-    return T.latest_buckets(keys, 30)
+    m = order_messages(spark, sf_dir)
+    hours = m.select(bucket_start("hour", epoch_ms_to_local(F.col("timestamp"),
+                                                            session_time_zone(m)))
+                     .alias("bucket")).distinct()
+    return T.latest_buckets(grain_keys(hours), 30)
 
 
 @register("measure_series", _tidy_sql("""

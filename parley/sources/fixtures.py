@@ -146,8 +146,8 @@ def _opt(value: Column) -> Column:
     return F.when(value != F.lit(""), value)
 
 
-def response_records(events: DataFrame) -> DataFrame:
-    """``events`` -> typed ``(event_id, key, response, timestamp)`` bot-response records.
+def response_columns() -> dict[str, Column]:
+    """``key``, ``response`` and ``timestamp`` of a bot-response record, over an ``events`` row.
 
     Variations keyed on ``event_id`` exercise every decode path: no key on
     every 17th; text of one or two lines; ``output.text`` as array, string or
@@ -198,20 +198,29 @@ def response_records(events: DataFrame) -> DataFrame:
         F.when(F.pmod(eid, F.lit(2)) == 0, F.array(et, F.lit("again")))
          .otherwise(F.array(et)).alias("text"),
     )
-    return events.select(
-        eid.alias("event_id"),
-        F.when(F.pmod(eid, F.lit(17)) != 0, F.concat(F.lit("k"), eid.cast("string"))).alias("key"),
-        F.struct(c["bot_id"].alias("bot_id"), c["dialog_id"].alias("dialog_id"),
-                 message.alias("message")).alias("response"),
-        c["timestamp"].alias("timestamp"),
-    )
+    return {
+        "key": F.when(F.pmod(eid, F.lit(17)) != 0, F.concat(F.lit("k"), eid.cast("string"))),
+        "response": F.struct(c["bot_id"].alias("bot_id"), c["dialog_id"].alias("dialog_id"),
+                             message.alias("message")),
+        "timestamp": c["timestamp"],
+    }
+
+
+def response_records(events: DataFrame) -> DataFrame:
+    """``events`` -> typed ``(event_id, key, response, timestamp)`` bot-response records."""
+    return events.select("event_id", *[e.alias(n) for n, e in response_columns().items()])
+
+
+def response_value() -> Column:
+    """The JSON text ``{response, timestamp}`` of an ``events`` row's bot response."""
+    c = response_columns()
+    return F.to_json(F.struct(c["response"].alias("response"), c["timestamp"].alias("timestamp")))
 
 
 def response_payloads(events: DataFrame) -> DataFrame:
     """``events`` -> ``(event_id, key, value)`` JSON bot-response payloads ``{response, timestamp}``."""
-    rec = response_records(events)
-    return rec.select("event_id", "key",
-                      F.to_json(F.struct("response", "timestamp")).alias("value"))
+    return events.select("event_id", response_columns()["key"].alias("key"),
+                         response_value().alias("value"))
 
 
 def damaged_payloads(events: DataFrame) -> DataFrame:
@@ -314,8 +323,8 @@ def system_text_payloads(conversations: DataFrame) -> DataFrame:
                       F.to_json(F.struct(*fields)).alias("value"))
 
 
-def request_payloads(events: DataFrame) -> DataFrame:
-    """``events`` -> ``(event_id, key, value)`` JSON bot-request payloads.
+def request_value() -> Column:
+    """The JSON text of an ``events`` row's bot request.
 
     ``message.userID`` is left out for anonymous rows; ``message.context`` is
     sent on every 3rd event.
@@ -331,6 +340,12 @@ def request_payloads(events: DataFrame) -> DataFrame:
                        _opt(c["user_id"]).alias("userID"), context.alias("context"))
     body = F.struct(c["bot_id"].alias("bot_id"), c["dialog_id"].alias("dialog_id"),
                     message.alias("message"), c["timestamp"].alias("timestamp"))
+    return F.to_json(body)
+
+
+def request_payloads(events: DataFrame) -> DataFrame:
+    """``events`` -> ``(event_id, key, value)`` JSON bot-request payloads."""
+    eid = F.col("event_id")
     return events.select(eid.alias("event_id"),
                          F.concat(F.lit("q"), eid.cast("string")).alias("key"),
-                         F.to_json(body).alias("value"))
+                         request_value().alias("value"))
