@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.calendar import ntz_to_epoch_ms
+from parley.plans.stages import spread
 
 # Fixed values of the adapters (see FIXTURES.md section 4); "" is a blank
 # dimension, safari / tablet / bsd are deliberately unknown values.
@@ -119,11 +120,7 @@ def load_table(spark, sf_dir: str, name: str) -> DataFrame:
     the per-row work after the scan runs in parallel.  Inputs that already
     arrive in enough splits are left alone.
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def event_messages(spark, sf_dir: str) -> DataFrame:
