@@ -134,8 +134,8 @@ def order_messages(spark, sf_dir: str) -> DataFrame:
 # --- payload builders (JSON records derived from the driver's tables) -------
 
 def _variant_string(s: Column) -> Column:
-    """A JSON string value as a variant (``s`` holds no quotes or backslashes)."""
-    return F.parse_json(F.concat(F.lit('"'), s, F.lit('"')))
+    """A string value as a variant."""
+    return s.cast("variant")
 
 
 def _opt(value: Column) -> Column:
@@ -157,8 +157,8 @@ def response_columns() -> dict[str, Column]:
     eid, et = F.col("event_id"), F.col("event_type")
     stack = (F.when(F.pmod(eid, F.lit(29)) == 0, F.array().cast("array<variant>"))
               .when(F.pmod(eid, F.lit(31)) == 0, F.array(_variant_string(c["dialog_node"])))
-              .otherwise(F.array(F.parse_json(F.to_json(
-                  F.struct(c["dialog_node"].alias("dialog_node")))))))
+              .otherwise(F.array(F.to_variant_object(
+                  F.struct(c["dialog_node"].alias("dialog_node"))))))
     context = F.struct(
         c["conversation_id"].alias("conversation_id"),
         F.struct((F.pmod(eid, F.lit(7)) + 1).cast("int").alias("dialog_request_counter"),
@@ -172,11 +172,11 @@ def response_columns() -> dict[str, Column]:
         _opt(c["resolution_status"]).alias("resolution_status"),
     )
     k3, k4 = F.pmod(eid, F.lit(3)), F.pmod(eid, F.lit(4))
-    output_text = (F.when(k3 == 0, F.parse_json(F.to_json(F.array(et, F.lit("out")))))
+    output_text = (F.when(k3 == 0, F.to_variant_object(F.array(et, F.lit("out"))))
                     .when(k3 == 1, _variant_string(et)))
-    args = (F.when(k4 == 0, F.parse_json(F.to_json(
-                F.struct(F.array(et, F.lit("k")).alias("variables")))))
-             .when(k4 == 1, F.parse_json(F.to_json(F.create_map(F.lit("event"), et)))))
+    args = (F.when(k4 == 0, F.to_variant_object(
+                F.struct(F.array(et, F.lit("k")).alias("variables"))))
+             .when(k4 == 1, F.to_variant_object(F.create_map(F.lit("event"), et))))
     action = F.when(k4 != 3, F.struct(
         F.when(k4 == 2, F.lit("noop")).otherwise(F.lit("lookup")).alias("name"),
         args.alias("args")))
