@@ -12,6 +12,10 @@ from parley.plans.rollup import user_conversations
 from parley.plans.sql_fixtures import EVENT_MESSAGES, ORDER_MESSAGES, grain_rows, measures_sql
 from parley.sources.fixtures import event_messages, order_messages
 
+# The fixture timestamps are UTC wall-clock times, and the oracle SQL buckets in
+# UTC, so the registered queries pin the zone instead of using the session's.
+TZ = "UTC"
+
 WIDE_COLUMNS = ", ".join(["grain", "bucket", *[n for n, _ in M.MEASURES]])
 
 
@@ -29,18 +33,18 @@ def _rows_sql(select: str, ctes: str = "") -> str:
 @register("multi_grain_measures", _wide_sql(f"SELECT {WIDE_COLUMNS} FROM wide"))
 def multi_grain_measures(spark, sf_dir):
     """Flagship: ten measures x six grains, newest 30 buckets, from ``events``."""
-    return round_measures(M.multi_grain_measures(event_messages(spark, sf_dir)))
+    return round_measures(M.multi_grain_measures(event_messages(spark, sf_dir), time_zone=TZ))
 
 
 @register("multi_grain_measures_orders",
           _wide_sql(f"SELECT {WIDE_COLUMNS} FROM wide", "orders"))
 def multi_grain_measures_orders(spark, sf_dir):
     """The same measures over ``orders`` (80 months, 27 quarters, 7 years at sf0.01)."""
-    return round_measures(M.multi_grain_measures(order_messages(spark, sf_dir)))
+    return round_measures(M.multi_grain_measures(order_messages(spark, sf_dir), time_zone=TZ))
 
 
 def _uc(spark, sf_dir):
-    return user_conversations(event_messages(spark, sf_dir))
+    return user_conversations(event_messages(spark, sf_dir), time_zone=TZ)
 
 
 def _single(name: str, fn, column: str):
@@ -93,7 +97,7 @@ SELECT grain, bucket, resolution_status, browser, device, operating_system,
 FROM gk GROUP BY ALL"""))
 def dimension_cube(spark, sf_dir):
     """Messages per (grain, bucket, resolution, browser, device, os)."""
-    return D.dimension_cube(event_messages(spark, sf_dir))
+    return D.dimension_cube(event_messages(spark, sf_dir), time_zone=TZ)
 
 
 @register("calendar_buckets", f"""

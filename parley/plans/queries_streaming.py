@@ -35,7 +35,7 @@ def _run_ingest(spark, sf_dir, with_partials: bool = False):
     damaged_payloads(load_table(spark, sf_dir, "events")).select("value").write.text(drop)
     store, quarantine = scratch_path(spark, "store"), scratch_path(spark, "quarantine")
     log = scratch_path(spark, "partials")
-    sinks = [partials_sink(log)] if with_partials else None
+    sinks = [partials_sink(log, time_zone="UTC")] if with_partials else None
     q = ingest_responses(text_stream(spark, drop), store,
                          scratch_path(spark, "ckpt"), quarantine,
                          trigger={"availableNow": True}, extra_sinks=sinks)

@@ -13,7 +13,7 @@ from parley.operators import measures as M
 from parley.operators import trends as T
 from parley.plans.catalog import RATIO_DIGITS, register, round_measures
 from parley.functions.calendar import bucket_start, epoch_ms_to_local
-from parley.plans.rollup import grain_keys, session_time_zone
+from parley.plans.rollup import grain_keys
 from parley.plans.sql_fixtures import ORDER_MESSAGES, grain_rows, measures_sql
 from parley.sources.fixtures import order_messages
 
@@ -21,7 +21,7 @@ MEASURE_NAMES = [n for n, _ in M.MEASURES]
 
 
 def _orders_wide(spark, sf_dir):
-    return round_measures(M.multi_grain_measures(order_messages(spark, sf_dir)))
+    return round_measures(M.multi_grain_measures(order_messages(spark, sf_dir), time_zone="UTC"))
 
 
 def _tidy_sql(select: str, ctes: str = "") -> str:
@@ -49,8 +49,7 @@ WHERE rn <= 30""")
 def latest_buckets(spark, sf_dir):
     """Top-k per group: the newest 30 existing buckets of each grain with their position."""
     m = order_messages(spark, sf_dir)
-    hours = m.select(bucket_start("hour", epoch_ms_to_local(F.col("timestamp"),
-                                                            session_time_zone(m)))
+    hours = m.select(bucket_start("hour", epoch_ms_to_local(F.col("timestamp"), "UTC"))
                      .alias("bucket")).distinct()
     return T.latest_buckets(grain_keys(hours), 30)
 
