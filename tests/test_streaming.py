@@ -32,3 +32,19 @@ def test_restart_processes_only_new_files(spark):
     batch = flatten(codec.split_valid(codec.decode_response(payloads))[0])
     assert stored.count() == e.count()
     assert stored.exceptAll(batch).count() == 0 and batch.exceptAll(stored).count() == 0
+
+
+def test_processing_time_trigger_drains_on_graceful_stop(spark):
+    from parley.streaming.ingest import stop_gracefully
+    e = load_table(spark, SMALL, "events")
+    drop, store, ckpt, bad = (scratch_path(spark, n) for n in ("drop", "store", "ckpt", "bad"))
+    from parley.sources.fixtures import damaged_payloads
+    damaged_payloads(e).select("value").write.text(drop)
+    q = ingest_responses(text_stream(spark, drop), store, ckpt, bad,
+                         trigger={"processingTime": "1 second"})
+    stop_gracefully(q)
+    assert not q.isActive
+    stored = load_messages(spark, store).count()
+    quarantined = spark.read.parquet(bad).count()
+    assert stored + quarantined == e.count()
+    assert quarantined > 0 and stored > 0
