@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from parley.functions.calendar import GRAINS
 from parley.functions.columns import safe_ratio
 from parley.operators.dimensions import RESOLUTION_STATUSES
-from parley.plans.rollup import KEYS, grain_partials, merge_partials, user_conversations
+from parley.plans.rollup import KEYS, grain_partials, merge_partials
 from parley.plans.stages import materialize
 
 BUCKET = ["grain", "bucket"]

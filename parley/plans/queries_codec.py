@@ -14,7 +14,6 @@ from parley.operators.flatten import OPTIONAL_CONTEXT, flatten, response_layout
 from parley.operators.interactions import interactions, latest_visitors
 from parley.plans.catalog import register
 from parley.plans.sql_fixtures import EVENT_MESSAGES
-from parley.plans.stages import materialize
 from parley.sources import codec
 from parley.sources import fixtures as X
 from parley.sources import topics as TP
