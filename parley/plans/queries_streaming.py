@@ -17,7 +17,10 @@ from parley.session import scratch_path
 from parley.sources.fixtures import damaged_payloads, event_messages, load_table
 from parley.sources.store import append_messages, load_messages, multi_sink
 from parley.streaming.ingest import ingest_responses, text_stream
+from parley.streaming.interactions import ingest_chat_log, visitors_table
 from parley.streaming.metrics import measures_from_log, partials_sink
+from parley.plans.queries_codec import CONV_SQL
+from parley.sources.fixtures import system_text_payloads, user_message_payloads
 
 SCALAR_COLUMNS = [c for c in S.MESSAGE_COLUMNS if c not in ("intents", "entities")]
 
@@ -101,3 +104,44 @@ def multi_sink_query(spark, sf_dir):
         part = spark.read.parquet(p).select(F.lit(name).alias("sink"), "*")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _run_chat_log(spark, sf_dir):
+    conv = load_table(spark, sf_dir, "conversations")
+    users_dir, texts_dir = scratch_path(spark, "user-drop"), scratch_path(spark, "text-drop")
+    user_message_payloads(conv).select("value").write.text(users_dir)
+    system_text_payloads(conv).select("value").write.text(texts_dir)
+    log, visitors = scratch_path(spark, "interactions"), scratch_path(spark, "visitors")
+    q = ingest_chat_log(text_stream(spark, users_dir), text_stream(spark, texts_dir), log,
+                        visitors, scratch_path(spark, "ckpt"), "acme",
+                        trigger={"availableNow": True})
+    q.awaitTermination()
+    return log, visitors
+
+
+@register("stream_interactions", f"""{CONV_SQL}
+SELECT 'acme' AS company_id,
+       CASE WHEN role = 'user' THEN 'utterance' ELSE 'system_text' END AS kind,
+       CASE WHEN role = 'user' THEN uid END AS sender,
+       CASE WHEN role <> 'user' THEN uid END AS recipient,
+       text,
+       CASE WHEN role <> 'user' THEN 'node_' || CAST(turn AS VARCHAR) END AS node,
+       ms AS timestamp
+FROM conv""")
+def stream_interactions(spark, sf_dir):
+    """Two message streams -> one company-scoped interaction log (appended per batch)."""
+    log, _ = _run_chat_log(spark, sf_dir)
+    return spark.read.parquet(log).select("company_id", "kind", "sender", "recipient", "text",
+                                          "node", "timestamp")
+
+
+@register("stream_visitors", f"""{CONV_SQL}
+SELECT uid AS user_id, 'First' || CAST(conv_id % 37 AS VARCHAR) AS firstName,
+       ['en', 'fr', 'de'][turn % 3 + 1] AS locale, ms AS last_seen_ms
+FROM conv WHERE role = 'user'
+QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ms DESC) = 1""")
+def stream_visitors(spark, sf_dir):
+    """Visitor records upserted from the user-message stream (last write wins)."""
+    _, visitors = _run_chat_log(spark, sf_dir)
+    return visitors_table(spark, visitors).select("user_id", "firstName", "locale",
+                                                   "last_seen_ms")

@@ -48,3 +48,36 @@ def test_processing_time_trigger_drains_on_graceful_stop(spark):
     quarantined = spark.read.parquet(bad).count()
     assert stored + quarantined == e.count()
     assert quarantined > 0 and stored > 0
+
+
+def test_chat_log_upserts_visitors_across_batches(spark):
+    import os
+    from parley.sources.fixtures import system_text_payloads, user_message_payloads
+    from parley.streaming.interactions import ingest_chat_log, visitors_table
+    conv = load_table(spark, SMALL, "conversations")
+    um = user_message_payloads(conv)
+    users, texts = scratch_path(spark, "u"), scratch_path(spark, "t")
+    # older turns first, newer turns in a later file -> a later micro-batch
+    um.where(F.col("turn") < 3).select("value").coalesce(1).write.text(f"{users}/a")
+    um.where(F.col("turn") >= 3).select("value").coalesce(1).write.text(f"{users}/b")
+    system_text_payloads(conv).select("value").coalesce(1).write.text(texts)
+    log, vis, ckpt = (scratch_path(spark, n) for n in ("log", "vis", "ckpt"))
+    q = ingest_chat_log(text_stream(spark, f"{users}/*", max_files_per_trigger=1),
+                        text_stream(spark, texts, max_files_per_trigger=1),
+                        log, vis, ckpt, "acme", trigger={"availableNow": True})
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 2
+    got = {r["user_id"]: r["last_seen_ms"] for r in visitors_table(spark, vis).collect()}
+    user_rows = conv.where(F.col("role") == "user")
+    newest = (user_rows.groupBy((F.col("conv_id") % 37).alias("k"))
+              .agg(F.max(F.lit(1704067200000) + F.col("conv_id") * 3600000
+                         + F.col("turn") * 60000).alias("ms")).collect())
+    assert got == {f"u{r['k']}": r["ms"] for r in newest}
+    assert spark.read.parquet(log).count() == conv.count()
+
+    off = scratch_path(spark, "off")
+    q = ingest_chat_log(text_stream(spark, f"{users}/*"), text_stream(spark, texts), off,
+                        scratch_path(spark, "offv"), scratch_path(spark, "offc"), "acme",
+                        enabled=False, trigger={"availableNow": True})
+    q.awaitTermination()
+    assert not os.path.exists(off.replace("file:", ""))
