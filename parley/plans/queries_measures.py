@@ -135,11 +135,13 @@ FROM allowed a LEFT JOIN seen s
 def dimension_combinations(spark, sf_dir):
     """Every allowed dimension tuple (240) with its message count, zero-filled.
 
-    Messages are grouped by tuple first (map-side combined); the bounded
-    allowed table then meets the small grouped side.
+    Messages are kept only when their tuple is allowed (broadcast semi join
+    against the 240-row table), then grouped by tuple (map-side combined), so
+    both sides of the final outer join hold at most 240 rows whatever values
+    the data carries.
     """
     m = event_messages(spark, sf_dir)
-    seen = m.groupBy(*D.DIMENSIONS).agg(F.count(F.lit(1)).alias("messages"))
+    seen = D.keep_allowed(m).groupBy(*D.DIMENSIONS).agg(F.count(F.lit(1)).alias("messages"))
     allowed = D.allowed_combinations(spark)
     return (allowed.join(seen, D.DIMENSIONS, "left")
                    .select(*D.DIMENSIONS, F.coalesce("messages", F.lit(0)).alias("messages")))
