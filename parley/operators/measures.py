@@ -1,9 +1,12 @@
 """Engagement measures per (grain, bucket).
 
-Inputs are the per-(grain, bucket, user, conversation) partials from
-``plans.rollup.user_conversations``.  Every measure is a chain of ordinary
-aggregations; distinct counts are "group, then count groups", so every step
-combines map-side and no group is ever collected into one task.
+``multi_grain_measures`` runs the whole chain from message rows; the
+building blocks take either in-window hour partials
+(``plans.rollup.grain_partials``) or the per-(grain, bucket, user,
+conversation) table (``plans.rollup.user_conversations``).  Every measure is
+a chain of ordinary fixed-width aggregations; distinct counts are "group,
+then count groups", so every step combines map-side and no group is ever
+collected into one task.
 
 =============================  ==============================================
 measure                        definition within one bucket
