@@ -1,33 +1,59 @@
-"""Parquet message store: idempotent appends and typed scans."""
+"""Parquet message store: idempotent appends and typed scans.
+
+Layout: ``path/batch_id=N/[day=YYYY-MM-DD/]part-*.parquet``.  Each
+micro-batch owns its folder, so a replayed batch overwrites exactly its own
+files.  With ``by_day`` the rows inside a batch are also split by the UTC day
+of their timestamp, so a reader bounded in time prunes whole folders.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import schemas as S
+from parley.functions.calendar import epoch_ms_to_local
+
+
+def _day(ts_ms) -> F.Column:
+    return epoch_ms_to_local(ts_ms, "UTC").cast("date")
 
 
 def append_messages(df: DataFrame, path: str, batch_id: int | None = None,
-                    single_file: bool = False) -> None:
+                    single_file: bool = False, by_day: bool = False) -> None:
     """Append message rows to the Parquet store at ``path``.
 
     With a ``batch_id`` the rows go to ``path/batch_id=N`` with overwrite, so
     replaying a micro-batch after a failure replaces its files instead of
-    duplicating them.  ``single_file`` writes one file per batch.
+    duplicating them; without one they are appended under ``batch_id=-1``.
+    ``single_file`` writes one file per batch (per day with ``by_day``).
     """
     out = df.coalesce(1) if single_file else df
-    if batch_id is None:
-        out.write.mode("append").parquet(path)
-    else:
-        out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    target = f"{path.rstrip('/')}/batch_id={-1 if batch_id is None else batch_id}"
+    writer = out.write
+    if by_day:
+        writer = out.withColumn("day", _day(F.col("timestamp"))).write.partitionBy("day")
+    writer.mode("append" if batch_id is None else "overwrite").parquet(target)
+
 
+def load_messages(spark: SparkSession, path: str, columns: list[str] | None = None,
+                  since: dt.date | str | None = None) -> DataFrame:
+    """Typed scan of the store; only ``columns`` are read from the files.
 
-def load_messages(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Typed scan of the store; only ``columns`` are read from the files."""
-    df = spark.read.schema(S.MESSAGE + ", batch_id bigint").parquet(path)
+    ``since`` keeps messages from that UTC day on.  In a store written with
+    ``by_day`` the earlier day folders are pruned before any file is read;
+    the timestamp filter applies in every layout.
+    """
+    df = spark.read.schema(S.MESSAGE + ", batch_id bigint, day date").parquet(path)
+    if since is not None:
+        day = dt.date.fromisoformat(since) if isinstance(since, str) else since
+        start_ms = int(dt.datetime(day.year, day.month, day.day,
+                                   tzinfo=dt.timezone.utc).timestamp() * 1000)
+        df = df.where((F.col("day").isNull() | (F.col("day") >= F.lit(day)))
+                      & (F.col("timestamp") >= F.lit(start_ms)))
     return df.select(*(columns or S.MESSAGE_COLUMNS))
 
 
@@ -39,7 +65,3 @@ def multi_sink(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
             sink(df)
     finally:
         df.unpersist()
-
-
-def with_company(df: DataFrame, company_id: str) -> DataFrame:
-    return df.select(F.lit(company_id).alias("company_id"), "*")

@@ -34,7 +34,8 @@ def text_stream(spark: SparkSession, directory: str,
 
 def batch_writer(store_path: str, quarantine_path: str | None = None,
                  extra_sinks: list[Callable[[DataFrame, int], None]] | None = None,
-                 single_file: bool = False) -> Callable[[DataFrame, int], None]:
+                 single_file: bool = False, by_day: bool = False
+                 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function: decode once, write good and bad rows, then extra sinks."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -44,7 +45,7 @@ def batch_writer(store_path: str, quarantine_path: str | None = None,
         try:
             good, bad = split_valid(decoded)
             rows = flatten(good)
-            append_messages(rows, store_path, batch_id, single_file=single_file)
+            append_messages(rows, store_path, batch_id, single_file=single_file, by_day=by_day)
             if quarantine_path:
                 (bad.select("value", ERROR).write.mode("overwrite")
                     .parquet(f"{quarantine_path.rstrip('/')}/batch_id={batch_id}"))
@@ -60,10 +61,15 @@ def ingest_responses(stream: DataFrame, store_path: str, checkpoint_path: str,
                      quarantine_path: str | None = None,
                      trigger: dict | None = None,
                      extra_sinks: list[Callable[[DataFrame, int], None]] | None = None,
-                     single_file: bool = False) -> StreamingQuery:
-    """Start the ingest query; the default trigger is one micro-batch per 60 seconds."""
+                     single_file: bool = False, by_day: bool = False) -> StreamingQuery:
+    """Start the ingest query; the default trigger is one micro-batch per 60 seconds.
+
+    ``by_day`` additionally splits each batch's files by event day (see
+    ``sources.store``) for readers that prune by time.
+    """
     return (stream.writeStream
-            .foreachBatch(batch_writer(store_path, quarantine_path, extra_sinks, single_file))
+            .foreachBatch(batch_writer(store_path, quarantine_path, extra_sinks,
+                                       single_file, by_day))
             .option("checkpointLocation", checkpoint_path)
             .trigger(**(trigger or DEFAULT_TRIGGER))
             .start())

@@ -81,3 +81,21 @@ def test_chat_log_upserts_visitors_across_batches(spark):
                         enabled=False, trigger={"availableNow": True})
     q.awaitTermination()
     assert not os.path.exists(off.replace("file:", ""))
+
+
+def test_store_prunes_days_and_replays_idempotently(spark):
+    from parley.sources.fixtures import event_messages
+    from parley.sources.store import append_messages
+    m = event_messages(spark, SMALL)
+    path = scratch_path(spark, "store")
+    append_messages(m, path, batch_id=0, by_day=True)
+    append_messages(m, path, batch_id=0, by_day=True)   # replay: batch folder replaced
+    assert load_messages(spark, path).count() == m.count()
+    recent = load_messages(spark, path, since="2024-01-25")
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-01-25" in plan.split("PartitionFilters")[1]
+    expected = m.where(F.col("timestamp") >= 1706140800000).count()   # 2024-01-25T00:00Z
+    assert recent.count() == expected > 0
+    flat = scratch_path(spark, "flat")                 # no day folders: timestamp filter
+    append_messages(m, flat, batch_id=3)
+    assert load_messages(spark, flat, since="2024-01-25").count() == expected
