@@ -23,7 +23,9 @@ def read_topic(spark: SparkSession, topics: list[str], bootstrap_servers: str,
 
     Offsets are tracked in the query's checkpoint, so a restarted query
     resumes where the last committed batch ended (the at-least-once redelivery
-    the broker client provided before).
+    the broker client provided before).  At scale pass
+    ``maxOffsetsPerTrigger`` so a backlog is consumed in bounded batches, and
+    ``minPartitions`` to split large topic partitions over more tasks.
     """
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", bootstrap_servers)
