@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from conftest import SMALL
+from test_plans import FORBIDDEN
 
 import __spark_entry__ as E
 
@@ -42,6 +43,9 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for op in FORBIDDEN:   # every registered plan stays pairwise-free and JVM-side
+        assert op not in plan, f"{name} plan contains {op}"
     rows = [tuple(r) for r in df.collect()]
     res = duck.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
