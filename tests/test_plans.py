@@ -50,3 +50,11 @@ def test_flagship_shuffle_stages_are_bounded(spark):
     assert "events.parquet" not in text   # only the hour-partial files are read here
     assert text.count("Exchange hashpartitioning") <= 8
     assert m is not None
+
+
+def test_latest_visitor_combines_before_the_shuffle(spark):
+    """A user with a third of the messages is reduced per task, not shipped whole."""
+    text = plan_text(E.queries()["visitors_latest"](spark, SMALL))
+    exchange = text.index("Exchange hashpartitioning")
+    assert "partial_max" in text[exchange:]   # the partial step sits below the exchange
+    assert "Window" not in text
