@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.operators.interactions import interactions, latest_visitors
 from parley.sources.codec import decode_system_text, decode_user_message, split_valid
 from parley.sources.topics import keyed
+from parley.streaming.compaction import compact, read_log
 
 USER_KIND = "user_message"
 SYSTEM_KIND = "system_text"
@@ -68,10 +69,19 @@ def ingest_chat_log(user_stream: DataFrame, system_stream: DataFrame, log_path:
             .start())
 
 
-def visitors_table(spark: SparkSession, visitors_path: str) -> DataFrame:
-    """The newest visitor record per user id over the visitor log."""
-    log = spark.read.parquet(visitors_path).drop("batch_id")
+def newest_per_user(log: DataFrame) -> DataFrame:
+    """Visitor log rows -> the newest record per user id (a mergeable ``max``)."""
     fields = [c for c in log.columns if c not in ("user_id", "last_seen_ms")]
     newest = F.max(F.struct(F.col("last_seen_ms"), F.struct(*fields).alias("user")))
     return (log.groupBy("user_id").agg(newest.alias("v"))
                .select("user_id", "v.user.*", F.col("v.last_seen_ms").alias("last_seen_ms")))
+
+
+def visitors_table(spark: SparkSession, visitors_path: str) -> DataFrame:
+    """The newest visitor record per user id over the visitor log."""
+    return newest_per_user(read_log(spark, visitors_path))
+
+
+def compact_visitors(spark: SparkSession, visitors_path: str, through: int) -> str:
+    """Merge the visitor log up to batch ``through`` into one snapshot (see ``compaction``)."""
+    return compact(spark, visitors_path, through, newest_per_user)

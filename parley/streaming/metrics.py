@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.functions.calendar import GRAINS
 from parley.operators.measures import measures_from_rows
-from parley.plans.rollup import hour_partials, rows_from_partial_log
+from parley.plans.rollup import KEYS, hour_partials, merge_partials, rows_from_partial_log
+from parley.streaming.compaction import compact, read_log
 
 
 def partials_sink(log_path: str, time_zone: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -31,5 +32,10 @@ def partials_sink(log_path: str, time_zone: str | None = None) -> Callable[[Data
 def measures_from_log(spark: SparkSession, log_path: str, grains=GRAINS,
                       newest: int | None = 30) -> DataFrame:
     """The ten measures per (grain, bucket) from a partial log."""
-    log = spark.read.parquet(log_path).drop("batch_id")
+    log = read_log(spark, log_path)
     return measures_from_rows(rows_from_partial_log(log, grains, newest))
+
+
+def compact_partials(spark: SparkSession, log_path: str, through: int) -> str:
+    """Merge the partial log up to batch ``through`` into one snapshot (see ``compaction``)."""
+    return compact(spark, log_path, through, lambda log: merge_partials(log, ["bucket", *KEYS]))
