@@ -76,7 +76,9 @@ def compact(spark: SparkSession, log_path: str, through: int,
     ``merge`` must be the log's own mergeable combine (for example
     ``plans.rollup.merge_partials`` keyed by hour, user and conversation), so
     merging a snapshot again with later slices gives the same rows as merging
-    all slices at once.
+    all slices at once.  ``through`` must be a batch the stream has committed
+    (at most ``query.lastProgress["batchId"] - 1`` while it runs): only the
+    newest, uncommitted batch can be replayed and rewrite its slice.
     """
     snap = newest_snapshot(spark, log_path)
     if snap is not None and through <= snap[0]:
