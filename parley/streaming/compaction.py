@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 SNAPSHOTS = "_snapshots"
 
@@ -57,16 +58,19 @@ def read_log(spark: SparkSession, log_path: str, through: int | None = None) ->
     bounds are partition filters, so skipped slices are pruned before any
     file is opened.
     """
-    slices = spark.read.parquet(log_path)
     snap = newest_snapshot(spark, log_path)
-    if snap is not None:
-        slices = slices.where(F.col("batch_id") > snap[0])
+    if snap is None:
+        slices = spark.read.parquet(log_path)
+    else:
+        # the snapshot's schema also reads a log whose older slices have expired
+        base = spark.read.parquet(snap[1])
+        schema = StructType([*base.schema.fields, StructField("batch_id", LongType())])
+        slices = (spark.read.schema(schema).parquet(log_path)
+                       .where(F.col("batch_id") > snap[0]))
     if through is not None:
         slices = slices.where(F.col("batch_id") <= through)
     rows = slices.drop("batch_id")
-    if snap is None:
-        return rows
-    return spark.read.parquet(snap[1]).unionByName(rows)
+    return rows if snap is None else base.unionByName(rows)
 
 
 def compact(spark: SparkSession, log_path: str, through: int,

@@ -137,3 +137,8 @@ def test_compaction_keeps_results_exact(spark):
     got = {r["user_id"]: (r["firstName"], r["last_seen_ms"])
            for r in visitors_table(spark, vis).collect()}
     assert got == {"u1": ("c", 20), "u2": ("b", 5), "u3": ("d", 1)}
+
+    expired = scratch_path(spark, "expired-log")   # only the snapshot is left
+    visitors_table(spark, vis).write.parquet(f"{expired}/_snapshots/through=2")
+    assert {r["user_id"]: (r["firstName"], r["last_seen_ms"])
+            for r in visitors_table(spark, expired).collect()} == got
