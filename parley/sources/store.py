@@ -3,7 +3,9 @@
 Layout: ``path/batch_id=N/[day=YYYY-MM-DD/]part-*.parquet``.  Each
 micro-batch owns its folder, so a replayed batch overwrites exactly its own
 files.  With ``by_day`` the rows inside a batch are also split by the UTC day
-of their timestamp, so a reader bounded in time prunes whole folders.
+of their timestamp, so a reader bounded in time prunes whole folders.  A
+store keeps one layout: Spark's partition discovery rejects a mix of batch
+folders with and without ``day=`` folders.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas as S
 from parley.functions.calendar import epoch_ms_to_local
+from parley.streaming.compaction import SNAPSHOTS, newest_snapshot
 
 
 def _day(ts_ms) -> F.Column:
@@ -39,6 +42,29 @@ def append_messages(df: DataFrame, path: str, batch_id: int | None = None,
     writer.mode("append" if batch_id is None else "overwrite").parquet(target)
 
 
+STORE_SCHEMA = S.MESSAGE + ", batch_id bigint, day date"
+
+
+def _stored(spark: SparkSession, path: str, through: int | None = None) -> DataFrame:
+    """Every stored row: the newest snapshot plus the batch folders after it.
+
+    Batch ids are partition values, so folders covered by the snapshot are
+    pruned at listing time.  Appends without a batch id (``batch_id=-1``)
+    never enter a snapshot and are always read.
+    """
+    snap = newest_snapshot(spark, path)
+    df = spark.read.schema(STORE_SCHEMA).parquet(path)
+    if snap is not None:
+        df = df.where((F.col("batch_id") > snap[0]) | (F.col("batch_id") < 0))
+    if through is not None:
+        df = df.where(F.col("batch_id") <= through)
+    if snap is None:
+        return df
+    base = (spark.read.schema(S.MESSAGE + ", day date").parquet(snap[1])
+                 .withColumn("batch_id", F.lit(None).cast("bigint")))
+    return base.unionByName(df)
+
+
 def load_messages(spark: SparkSession, path: str, columns: list[str] | None = None,
                   since: dt.date | str | None = None) -> DataFrame:
     """Typed scan of the store; only ``columns`` are read from the files.
@@ -47,7 +73,7 @@ def load_messages(spark: SparkSession, path: str, columns: list[str] | None = No
     ``by_day`` the earlier day folders are pruned before any file is read;
     the timestamp filter applies in every layout.
     """
-    df = spark.read.schema(S.MESSAGE + ", batch_id bigint, day date").parquet(path)
+    df = _stored(spark, path)
     if since is not None:
         day = dt.date.fromisoformat(since) if isinstance(since, str) else since
         start_ms = int(dt.datetime(day.year, day.month, day.day,
@@ -57,6 +83,23 @@ def load_messages(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*(columns or S.MESSAGE_COLUMNS))
 
 
+def compact_messages(spark: SparkSession, path: str, through: int) -> str:
+    """Rewrite batches ``0..through`` (and the previous snapshot) as one snapshot.
+
+    The snapshot keeps ``day=`` folders (rows from stores without them go to
+    Spark's null-day folder), so ``since`` still prunes it.  ``through`` must
+    be a committed batch; see ``streaming.compaction``.
+    """
+    snap = newest_snapshot(spark, path)
+    if snap is not None and through <= snap[0]:
+        return snap[1]
+    target = f"{path.rstrip('/')}/{SNAPSHOTS}/through={through}"
+    rows = _stored(spark, path, through).where(
+        F.col("batch_id").isNull() | (F.col("batch_id") >= 0))
+    rows.drop("batch_id").write.mode("overwrite").partitionBy("day").parquet(target)
+    return target
+
+
 def multi_sink(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
     """Hand the same rows to several writers, computing them once."""
     df = df.persist()
