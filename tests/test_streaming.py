@@ -164,3 +164,17 @@ def test_compacted_store_reads_every_row_once(spark):
     assert checksum(recent) == checksum(m.where(F.col("timestamp") >= 1706140800000))
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [") >= 2          # snapshot and batch folders pruned
+
+
+def test_half_written_snapshot_is_ignored(spark):
+    from parley.streaming.compaction import newest_snapshot
+    from parley.streaming.interactions import visitors_table
+    vis = scratch_path(spark, "visitor-log")
+    schema = "user_id string, firstName string, last_seen_ms bigint"
+    spark.createDataFrame([("u1", "a", 10)], schema).write.parquet(f"{vis}/batch_id=0")
+    # a snapshot whose job never committed: files present, no _SUCCESS marker
+    (spark.createDataFrame([("u1", "bogus", 99)], schema).write
+          .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+          .parquet(f"{vis}/_snapshots/through=5"))
+    assert newest_snapshot(spark, vis) is None
+    assert [tuple(r) for r in visitors_table(spark, vis).collect()] == [("u1", "a", 10)]
