@@ -28,3 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.warc import archive_pages
+    return archive_pages(table(spark, sf_dir, "pages"))
