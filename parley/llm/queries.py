@@ -34,3 +34,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.warc import archive_pages
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+@register("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.sharding import shard_texts
+    return shard_texts(table(spark, sf_dir, "documents"), shards=24)
