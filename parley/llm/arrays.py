@@ -90,13 +90,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (polynomial prefix sums, then ``mix`` with the length)."""
+def span_hasher(data: np.ndarray):
+    """A function (starts, ends) -> 64-bit hash of each byte span.
+
+    Polynomial prefix sums are made once; each hash is a difference of two, mixed
+    with the span's length.
+    """
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", _BASE_INV, n + 1)[starts]
-    return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    down = _power("down", _BASE_INV, n + 1)
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (sums[ends] - sums[starts]) * down[starts]
+        return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+    return hashes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -105,3 +118,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         total = mix(total + words[i: len(words) - n + 1 + i] * np.uint64(2 * i + 3))
     return total
+
+
+def owner(offsets: np.ndarray) -> np.ndarray:
+    """Document of each entry, given the n+1 offsets of the documents' entries."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def per_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` over each document's entries."""
+    sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]

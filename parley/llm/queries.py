@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +41,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.sharding import shard_texts
     return shard_texts(table(spark, sf_dir, "documents"), shards=24)
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.learning import fold_of
+    from parley.llm.toxicity import score_toxicity, train_toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "score", "predicted",
+                         F.size("offending").cast("long").alias("n_offending"))
