@@ -52,3 +52,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "score", "predicted",
                          F.size("offending").cast("long").alias("n_offending"))
+
+
+@register("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.quality import quality_rules, train_quality
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, train_quality(docs, table(spark, sf_dir, "labels")))
