@@ -59,3 +59,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.quality import quality_rules, train_quality
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.decontamination import build_index, decontaminate, read_items
+    index = build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate(index, read_items(table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
