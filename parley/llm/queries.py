@@ -68,3 +68,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(index, read_items(table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.near_duplicates import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
