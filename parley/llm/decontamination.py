@@ -170,11 +170,11 @@ def window_hits(shard: Shard, tokens: np.ndarray, pivots: list[int], frequency:
 
 def stretches(found: list[np.ndarray]) -> np.ndarray:
     """Overlapping or touching ranges (start, end) merged into maximal ones."""
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    ranges = np.unique(np.concatenate(found), axis=0)
+    ranges = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    if not len(ranges):
+        return ranges
     furthest = np.maximum.accumulate(ranges[:, 1])
-    first = np.flatnonzero(np.concatenate([[True], ranges[1:, 0] > furthest[:-1]])[:len(ranges)])
+    first = np.flatnonzero(np.concatenate([[True], ranges[1:, 0] > furthest[:-1]]))
     return np.stack([ranges[first, 0], furthest[np.append(first[1:], len(ranges)) - 1]], axis=1)
 
 

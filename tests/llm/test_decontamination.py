@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from parley.llm import decontamination
@@ -59,8 +60,11 @@ def test_proximity(spark):
     assert got == [(1, 0, 4), (1, 3, 5), (4, 0, 2)]
 
 
-def test_gap_is_wide_enough():
-    assert decontamination.GAP >= 13
+def test_stretches():
+    pairs = lambda *x: np.array(x, np.int64).reshape(-1, 2)
+    assert decontamination.stretches([]).tolist() == decontamination.stretches([pairs()]).tolist() == []
+    got = decontamination.stretches([pairs((5, 9), (1, 3)), pairs((2, 4), (4, 5), (20, 33), (21, 22))])
+    assert got.tolist() == [[1, 9], [20, 33]]
 
 
 def test_query(spark):
