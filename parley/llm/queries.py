@@ -74,3 +74,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.near_duplicates import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@register("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.suffix_index import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
