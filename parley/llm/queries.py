@@ -80,3 +80,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.suffix_index import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: A deployment passes its own secret; the registered query needs a stable one.
+PSEUDONYM_KEY = "corpus-pseudonyms-v1"
+
+
+@register("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.pseudonyms import pseudonymize
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
