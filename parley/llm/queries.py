@@ -90,3 +90,10 @@ PSEUDONYM_KEY = "corpus-pseudonyms-v1"
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.pseudonyms import pseudonymize
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@register("op8_byte_bpe")
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.byte_bpe import Vocabulary, read_ranks, token_digests
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_digests(table(spark, sf_dir, "documents"), Vocabulary(ranks, public_tokenizers.PATTERN))
