@@ -1,18 +1,78 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+A stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the
+last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parley.llm.byte_bpe import Vocabulary, read_ranks, token_digests
+from parley.llm.decontamination import build_index, decontaminate, read_items
+from parley.llm.near_duplicates import near_duplicates
+from parley.llm.pseudonyms import pseudonymize
+from parley.llm.queries import PSEUDONYM_KEY, table
+from parley.llm.toxicity import score_toxicity, train_toxicity
 from parley.session import scratch_path
 
-STAGES: list = []
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id is in ``rejected``; rows without an id stay."""
+    gone = rejected.select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the model calls toxic."""
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, score_toxicity(docs, model).where("predicted = 1"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group (five-word shingles, similarity of 0.8 or more), the smallest id.
+
+    Of rows that repeat an id one stays.  Texts without words are in no group.
+    """
+    found = near_duplicates(docs, k=5, percent=80)
+    kept = _without(docs, found.where("NOT kept"))
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(repeated)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents of whose words a twentieth or more stands in benchmark passages."""
+    found = decontaminate(build_index(docs), read_items(table(spark, sf_dir, "benchmark")))
+    return _without(docs, found.where("contaminated"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by pseudonyms; ``n_chars``, if there, follows the text."""
+    out = pseudonymize(docs, PSEUDONYM_KEY, found_col="__found")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__found") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text that is left, and the digest of what they decode to."""
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_digests(docs, Vocabulary(ranks, public_tokenizers.PATTERN))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicate), ("decontamination", decontamination),
+          ("pii", pii), ("byte_bpe", byte_bpe)]
+#: SQL cannot express the stages; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; between stages the rows are written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
