@@ -56,13 +56,6 @@ def layout_name(layout: Column) -> Column:
     return F.when(layout.isNull(), F.lit("none")).otherwise(layout["name"])
 
 
-def dimension_key(resolution: Column, browser: Column, device: Column,
-                  operating_system: Column) -> Column:
-    """The four-part dimension tuple, compared as a value (never by hash)."""
-    return F.struct(resolution.alias("resolution_status"), browser.alias("browser"),
-                    device.alias("device"), operating_system.alias("operating_system"))
-
-
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """``numerator / denominator`` as double, NULL when the denominator is 0."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))

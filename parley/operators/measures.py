@@ -71,9 +71,11 @@ def conversation_steps(uc: DataFrame, conv: DataFrame | None = None) -> DataFram
     An equi-join on (grain, bucket, conversation).  Spark broadcasts the
     conversation side only when its measured size is under the broadcast
     threshold; otherwise both sides shuffle on the key and AQE splits a
-    conversation shared by very many users across tasks (skew join).
+    conversation shared by very many users across tasks (skew join).  For that
+    the totals must be read from files, with a plain shuffle above; they are
+    written here unless the caller has written them.
     """
-    conv = per_conversation(uc) if conv is None else conv
+    conv = materialize(per_conversation(uc), "conversation-totals") if conv is None else conv
     return (uc.select(*BUCKET, "user_id", "conversation_id", "n",
                       *[c for c in RESOLUTION_STATUSES if c in uc.columns],
                       (F.col("last_ms") - F.col("first_ms")).alias("duration_ms"))
@@ -132,30 +134,28 @@ def measures_from_rows(rows: DataFrame) -> DataFrame:
     return _assemble(merge_partials(rows, [*BUCKET, *KEYS]), conv)
 
 
-def bucket_measures(uc: DataFrame) -> DataFrame:
-    """All ten measures from a per-(grain, bucket, user, conversation) table."""
-    return _assemble(uc, per_conversation(uc))
-
-
 def multi_grain_measures(m: DataFrame, grains=GRAINS, newest: int | None = 30,
                          time_zone: str | None = None) -> DataFrame:
     """Messages -> the ten measures for the newest ``newest`` buckets of every grain."""
     return measures_from_rows(grain_partials(m, grains, newest, time_zone))
 
 
-# --- single measures (each is the smallest plan that computes it) -----------
+# --- single measures: of any rows that carry the keys and columns they name --
 
-def message_totals(uc: DataFrame) -> DataFrame:
-    return uc.groupBy(*BUCKET).agg(F.sum("n").alias("message_totals"))
+def message_totals(rows: DataFrame) -> DataFrame:
+    """From ``n``; rows need no user and no conversation."""
+    return rows.groupBy(*BUCKET).agg(F.sum("n").alias("message_totals"))
 
 
-def conversation_totals(uc: DataFrame) -> DataFrame:
-    return (uc.select(*BUCKET, "conversation_id").distinct()
+def conversation_totals(rows: DataFrame) -> DataFrame:
+    """From ``conversation_id`` alone."""
+    return (rows.select(*BUCKET, "conversation_id").distinct()
               .groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("conversation_totals")))
 
 
-def user_totals(uc: DataFrame) -> DataFrame:
-    return (uc.select(*BUCKET, "user_id").distinct()
+def user_totals(rows: DataFrame) -> DataFrame:
+    """From ``user_id`` alone."""
+    return (rows.select(*BUCKET, "user_id").distinct()
               .groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("user_totals")))
 
 
@@ -176,13 +176,13 @@ def steps_per_user_avg(uc: DataFrame) -> DataFrame:
     return users.groupBy(*BUCKET).agg(F.avg("steps").alias("steps_per_user_avg"))
 
 
-def resolution_totals(uc: DataFrame) -> DataFrame:
-    """The four resolution totals; a bucket with no match reports 0."""
-    return uc.groupBy(*BUCKET).agg(*[F.sum(s).alias(s) for s in RESOLUTION_STATUSES])
+def resolution_totals(rows: DataFrame) -> DataFrame:
+    """The four resolution totals, without keys; a bucket with no match reports 0."""
+    return rows.groupBy(*BUCKET).agg(*[F.sum(s).alias(s) for s in RESOLUTION_STATUSES])
 
 
-def messages_per_conversation(uc: DataFrame) -> DataFrame:
-    return per_conversation(uc).withColumnRenamed("conv_n", "messages")
+def messages_per_conversation(rows: DataFrame) -> DataFrame:
+    return per_conversation(rows).withColumnRenamed("conv_n", "messages")
 
 
 def user_conversation_sessions(uc: DataFrame) -> DataFrame:

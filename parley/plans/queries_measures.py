@@ -8,7 +8,7 @@ from parley.functions.calendar import GRAINS, bucket_start, epoch_ms_to_local
 from parley.operators import dimensions as D
 from parley.operators import measures as M
 from parley.plans.catalog import register, round_measures
-from parley.plans.rollup import user_conversations
+from parley.plans.rollup import grain_partials, user_conversations
 from parley.plans.sql_fixtures import EVENT_MESSAGES, ORDER_MESSAGES, grain_rows, measures_sql
 from parley.sources.fixtures import event_messages, order_messages
 
@@ -47,29 +47,36 @@ def _uc(spark, sf_dir):
     return user_conversations(event_messages(spark, sf_dir), time_zone=TZ)
 
 
-def _single(name: str, fn, column: str):
+def _rows(spark, sf_dir, keys=(), columns=("n",)):
+    """In-window hour partials with only the keys and columns that a measure needs."""
+    return grain_partials(event_messages(spark, sf_dir), time_zone=TZ, keys=list(keys), columns=list(columns))
+
+
+def _single(name: str, fn, column: str, source):
     @register(name, _wide_sql(f"SELECT grain, bucket, {column} FROM wide"))
     def query(spark, sf_dir):
-        return round_measures(fn(_uc(spark, sf_dir)))
+        return round_measures(fn(source(spark, sf_dir)))
     query.__name__ = name
     return query
 
 
-_single("message_totals", M.message_totals, "message_totals")
-_single("conversation_totals", M.conversation_totals, "conversation_totals")
-_single("user_totals", M.user_totals, "user_totals")
-_single("conversations_per_user_avg", M.conversations_per_user_avg, "conversations_per_user_avg")
-_single("session_length_avg", M.session_length_avg, "session_length_avg")
-_single("steps_per_user_avg", M.steps_per_user_avg, "steps_per_user_avg")
-_single("resolution_totals", M.resolution_totals,
-        "resolved, unresolved, abandoned, escalated")
+CONVERSATIONS, USERS = ["conversation_id"], ["user_id"]
+_single("message_totals", M.message_totals, "message_totals", _rows)
+_single("conversation_totals", M.conversation_totals, "conversation_totals",
+        lambda spark, sf_dir: _rows(spark, sf_dir, CONVERSATIONS))
+_single("user_totals", M.user_totals, "user_totals", lambda spark, sf_dir: _rows(spark, sf_dir, USERS))
+_single("conversations_per_user_avg", M.conversations_per_user_avg, "conversations_per_user_avg", _uc)
+_single("session_length_avg", M.session_length_avg, "session_length_avg", _uc)
+_single("steps_per_user_avg", M.steps_per_user_avg, "steps_per_user_avg", _uc)
+_single("resolution_totals", M.resolution_totals, "resolved, unresolved, abandoned, escalated",
+        lambda spark, sf_dir: _rows(spark, sf_dir, columns=D.RESOLUTION_STATUSES))
 
 
 @register("messages_per_conversation", _rows_sql("""
 SELECT grain, bucket, conversation_id, count(*) AS messages
 FROM gk GROUP BY ALL"""))
 def messages_per_conversation(spark, sf_dir):
-    return M.messages_per_conversation(_uc(spark, sf_dir))
+    return M.messages_per_conversation(_rows(spark, sf_dir, CONVERSATIONS))
 
 
 @register("user_conversation_sessions", _rows_sql("""

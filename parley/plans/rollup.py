@@ -35,17 +35,21 @@ def session_time_zone(df: DataFrame) -> str:
     return df.sparkSession.conf.get("spark.sql.session.timeZone") or "UTC"
 
 
-def hour_partials(m: DataFrame, time_zone: str | None = None) -> DataFrame:
-    """Message rows -> ``(bucket=hour, user_id, conversation_id, n, first_ms, last_ms, <statuses>)``."""
+def hour_partials(m: DataFrame, time_zone: str | None = None, keys: list[str] = KEYS,
+                  columns: list[str] = PARTIAL_COLUMNS) -> DataFrame:
+    """Message rows -> ``(bucket=hour, <keys>, <columns>)``.
+
+    A measure that needs no user or no conversation leaves that key out: without
+    either, the map-side combine shrinks the messages to a row per hour.
+    """
     tz = time_zone or session_time_zone(m)
     hour = bucket_start("hour", epoch_ms_to_local(F.col("timestamp"), tz))
-    return (m.select(hour.alias("bucket"), *KEYS, "timestamp",
+    made = {"n": F.count(F.lit(1)), "first_ms": F.min("timestamp"), "last_ms": F.max("timestamp"),
+            **{s: F.sum(s).cast("bigint") for s in RESOLUTION_STATUSES}}
+    return (m.select(hour.alias("bucket"), *keys, "timestamp",
                      *[resolution_flag(s).alias(s) for s in RESOLUTION_STATUSES])
-             .groupBy("bucket", *KEYS)
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.min("timestamp").alias("first_ms"),
-                  F.max("timestamp").alias("last_ms"),
-                  *[F.sum(s).cast("bigint").alias(s) for s in RESOLUTION_STATUSES]))
+             .groupBy("bucket", *keys)
+             .agg(*[made[c].alias(c) for c in columns]))
 
 
 def grain_keys(hours: DataFrame, grains=GRAINS) -> DataFrame:
@@ -112,13 +116,15 @@ def merge_partials(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def grain_partials(m: DataFrame, grains=GRAINS, newest: int | None = 30,
-                   time_zone: str | None = None) -> DataFrame:
+                   time_zone: str | None = None, keys: list[str] = KEYS,
+                   columns: list[str] = PARTIAL_COLUMNS) -> DataFrame:
     """Messages -> hour partials expanded to their in-window (grain, bucket) rows.
 
-    The hour partials are written to the shared checkpoint folder once.
+    The hour partials, of ``keys`` and ``columns`` only, are written to the shared
+    checkpoint folder once.
     """
-    partials = materialize(hour_partials(m, time_zone), "hour-partials")
-    return grain_rows(partials, newest_cutoffs(partials, newest, grains))
+    partials = materialize(hour_partials(m, time_zone, keys, columns), "hour-partials")
+    return grain_rows(partials, newest_cutoffs(partials, newest, grains), [*keys, *columns])
 
 
 def rows_from_partial_log(log: DataFrame, grains=GRAINS, newest: int | None = 30) -> DataFrame:

@@ -7,20 +7,7 @@ from pyspark.sql import DataFrame
 from parley.session import scratch_path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame that arrives in fewer splits than the cluster has cores.
-
-    Small inputs (one file, one row group) would otherwise run every later
-    per-row stage in one or two tasks.  Inputs that already come in enough
-    splits are returned unchanged, so at scale this adds nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Used where a stage is consumed by several branches: the expensive input
@@ -30,8 +17,5 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -35,8 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The folder comes from ``spark.checkpoint.dir`` (or one already set on the
-    context).  Only when neither is set -- a laptop or a test -- do we make a
-    fresh local folder and register it.
+    context).  When neither is set, a local master gets a fresh local folder; on
+    a cluster that is an error, as executors would not see what the driver made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="parley-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

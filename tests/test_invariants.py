@@ -33,7 +33,7 @@ def test_resolution_totals_bounded_by_messages(spark):
 
 
 def test_rollup_equals_grouping_sets(spark):
-    """The hour-partial ladder gives what GROUPING SETS over raw rows gives."""
+    """The expanded hour partials give what GROUPING SETS over raw rows gives."""
     m = order_messages(spark, SMALL)
     m.createOrReplaceTempView("gs_messages")
     brute = spark.sql("""

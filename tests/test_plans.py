@@ -52,6 +52,27 @@ def test_flagship_shuffle_stages_are_bounded(spark):
     assert m is not None
 
 
+@pytest.mark.parametrize(("keys", "columns"), [([], ["n"]), ([], ["resolved", "escalated"]), (["conversation_id"], ["n"]),
+                                              (["user_id"], ["n"])])
+def test_single_measures_shuffle_only_their_own_keys(spark, keys, columns):
+    text = plan_text(hour_partials(event_messages(spark, SMALL), "UTC", keys, columns))
+    exchange = text[text.index("Exchange hashpartitioning"):].split("\n")[0]
+    for key in ("user_id", "conversation_id"):
+        assert (key in exchange) == (key in keys)
+    assert "first_ms" not in text
+
+
+@pytest.mark.parametrize("name", ["message_totals", "resolution_totals"])
+def test_totals_read_neither_users_nor_conversations(spark, name):
+    text = plan_text(E.queries()[name](spark, SMALL))
+    assert "user_id" not in text and "conversation_id" not in text
+
+
+def test_no_size_test_before_a_shuffle(spark):
+    """The scan keeps its splits unless the caller asks for a number of partitions."""
+    assert "RoundRobin" not in plan_text(load_table(spark, SMALL, "events"))
+
+
 def test_latest_visitor_combines_before_the_shuffle(spark):
     """A user with a third of the messages is reduced per task, not shipped whole."""
     text = plan_text(E.queries()["visitors_latest"](spark, SMALL))

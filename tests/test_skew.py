@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+import pytest
+
 from conftest import messages
 from parley.operators import measures as M
+from parley.plans.rollup import user_conversations
 
 T0 = 1_704_067_200_000
 
@@ -25,20 +28,32 @@ def _rows():
     return hot + anon + rest
 
 
-def test_hot_keys_give_exact_measures_and_split_join(spark):
+@pytest.fixture
+def skewed(spark):
     old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     for k, v in SKEW_CONF.items():
         spark.conf.set(k, v)
-    try:
-        df = M.multi_grain_measures(messages(spark, _rows()))
-        got = {(r["grain"], r["bucket"]): r for r in df.collect()}
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("query", [M.conversation_steps, M.steps_per_user_avg])
+def test_single_measures_split_a_hot_conversation(skewed, query):
+    df = query(user_conversations(messages(skewed, _rows())))
+    assert df.count() > 0
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "skew=true" in plan, plan
+
+
+def test_hot_keys_give_exact_measures_and_split_join(skewed):
+    df = M.multi_grain_measures(messages(skewed, _rows()))
+    got = {(r["grain"], r["bucket"]): r for r in df.collect()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
     d = got[("day", dt.datetime(2024, 1, 1))]
     assert d["message_totals"] == 9000
     assert d["user_totals"] == 3000 + 1 + 3000
