@@ -15,8 +15,13 @@ def interactions(user_messages: DataFrame, system_texts: DataFrame,
     """Every utterance and every system text as one company-scoped log (bag union).
 
     The two shapes are aligned by name; fields one side lacks are NULL.  When
-    ``enabled`` is off the log is empty (same schema).
+    ``enabled`` is off the log is empty (same schema).  Decoder output must be
+    divided first (``codec.split_valid``): a record that could not be decoded
+    would become a row of NULLs.
     """
+    for side in (user_messages, system_texts):
+        if "decode_error" in side.columns:
+            raise ValueError("divide decoder output with split_valid before the union")
     utt = user_messages.select(F.lit("utterance").alias("kind"),
                                *[F.col("utterance")[f].alias(f) for f in UTTERANCE_FIELDS])
     sys_ = system_texts.select(F.lit("system_text").alias("kind"),

@@ -17,6 +17,7 @@ from parley.plans.sql_fixtures import EVENT_MESSAGES
 from parley.sources import codec
 from parley.sources import fixtures as X
 from parley.sources import topics as TP
+from parley.sources.topics import keyed
 from parley.sources.store import append_messages, load_messages
 from parley.schemas import MEASURE_COLUMNS
 
@@ -328,12 +329,12 @@ SELECT 'acme' AS company_id,
        CASE WHEN role <> 'user' THEN 'main' END AS flow,
        CASE WHEN role = 'user' THEN 'turn' || CAST(turn AS VARCHAR) END AS intent_name,
        ms AS timestamp, time
-FROM conv""")
+FROM conv WHERE (conv_id + turn) % 11 NOT IN (3, 5, 6)""")
 def interactions_union(spark, sf_dir):
-    """Utterances and system texts in one company-scoped log (union by name)."""
+    """Keyed, well-formed utterances and system texts in one company-scoped log (union by name)."""
     conv = X.load_table(spark, sf_dir, "conversations")
-    um = codec.decode_user_message(X.user_message_payloads(conv))
-    st = codec.decode_system_text(X.system_text_payloads(conv))
+    um, _ = codec.split_valid(codec.decode_user_message(keyed(X.chat_payloads(conv, X.user_message_payloads))))
+    st, _ = codec.split_valid(codec.decode_system_text(keyed(X.chat_payloads(conv, X.system_text_payloads))))
     log = interactions(um, st, "acme")
     return log.select("company_id", "kind", "messageType", "sender", "recipient", "text",
                       "node", "nodeType", "parent", "flow",

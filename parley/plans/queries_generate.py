@@ -15,21 +15,21 @@ STATUS_STREAM = 3
 PRESENCE_STREAM = 4
 
 
-def _u_sql(stream: int) -> str:
-    return (f"(CAST((CAST(event_id AS HUGEINT) * {R.HASH_MULTIPLIERS[stream]})"
-            f" % {R.HASH_MODULUS} AS DOUBLE) / {float(R.HASH_MODULUS)})")
-
-
-def _case_sql(stream: int, weights) -> str:
-    names = [n for n, _ in weights]
-    whens = " ".join(f"WHEN {_u_sql(stream)} < {b!r} THEN '{n}'"
-                     for n, b in zip(names[:-1], R.thresholds(weights)[:-1]))
-    return f"CASE {whens} ELSE '{names[-1]}' END"
-
-
-@register("weighted_category", "\nUNION ALL\n".join(
-    f"SELECT '{field}' AS field, {_case_sql(s, w)} AS category, count(*) AS rows "
-    f"FROM events GROUP BY ALL" for field, s, w in DRAWS))
+# The numbers below are written out, so that the SQL does not share the code's constants.
+_U = "(CAST((CAST(event_id AS HUGEINT) * {}) % 4294967296 AS DOUBLE) / 4294967296.0)"
+_U0, _U1, _U2, _U3, _U4 = (_U.format(n) for n in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+_STATUS_SQL = (f"CASE WHEN {_U3} < 0.5 THEN 'resolved' WHEN {_U3} < 0.75 THEN 'unresolved' "
+               f"WHEN {_U3} < 0.92 THEN 'abandoned' ELSE 'escalated' END")
+
+
+@register("weighted_category", f"""
+SELECT field, category, count(*) AS rows FROM (
+  SELECT 'browser' AS field, CASE WHEN {_U0} < 0.25 THEN 'chrome' WHEN {_U0} < 0.5 THEN 'firefox'
+                                  WHEN {_U0} < 0.75 THEN 'ie' ELSE 'opera' END AS category FROM events
+  UNION ALL SELECT 'device', CASE WHEN {_U1} < 0.5 THEN 'apple' ELSE 'android' END FROM events
+  UNION ALL SELECT 'operating_system', CASE WHEN {_U2} < 0.33 THEN 'linux' WHEN {_U2} < 0.67 THEN 'windows'
+                                            ELSE 'macos' END FROM events
+  UNION ALL SELECT 'resolution_status', {_STATUS_SQL} FROM events) GROUP BY ALL""")
 def weighted_category(spark, sf_dir):
     """Each event draws browser, device, OS and status by the generator's weights; counts."""
     e = load_table(spark, sf_dir, "events")
@@ -42,9 +42,7 @@ def weighted_category(spark, sf_dir):
 
 
 @register("probability_filter", f"""
-SELECT CASE WHEN {_u_sql(PRESENCE_STREAM)} > {R.STATUS_PRESENT_ABOVE!r}
-            THEN {_case_sql(STATUS_STREAM, R.RESOLUTION_WEIGHTS)} ELSE '' END AS resolution_status,
-       count(*) AS rows
+SELECT CASE WHEN {_U4} > 0.75 THEN {_STATUS_SQL} ELSE '' END AS resolution_status, count(*) AS rows
 FROM events GROUP BY ALL""")
 def probability_filter(spark, sf_dir):
     """A status is present on about a quarter of rows, drawn by weight; counts per status."""

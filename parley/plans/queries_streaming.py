@@ -14,9 +14,10 @@ from parley.operators import measures as M
 from parley.plans.catalog import register, round_measures
 from parley.plans.sql_fixtures import EVENT_MESSAGES, measures_sql
 from parley.session import scratch_path
-from parley.sources.fixtures import damaged_payloads, event_messages, load_table
-from parley.sources.store import append_messages, load_messages, multi_sink
-from parley.streaming.ingest import ingest_responses, text_stream
+from parley.sources.fixtures import chat_payloads, damaged_payloads, event_messages, load_table, response_payloads
+from parley.sources.store import append_messages, compact_messages, expire_messages, load_messages, multi_sink
+from parley.streaming.compaction import read_log
+from parley.streaming.ingest import Sinks, ingest_responses, quarantine_of, text_stream
 from parley.streaming.interactions import ingest_chat_log, visitors_table
 from parley.streaming.metrics import measures_from_log, partials_sink
 from parley.plans.queries_codec import CONV_SQL
@@ -24,24 +25,29 @@ from parley.sources.fixtures import system_text_payloads, user_message_payloads
 
 SCALAR_COLUMNS = [c for c in S.MESSAGE_COLUMNS if c not in ("intents", "entities")]
 
-VALID_SQL = f"""
+RESPONSE_SQL = f"""
 WITH {EVENT_MESSAGES},
-valid AS (
+sent AS (
   SELECT * REPLACE (CASE WHEN event_id % 29 = 0 THEN '' ELSE dialog_node END AS dialog_node,
                     text || CASE WHEN event_id % 2 = 0 THEN ' again' ELSE '' END AS text)
-  FROM event_messages WHERE event_id % 13 NOT BETWEEN 1 AND 4
+  FROM event_messages
 )"""
+VALID_SQL = f"""{RESPONSE_SQL},
+valid AS (SELECT * FROM sent WHERE event_id % 13 NOT BETWEEN 1 AND 4)"""
 
 
-def _run_ingest(spark, sf_dir, with_partials: bool = False):
+def _run_ingest(spark, sf_dir, with_partials: bool = False, parts: int | None = None):
+    """Ingest the damaged payloads, in one micro-batch or dealt over ``parts`` of them."""
     drop = scratch_path(spark, "drop")
-    damaged_payloads(load_table(spark, sf_dir, "events")).select("value").write.text(drop)
+    payloads = damaged_payloads(load_table(spark, sf_dir, "events")).select("value")
+    (payloads.repartition(parts) if parts else payloads).write.text(drop)
+    files = 1 if parts else None
     store, quarantine = scratch_path(spark, "store"), scratch_path(spark, "quarantine")
     log = scratch_path(spark, "partials")
-    sinks = [partials_sink(log, time_zone="UTC")] if with_partials else None
-    q = ingest_responses(text_stream(spark, drop), store,
+    sinks = Sinks(partials=partials_sink(log, time_zone="UTC")) if with_partials else None
+    q = ingest_responses(text_stream(spark, drop, max_files_per_trigger=files), store,
                          scratch_path(spark, "ckpt"), quarantine,
-                         trigger={"availableNow": True}, extra_sinks=sinks)
+                         trigger={"availableNow": True}, sinks=sinks)
     q.awaitTermination()
     return store, quarantine, log
 
@@ -63,15 +69,15 @@ FROM events WHERE event_id % 13 BETWEEN 1 AND 4 GROUP BY ALL""")
 def stream_quarantine(spark, sf_dir):
     """What the ingest stream set aside, counted by reason."""
     _, quarantine, _ = _run_ingest(spark, sf_dir)
-    q = spark.read.parquet(quarantine)
+    q = read_log(spark, quarantine)
     return q.groupBy("decode_error").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("stream_measures", f"""{VALID_SQL}, {measures_sql('valid')}
 SELECT grain, bucket, {", ".join(n for n, _ in M.MEASURES)} FROM wide""")
 def stream_measures(spark, sf_dir):
-    """Measures from the per-batch hour-partial log the ingest stream appends to."""
-    _, _, log = _run_ingest(spark, sf_dir, with_partials=True)
+    """Measures from the per-batch hour-partial log the ingest stream appends to (three micro-batches)."""
+    _, _, log = _run_ingest(spark, sf_dir, with_partials=True, parts=3)
     return round_measures(measures_from_log(spark, log))
 
 
@@ -98,7 +104,7 @@ def multi_sink_query(spark, sf_dir):
     """One batch handed to two writers; each receives every record."""
     m = event_messages(spark, sf_dir).select("conversation_id", "timestamp")
     paths = {name: scratch_path(spark, name) for name in ("archive", "analytics")}
-    multi_sink(m, [lambda df, p=p: df.write.parquet(p) for p in paths.values()])
+    multi_sink(m, [lambda df, _, p=p: df.write.parquet(p) for p in paths.values()])
     out = None
     for name, p in paths.items():
         part = spark.read.parquet(p).select(F.lit(name).alias("sink"), "*")
@@ -107,14 +113,15 @@ def multi_sink_query(spark, sf_dir):
 
 
 def _run_chat_log(spark, sf_dir):
+    """Keyed sources with null keys and damaged records, each in two files, over two micro-batches or more."""
     conv = load_table(spark, sf_dir, "conversations")
-    users_dir, texts_dir = scratch_path(spark, "user-drop"), scratch_path(spark, "text-drop")
-    user_message_payloads(conv).select("value").write.text(users_dir)
-    system_text_payloads(conv).select("value").write.text(texts_dir)
+    drops = []
+    for make in (user_message_payloads, system_text_payloads):
+        drops.append(scratch_path(spark, "chat-drop"))
+        chat_payloads(conv, make).select("key", "value").repartition(2).write.json(drops[-1])
+    streams = [spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", 1).json(d) for d in drops]
     log, visitors = scratch_path(spark, "interactions"), scratch_path(spark, "visitors")
-    q = ingest_chat_log(text_stream(spark, users_dir), text_stream(spark, texts_dir), log,
-                        visitors, scratch_path(spark, "ckpt"), "acme",
-                        trigger={"availableNow": True})
+    q = ingest_chat_log(*streams, log, visitors, scratch_path(spark, "ckpt"), "acme", trigger={"availableNow": True})
     q.awaitTermination()
     return log, visitors
 
@@ -127,21 +134,50 @@ SELECT 'acme' AS company_id,
        text,
        CASE WHEN role <> 'user' THEN 'node_' || CAST(turn AS VARCHAR) END AS node,
        ms AS timestamp
-FROM conv""")
+FROM conv WHERE (conv_id + turn) % 11 NOT IN (3, 5, 6)""")
 def stream_interactions(spark, sf_dir):
-    """Two message streams -> one company-scoped interaction log (appended per batch)."""
+    """Two keyed message streams -> one company-scoped interaction log (appended per batch)."""
     log, _ = _run_chat_log(spark, sf_dir)
-    return spark.read.parquet(log).select("company_id", "kind", "sender", "recipient", "text",
+    return read_log(spark, log).select("company_id", "kind", "sender", "recipient", "text",
                                           "node", "timestamp")
 
 
 @register("stream_visitors", f"""{CONV_SQL}
 SELECT uid AS user_id, 'First' || CAST(conv_id % 37 AS VARCHAR) AS firstName,
        ['en', 'fr', 'de'][turn % 3 + 1] AS locale, ms AS last_seen_ms
-FROM conv WHERE role = 'user'
+FROM conv WHERE role = 'user' AND (conv_id + turn) % 11 NOT IN (3, 5, 6)
 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ms DESC) = 1""")
 def stream_visitors(spark, sf_dir):
     """Visitor records upserted from the user-message stream (last write wins)."""
     _, visitors = _run_chat_log(spark, sf_dir)
     return visitors_table(spark, visitors).select("user_id", "firstName", "locale",
                                                    "last_seen_ms")
+
+
+@register("stream_chat_quarantine", """
+SELECT CASE WHEN role = 'user' THEN 'user_message' ELSE 'system_text' END AS kind,
+       CASE (conv_id + turn) % 11 WHEN 5 THEN 'malformed'
+            ELSE CASE WHEN role = 'user' THEN 'missing:user' ELSE 'missing:messageType' END END AS decode_error,
+       count(*) AS rows
+FROM conversations WHERE (conv_id + turn) % 11 IN (5, 6) GROUP BY ALL""")
+def stream_chat_quarantine(spark, sf_dir):
+    """What the chat-log stream set aside, counted by kind and reason."""
+    log, _ = _run_chat_log(spark, sf_dir)
+    return read_log(spark, quarantine_of(log)).groupBy("kind", "decode_error").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("append_two_runs", f"""{RESPONSE_SQL}
+SELECT {", ".join(SCALAR_COLUMNS)} FROM sent""")
+def append_two_runs(spark, sf_dir):
+    """Two ingest queries with their own checkpoints write one store, with a compaction and an expiry between."""
+    store = scratch_path(spark, "store")
+    payloads = response_payloads(load_table(spark, sf_dir, "events"))
+    for part in range(2):
+        drop = scratch_path(spark, "drop")
+        payloads.where(F.pmod(F.col("event_id"), F.lit(2)) == part).select("value").repartition(2).write.text(drop)
+        ingest_responses(text_stream(spark, drop, max_files_per_trigger=1), store, scratch_path(spark, "ckpt"),
+                         trigger={"availableNow": True}).awaitTermination()
+        if part == 0:
+            compact_messages(spark, store, 0)
+            expire_messages(spark, store)
+    return load_messages(spark, store, SCALAR_COLUMNS)

@@ -106,16 +106,26 @@ def period_change_double(spark, sf_dir):
 SELECT t.grain, t.measure, t.value AS this_period, l.value AS last_period,
        round(CASE WHEN l.value IS NULL THEN NULL WHEN l.value = 0 THEN 1.0
                   ELSE (t.value - l.value) / l.value END, 6) AS change,
-       t.points AS data_points, least(t.points, 5) AS sparkline_points
+       t.points AS data_points, least(t.points, 5) AS sparkline_points,
+       round(d.data_weighted, 3) AS data_weighted, round(d.sparkline_weighted, 3) AS sparkline_weighted
 FROM ranked t LEFT JOIN ranked l
   ON l.grain = t.grain AND l.measure = t.measure AND l.back = 2
+JOIN (SELECT grain, measure, sum((points - back + 1) * value) AS data_weighted,
+             sum(back * value) FILTER (WHERE back <= 5) AS sparkline_weighted
+      FROM ranked GROUP BY ALL) d ON d.grain = t.grain AND d.measure = t.measure
 WHERE t.back = 1"""))
 def measure_bundle(spark, sf_dir):
-    """Per grain a map measure -> series record, read back as one row per entry."""
+    """Per grain a map measure -> series record, read back as one row per entry.
+
+    The weighted sums (position times value) tell values and their order.
+    """
+    weighted = lambda c: F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     b = T.measure_bundle(_orders_wide(spark, sf_dir))
     e = b.select("grain", F.explode("measures").alias("measure", "r"))
     return e.select("grain", "measure", F.col("r.this_period").alias("this_period"),
                     F.col("r.last_period").alias("last_period"),
                     F.round("r.change", RATIO_DIGITS).alias("change"),
                     F.size("r.data").cast("bigint").alias("data_points"),
-                    F.size("r.sparkline").cast("bigint").alias("sparkline_points"))
+                    F.size("r.sparkline").cast("bigint").alias("sparkline_points"),
+                    F.round(weighted("r.data"), 3).alias("data_weighted"),
+                    F.round(weighted("r.sparkline"), 3).alias("sparkline_weighted"))

@@ -320,6 +320,17 @@ def system_text_payloads(conversations: DataFrame) -> DataFrame:
                       F.to_json(F.struct(*fields)).alias("value"))
 
 
+def chat_payloads(conversations: DataFrame, make) -> DataFrame:
+    """Payloads of ``make`` with null keys and damaged records, by class of ``conv_id + turn``.
+
+    Of 11: class 3 has no key, class 5 is cut off, class 6 is an empty object.
+    """
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11))
+    return make(conversations).select(
+        "conv_id", "turn", F.when(k != 3, F.col("key")).alias("key"),
+        F.when(k == 5, F.lit("{bad")).when(k == 6, F.lit("{}")).otherwise(F.col("value")).alias("value"))
+
+
 def request_value() -> Column:
     """The JSON text of an ``events`` row's bot request.
 

@@ -1,11 +1,11 @@
-"""Parquet message store: idempotent appends and typed scans.
-
-Layout: ``path/batch_id=N/[day=YYYY-MM-DD/]part-*.parquet``.  Each
-micro-batch owns its folder, so a replayed batch overwrites exactly its own
-files.  With ``by_day`` the rows inside a batch are also split by the UTC day
-of their timestamp, so a reader bounded in time prunes whole folders.  A
-store keeps one layout: Spark's partition discovery rejects a mix of batch
-folders with and without ``day=`` folders.
+"""Parquet message store: idempotent appends, typed scans, compaction by day.
+
+``path/run=<id>/batch_id=N`` holds what one micro-batch appended (see
+``sources.folders``).  ``compact_messages`` moves the slices up to a committed
+batch into day folders, ``run=<id>/_days/through=N/day=D``, and writes a manifest
+of the live ones to ``_snapshots/through=N``: days that got no new rows keep
+their folders.  A scan reads the manifest, the live day folders that ``since``
+leaves, and the later slices, each by name, so covered folders are not listed.
 """
 
 from __future__ import annotations
@@ -18,93 +18,113 @@ from pyspark.sql import functions as F
 
 from parley import schemas as S
 from parley.functions.calendar import epoch_ms_to_local
-from parley.streaming.compaction import SNAPSHOTS, newest_snapshot
+from parley.sources import folders
 
 
 def _day(ts_ms) -> F.Column:
     return epoch_ms_to_local(ts_ms, "UTC").cast("date")
 
 
-def append_messages(df: DataFrame, path: str, batch_id: int | None = None,
-                    single_file: bool = False, by_day: bool = False) -> None:
-    """Append message rows to the Parquet store at ``path``.
+def append_messages(df: DataFrame, path: str, batch_id: int | None = None, run: str | None = None,
+                    single_file: bool = False) -> None:
+    """Append message rows to the store at ``path``.
 
-    With a ``batch_id`` the rows go to ``path/batch_id=N`` with overwrite, so
-    replaying a micro-batch after a failure replaces its files instead of
-    duplicating them; without one they are appended under ``batch_id=-1``.
-    ``single_file`` writes one file per batch (per day with ``by_day``).
+    With a ``batch_id`` the rows are that batch's slice of the run (the streaming
+    query's id, or ``run``), and a replay replaces it; without one they are
+    appended under ``batch_id=-1``, which no snapshot covers.
     """
     out = df.coalesce(1) if single_file else df
-    target = f"{path.rstrip('/')}/batch_id={-1 if batch_id is None else batch_id}"
-    writer = out.write
-    if by_day:
-        writer = out.withColumn("day", _day(F.col("timestamp"))).write.partitionBy("day")
-    writer.mode("append" if batch_id is None else "overwrite").parquet(target)
+    run = run or folders.current_run(df.sparkSession)
+    target = folders.slice_path(path, run, -1 if batch_id is None else batch_id)
+    out.write.mode("append" if batch_id is None else "overwrite").parquet(target)
 
 
-STORE_SCHEMA = S.MESSAGE + ", batch_id bigint, day date"
+def _live(spark: SparkSession, path: str, run: str, since: dt.date | None = None) -> list[str]:
+    """Folders of a run that a scan reads: day folders from ``since`` on, and later slices."""
+    snap = folders.snapshot(spark, path, run)
+    days = []
+    if snap is not None:
+        manifest = spark.read.schema("day date, folder string").parquet(snap[1])
+        if since is not None:
+            manifest = manifest.where(F.col("day").isNull() | (F.col("day") >= F.lit(since)))
+        days = [f"{folders.run_path(path, run)}/{r.folder}" for r in manifest.collect()]   # one row per day
+    return days + [p for _, p in folders.slices(spark, path, run, after=snap[0] if snap else None)]
 
 
-def _stored(spark: SparkSession, path: str, through: int | None = None) -> DataFrame:
-    """Every stored row: the newest snapshot plus the batch folders after it.
-
-    Batch ids are partition values, so folders covered by the snapshot are
-    pruned at listing time.  Appends without a batch id (``batch_id=-1``)
-    never enter a snapshot and are always read.
-    """
-    snap = newest_snapshot(spark, path)
-    df = spark.read.schema(STORE_SCHEMA).parquet(path)
-    if snap is not None:
-        df = df.where((F.col("batch_id") > snap[0]) | (F.col("batch_id") < 0))
-    if through is not None:
-        df = df.where(F.col("batch_id") <= through)
-    if snap is None:
-        return df
-    base = (spark.read.schema(S.MESSAGE + ", day date").parquet(snap[1])
-                 .withColumn("batch_id", F.lit(None).cast("bigint")))
-    return base.unionByName(df)
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], S.MESSAGE)
+    return spark.read.schema(S.MESSAGE).parquet(*paths)
 
 
 def load_messages(spark: SparkSession, path: str, columns: list[str] | None = None,
                   since: dt.date | str | None = None) -> DataFrame:
-    """Typed scan of the store; only ``columns`` are read from the files.
+    """Typed scan of all runs; only ``columns`` are read from the files.
 
-    ``since`` keeps messages from that UTC day on.  In a store written with
-    ``by_day`` the earlier day folders are pruned before any file is read;
-    the timestamp filter applies in every layout.
+    ``since`` keeps messages from that UTC day on; compacted days before it are
+    not listed.
     """
-    df = _stored(spark, path)
-    if since is not None:
-        day = dt.date.fromisoformat(since) if isinstance(since, str) else since
-        start_ms = int(dt.datetime(day.year, day.month, day.day,
-                                   tzinfo=dt.timezone.utc).timestamp() * 1000)
-        df = df.where((F.col("day").isNull() | (F.col("day") >= F.lit(day)))
-                      & (F.col("timestamp") >= F.lit(start_ms)))
+    day = dt.date.fromisoformat(since) if isinstance(since, str) else since
+    df = _read(spark, [p for run in folders.runs(spark, path) for p in _live(spark, path, run, day)])
+    if day is not None:
+        start_ms = int(dt.datetime(day.year, day.month, day.day, tzinfo=dt.timezone.utc).timestamp() * 1000)
+        df = df.where(F.col("timestamp") >= F.lit(start_ms))
     return df.select(*(columns or S.MESSAGE_COLUMNS))
 
 
-def compact_messages(spark: SparkSession, path: str, through: int) -> str:
-    """Rewrite batches ``0..through`` (and the previous snapshot) as one snapshot.
+def compact_messages(spark: SparkSession, path: str, through: int, run: str | None = None,
+                     files_per_day: int = 8) -> str:
+    """Move a run's batches up to ``through`` into day folders; returns the manifest's folder.
 
-    The snapshot keeps ``day=`` folders (rows from stores without them go to
-    Spark's null-day folder), so ``since`` still prunes it.  ``through`` must
-    be a committed batch; see ``streaming.compaction``.
+    Only days with new rows are rewritten, as ``files_per_day`` files at most.
+    ``through`` must be a batch that the stream has committed (at most
+    ``query.lastProgress["batchId"] - 1`` while it runs).  ``run`` may be left out
+    if the store has one.
     """
-    snap = newest_snapshot(spark, path)
+    run = folders.one_run(spark, path, run)
+    base = folders.run_path(path, run)
+    snap = folders.snapshot(spark, path, run)
     if snap is not None and through <= snap[0]:
         return snap[1]
-    target = f"{path.rstrip('/')}/{SNAPSHOTS}/through={through}"
-    rows = _stored(spark, path, through).where(
-        F.col("batch_id").isNull() | (F.col("batch_id") >= 0))
-    rows.drop("batch_id").write.mode("overwrite").partitionBy("day").parquet(target)
+    live = {}
+    if snap is not None:
+        live = {r.day: r.folder for r in spark.read.schema("day date, folder string").parquet(snap[1]).collect()}
+    new = [p for n, p in folders.slices(spark, path, run, after=snap[0] if snap else None, through=through) if n >= 0]
+    fresh = _read(spark, new).withColumn("day", _day(F.col("timestamp")))
+    touched = [r.day for r in fresh.select("day").distinct().collect()]   # calendar days
+    again = _read(spark, [f"{base}/{live[d]}" for d in touched if d in live]).withColumn("day", _day(F.col("timestamp")))
+    days = f"_days/through={through}"
+    salt = F.pmod(F.xxhash64("conversation_id", "timestamp"), F.lit(files_per_day))
+    (fresh.unionByName(again).repartition("day", salt).write.mode("overwrite").partitionBy("day").parquet(f"{base}/{days}"))
+    for d in touched:
+        live[d] = f"{days}/day={d or '__HIVE_DEFAULT_PARTITION__'}"
+    target = f"{base}/_snapshots/through={through}"
+    spark.createDataFrame(list(live.items()), "day date, folder string").coalesce(1).write.mode("overwrite").parquet(target)
     return target
 
 
-def multi_sink(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
-    """Hand the same rows to several writers, computing them once."""
+def expire_messages(spark: SparkSession, path: str) -> int:
+    """Delete covered slices, older manifests and day folders that the newest manifest leaves out."""
+    gone = folders.expire(spark, path)
+    for run in folders.runs(spark, path):
+        snap = folders.snapshot(spark, path, run)
+        if snap is None:
+            continue
+        live = {r.folder for r in spark.read.schema("day date, folder string").parquet(snap[1]).collect()}
+        base = folders.run_path(path, run)
+        for written in folders.children(spark, f"{base}/_days", "through="):
+            for day in folders.children(spark, f"{base}/_days/{written}", "day="):
+                if f"_days/{written}/{day}" not in live:
+                    folders.delete(spark, f"{base}/_days/{written}/{day}")
+                    gone += 1
+    return gone
+
+
+def multi_sink(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], batch_id: int = 0) -> None:
+    """Hand the same rows and their batch id to several writers, computing the rows once."""
     df = df.persist()
     try:
         for sink in sinks:
-            sink(df)
+            sink(df, batch_id)
     finally:
         df.unpersist()

@@ -1,92 +1,55 @@
 """Compaction of the per-batch slice logs (hour partials, visitor records).
 
-Each micro-batch writes its own ``batch_id=N`` folder, and readers merge every
-slice (the merges are mergeable aggregates).  With one-minute batches that is
-about half a million small folders a year.  ``compact`` merges the newest
+Each micro-batch writes its own slice (``sources.folders``), and readers merge
+every slice; the merges are mergeable aggregates.  With one-minute batches that
+is about half a million small folders a year.  ``compact`` merges a run's newest
 snapshot and the slices after it, up to batch ``through``, into
-``<log>/_snapshots/through=N``; ``read_log`` returns the newest complete
-snapshot plus only the slices written after it.  Because every merge is
-mergeable, results are identical with or without compaction.
-
-Spark's file listing skips folders whose names start with ``_``, so a plain
-read of the log never sees the snapshots.  A snapshot counts only once its
-``_SUCCESS`` marker exists, so the stream can keep appending while a
-compaction runs, and a half-written snapshot is never read.  Slices at or
-below a snapshot are no longer read and can be expired by the storage's
-lifecycle rules.
+``run=<id>/_snapshots/through=N``; ``read_log`` returns every run's newest
+complete snapshot and only the slices written after it, each by name.  Results
+are identical with or without compaction; ``folders.expire`` deletes what a
+snapshot covers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-
-SNAPSHOTS = "_snapshots"
-
 
-def newest_snapshot(spark: SparkSession, log_path: str) -> tuple[int, str] | None:
-    """``(through, path)`` of the newest complete snapshot of a log, if any.
+from parley.sources import folders
 
-    Lists one folder of snapshot names through the Hadoop file system API
-    (the same one Spark writes through), so it works on any shared storage.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(f"{log_path.rstrip('/')}/{SNAPSHOTS}")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    best = None
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if not name.startswith("through="):
-            continue
-        if not fs.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
-            continue
-        through = int(name.split("=", 1)[1])
-        if best is None or through > best[0]:
-            best = (through, status.getPath().toString())
-    return best
 
+def _run_log(spark: SparkSession, log_path: str, run: str, through: int | None = None) -> list[DataFrame]:
+    snap = folders.snapshot(spark, log_path, run)
+    later = folders.slices(spark, log_path, run, after=snap[0] if snap else None, through=through)
+    parts = [spark.read.parquet(snap[1])] if snap else []
+    return parts + ([spark.read.parquet(*[p for _, p in later])] if later else [])
 
-def read_log(spark: SparkSession, log_path: str, through: int | None = None) -> DataFrame:
-    """Unmerged rows of a slice log: newest snapshot plus the later slices.
 
-    ``through`` caps the slices read (used by ``compact``).  The ``batch_id``
-    bounds are partition filters, so skipped slices are pruned before any
-    file is opened.
-    """
-    snap = newest_snapshot(spark, log_path)
-    if snap is None:
-        slices = spark.read.parquet(log_path)
-    else:
-        # the snapshot's schema also reads a log whose older slices have expired
-        base = spark.read.parquet(snap[1])
-        schema = StructType([*base.schema.fields, StructField("batch_id", LongType())])
-        slices = (spark.read.schema(schema).parquet(log_path)
-                       .where(F.col("batch_id") > snap[0]))
-    if through is not None:
-        slices = slices.where(F.col("batch_id") <= through)
-    rows = slices.drop("batch_id")
-    return rows if snap is None else base.unionByName(rows)
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """Unmerged rows of a slice log, all runs: newest snapshots plus the later slices."""
+    parts = [df for run in folders.runs(spark, log_path) for df in _run_log(spark, log_path, run)]
+    if not parts:
+        raise ValueError(f"{log_path} holds no slices")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compact(spark: SparkSession, log_path: str, through: int,
-            merge: Callable[[DataFrame], DataFrame]) -> str:
-    """Merge everything up to batch ``through`` into a new snapshot; return its path.
-
-    ``merge`` must be the log's own mergeable combine (for example
-    ``plans.rollup.merge_partials`` keyed by hour, user and conversation), so
-    merging a snapshot again with later slices gives the same rows as merging
-    all slices at once.  ``through`` must be a batch the stream has committed
-    (at most ``query.lastProgress["batchId"] - 1`` while it runs): only the
-    newest, uncommitted batch can be replayed and rewrite its slice.
+            merge: Callable[[DataFrame], DataFrame], run: str | None = None) -> str:
+    """Merge a run's log up to batch ``through`` into a new snapshot; return its path.
+
+    ``merge`` must be the log's own mergeable combine, so merging a snapshot again
+    with later slices gives the same rows as merging all slices at once.
+    ``through`` must be a batch the stream has committed (at most
+    ``query.lastProgress["batchId"] - 1`` while it runs): only the newest,
+    uncommitted batch can be replayed and rewrite its slice.
     """
-    snap = newest_snapshot(spark, log_path)
+    run = folders.one_run(spark, log_path, run)
+    snap = folders.snapshot(spark, log_path, run)
     if snap is not None and through <= snap[0]:
         return snap[1]   # already covered; a complete snapshot is never rewritten
-    path = f"{log_path.rstrip('/')}/{SNAPSHOTS}/through={through}"
-    merge(read_log(spark, log_path, through)).write.mode("overwrite").parquet(path)
+    path = f"{folders.run_path(log_path, run)}/_snapshots/through={through}"
+    rows = reduce(DataFrame.unionByName, _run_log(spark, log_path, run, through))
+    merge(rows).write.mode("overwrite").parquet(path)
     return path

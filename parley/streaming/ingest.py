@@ -2,21 +2,25 @@
 
 Sources are a topic (``sources.topics.read_topic``) or a folder that JSON
 files are dropped into (``text_stream``).  Each micro-batch is decoded once;
-valid rows are flattened and written under ``batch_id=N`` (overwrite, so a
-replayed batch replaces its own files), invalid rows go to a quarantine
-folder with the reason.  Progress is recorded in the checkpoint only after
+valid rows are flattened and written as the batch's slice of its run (a replayed
+batch replaces its own files), and all other rows, with the reason, to a
+quarantine beside the store.  Progress is recorded in the checkpoint only after
 the batch's writes succeed.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators.flatten import flatten
-from parley.sources.codec import ERROR, decode_response, split_valid
+from parley.sources.codec import ERROR, decode_response
+from parley.sources.folders import write_slice
 from parley.sources.store import append_messages
 from parley.sources.topics import keyed
 
@@ -32,53 +36,92 @@ def text_stream(spark: SparkSession, directory: str,
     return reader.text(directory)
 
 
-def batch_writer(store_path: str, quarantine_path: str | None = None,
-                 extra_sinks: list[Callable[[DataFrame, int], None]] | None = None,
-                 single_file: bool = False, by_day: bool = False
-                 ) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` function: decode once, write good and bad rows, then extra sinks."""
+def quarantine_of(path: str) -> str:
+    """Where undecodable rows go unless the caller names a folder: beside the store."""
+    return f"{path.rstrip('/')}_quarantine"
+
+
+class Sinks:
+    """Writers of a running ingest, each called with (rows, batch id); any may come or go while it runs.
+
+    A writer that is added sees the batches that begin later.
+    """
+
+    def __init__(self, **sinks: Callable[[DataFrame, int], None]):
+        self._lock = threading.Lock()
+        self._sinks = dict(sinks)
+
+    def add(self, name: str, sink: Callable[[DataFrame, int], None]) -> None:
+        with self._lock:
+            self._sinks[name] = sink
+
+    def remove(self, name: str) -> None:
+        with self._lock:
+            self._sinks.pop(name, None)
+
+    def now(self) -> list[Callable[[DataFrame, int], None]]:
+        with self._lock:
+            return list(self._sinks.values())
+
+
+def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sinks | None = None,
+                 single_file: bool = False) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function: decode once, write good and bad rows, then the sinks.
+
+    What is kept between the writes is the flat row, and the raw text of bad rows only.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if "key" in batch.columns:
             batch = keyed(batch)
-        decoded = decode_response(batch.select("value")).persist()
+        decoded = decode_response(batch.select("value"))
+        bad = F.col(ERROR).isNotNull()
+        flat = flatten(decoded, keep=[ERROR, F.when(bad, F.col("value")).alias("value")]).persist()
         try:
-            good, bad = split_valid(decoded)
-            rows = flatten(good)
-            append_messages(rows, store_path, batch_id, single_file=single_file, by_day=by_day)
-            if quarantine_path:
-                (bad.select("value", ERROR).write.mode("overwrite")
-                    .parquet(f"{quarantine_path.rstrip('/')}/batch_id={batch_id}"))
-            for sink in extra_sinks or []:
+            rows = flat.where(~bad).drop(ERROR, "value")
+            append_messages(rows, store_path, batch_id, single_file=single_file)
+            write_slice(flat.where(bad).select("value", ERROR), quarantine_path or quarantine_of(store_path), batch_id)
+            for sink in sinks.now() if sinks else []:
                 sink(rows, batch_id)
         finally:
-            decoded.unpersist()
+            flat.unpersist()
 
     return handle
 
 
 def ingest_responses(stream: DataFrame, store_path: str, checkpoint_path: str,
                      quarantine_path: str | None = None,
-                     trigger: dict | None = None,
-                     extra_sinks: list[Callable[[DataFrame, int], None]] | None = None,
-                     single_file: bool = False, by_day: bool = False) -> StreamingQuery:
+                     trigger: dict | None = None, sinks: Sinks | None = None,
+                     single_file: bool = False) -> StreamingQuery:
     """Start the ingest query; the default trigger is one micro-batch per 60 seconds.
 
-    ``by_day`` additionally splits each batch's files by event day (see
-    ``sources.store``) for readers that prune by time.
+    Every keyed record ends up in the store or in the quarantine
+    (``quarantine_of(store_path)`` unless another is named).
     """
     return (stream.writeStream
-            .foreachBatch(batch_writer(store_path, quarantine_path, extra_sinks,
-                                       single_file, by_day))
+            .foreachBatch(batch_writer(store_path, quarantine_path, sinks, single_file))
             .option("checkpointLocation", checkpoint_path)
             .trigger(**(trigger or DEFAULT_TRIGGER))
             .start())
 
 
-def stop_gracefully(query: StreamingQuery, timeout_s: float | None = None) -> None:
-    """Let the running batch finish, then stop."""
-    if query.isActive:
-        query.processAllAvailable()
+def stop_gracefully(query: StreamingQuery, timeout_s: float = 60.0) -> bool:
+    """Let the batch that is running (or the first one) finish, then stop; true if it did.
+
+    A source that never runs dry does not keep it: it waits for one batch to end,
+    or for a stream with nothing to do, and at most ``timeout_s`` seconds.  A batch
+    cut off by the deadline is replayed on restart.
+    """
+    deadline = time.monotonic() + timeout_s
+    before = query.lastProgress
+    ended = False
+    while query.isActive and not ended and time.monotonic() < deadline:
+        now, status = query.lastProgress, query.status
+        moved = now is not None and (before is None or now["batchId"] > before["batchId"])
+        idle = now is not None and not status["isTriggerActive"] and not status["isDataAvailable"]
+        ended = moved or idle
+        if not ended:
+            time.sleep(0.05)
     query.stop()
-    if timeout_s:
-        query.awaitTermination(timeout_s)
+    query.awaitTermination(max(0.1, deadline - time.monotonic()))
+    return ended

@@ -1,15 +1,16 @@
 """Stream the chat log: user messages and system texts -> interaction log + visitors.
 
-Both topics feed one query (a union of the two raw streams tagged by kind),
-so each micro-batch is decoded once per kind and written once:
+Both topics feed one query (a union of the two raw streams tagged by kind).
+Records without a key are skipped where a topic has keys; each of the others is
+decoded once and ends up in one of two places:
 
-* the company-scoped interaction log is appended under ``batch_id=N``
-  (overwrite, so a replayed batch replaces its slice);
-* each batch's newest record per user is appended to a visitor log, and the
-  visitor table is the newest record per user over that log (last write
-  wins) -- an upsert without rewriting the table.
+* the company-scoped interaction log, as the batch's slice of its run (a replayed
+  batch replaces its slice), with each batch's newest record per user in a
+  visitor log; the visitor table is the newest record per user over that log
+  (last write wins) -- an upsert without rewriting the table;
+* the quarantine beside the log, with its kind and the reason.
 
-The on/off flag skips both writes while still committing progress.
+The on/off flag skips all writes while still committing progress.
 """
 
 from __future__ import annotations
@@ -21,51 +22,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators.interactions import interactions, latest_visitors
-from parley.sources.codec import decode_system_text, decode_user_message, split_valid
-from parley.sources.topics import keyed
+from parley.sources.codec import ERROR, decode_system_text, decode_user_message, split_valid
+from parley.sources.folders import write_slice
 from parley.streaming.compaction import compact, read_log
+from parley.streaming.ingest import DEFAULT_TRIGGER, quarantine_of
 
 USER_KIND = "user_message"
 SYSTEM_KIND = "system_text"
 
 
 def tagged(stream: DataFrame, kind: str) -> DataFrame:
-    """A raw ``value`` stream tagged with its message kind, for ``unionByName``."""
-    return stream.select(F.lit(kind).alias("kind"), "value")
+    """A raw stream as (kind, value, keyed); a source without keys has only keyed records."""
+    keyed = F.col("key").isNotNull() if "key" in stream.columns else F.lit(True)
+    return stream.select(F.lit(kind).alias("kind"), "value", keyed.alias("keyed"))
 
 
-def chat_log_writer(log_path: str, visitors_path: str, company_id: str,
-                    enabled: bool = True) -> Callable[[DataFrame, int], None]:
+def chat_log_writer(log_path: str, visitors_path: str, company_id: str, enabled: bool = True,
+                    quarantine_path: str | None = None) -> Callable[[DataFrame, int], None]:
     def handle(batch: DataFrame, batch_id: int) -> None:
         if not enabled:
             return
-        if "key" in batch.columns:
-            batch = keyed(batch)
-        batch = batch.persist()
+        batch = batch.where("keyed")
+        users, texts = (decode(batch.where(F.col("kind") == kind).select("value")).persist()
+                        for decode, kind in ((decode_user_message, USER_KIND), (decode_system_text, SYSTEM_KIND)))
         try:
-            users, _ = split_valid(decode_user_message(
-                batch.where(F.col("kind") == USER_KIND).select("value")))
-            texts, _ = split_valid(decode_system_text(
-                batch.where(F.col("kind") == SYSTEM_KIND).select("value")))
-            (interactions(users, texts, company_id).write.mode("overwrite")
-                .parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}"))
-            (latest_visitors(users).write.mode("overwrite")
-                .parquet(f"{visitors_path.rstrip('/')}/batch_id={batch_id}"))
+            (good_users, bad_users), (good_texts, bad_texts) = split_valid(users), split_valid(texts)
+            write_slice(interactions(good_users, good_texts, company_id), log_path, batch_id)
+            write_slice(latest_visitors(good_users), visitors_path, batch_id)
+            bad = [d.select(F.lit(kind).alias("kind"), "value", ERROR) for d, kind in ((bad_users, USER_KIND), (bad_texts, SYSTEM_KIND))]
+            write_slice(bad[0].unionByName(bad[1]), quarantine_path or quarantine_of(log_path), batch_id)
         finally:
-            batch.unpersist()
+            users.unpersist()
+            texts.unpersist()
 
     return handle
 
 
 def ingest_chat_log(user_stream: DataFrame, system_stream: DataFrame, log_path: str,
                     visitors_path: str, checkpoint_path: str, company_id: str,
-                    enabled: bool = True, trigger: dict | None = None) -> StreamingQuery:
+                    enabled: bool = True, trigger: dict | None = None,
+                    quarantine_path: str | None = None) -> StreamingQuery:
     """Start the chat-log query over the two message streams."""
     both = tagged(user_stream, USER_KIND).unionByName(tagged(system_stream, SYSTEM_KIND))
     return (both.writeStream
-            .foreachBatch(chat_log_writer(log_path, visitors_path, company_id, enabled))
+            .foreachBatch(chat_log_writer(log_path, visitors_path, company_id, enabled, quarantine_path))
             .option("checkpointLocation", checkpoint_path)
-            .trigger(**(trigger or {"processingTime": "60 seconds"}))
+            .trigger(**(trigger or DEFAULT_TRIGGER))
             .start())
 
 
@@ -82,6 +84,6 @@ def visitors_table(spark: SparkSession, visitors_path: str) -> DataFrame:
     return newest_per_user(read_log(spark, visitors_path))
 
 
-def compact_visitors(spark: SparkSession, visitors_path: str, through: int) -> str:
-    """Merge the visitor log up to batch ``through`` into one snapshot (see ``compaction``)."""
-    return compact(spark, visitors_path, through, newest_per_user)
+def compact_visitors(spark: SparkSession, visitors_path: str, through: int, run: str | None = None) -> str:
+    """Merge a run's visitor log up to batch ``through`` into one snapshot (see ``compaction``)."""
+    return compact(spark, visitors_path, through, newest_per_user, run)

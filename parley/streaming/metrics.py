@@ -2,8 +2,7 @@
 
 Instead of re-reading every stored message to refresh the measures, each
 micro-batch appends its own hour partials (``plans.rollup.hour_partials``) to
-a partial log under ``batch_id=N`` (overwrite, so a replayed batch replaces
-its slice).  Hour partials are mergeable, so the measures are computed from
+a partial log, as a slice of its run (a replayed batch replaces its slice).  Hour partials are mergeable, so the measures are computed from
 the log alone: merge slices, then the usual roll-up.
 """
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.functions.calendar import GRAINS
 from parley.operators.measures import measures_from_rows
 from parley.plans.rollup import KEYS, hour_partials, merge_partials, rows_from_partial_log
+from parley.sources.folders import write_slice
 from parley.streaming.compaction import compact, read_log
 
 
@@ -23,8 +23,7 @@ def partials_sink(log_path: str, time_zone: str | None = None) -> Callable[[Data
     """A ``foreachBatch`` sink that appends the batch's hour partials to ``log_path``."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        (hour_partials(rows, time_zone).write.mode("overwrite")
-            .parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}"))
+        write_slice(hour_partials(rows, time_zone), log_path, batch_id)
 
     return write
 
@@ -36,6 +35,6 @@ def measures_from_log(spark: SparkSession, log_path: str, grains=GRAINS,
     return measures_from_rows(rows_from_partial_log(log, grains, newest))
 
 
-def compact_partials(spark: SparkSession, log_path: str, through: int) -> str:
-    """Merge the partial log up to batch ``through`` into one snapshot (see ``compaction``)."""
-    return compact(spark, log_path, through, lambda log: merge_partials(log, ["bucket", *KEYS]))
+def compact_partials(spark: SparkSession, log_path: str, through: int, run: str | None = None) -> str:
+    """Merge a run's partial log up to batch ``through`` into one snapshot (see ``compaction``)."""
+    return compact(spark, log_path, through, lambda log: merge_partials(log, ["bucket", *KEYS]), run)
