@@ -9,6 +9,11 @@ group's smallest, and only classes that this does not link are compared with
 others, so a large group of near copies costs one comparison each.  Pairs whose
 collision-corrected register estimate is far below the threshold are dropped;
 the rest are verified on the full sets.
+
+In the groups of more than ``MANY`` classes, shingles that no other such class has
+are counted first.  A class with few of them heads its group, and as it can share
+no more than its other shingles, most comparisons of edited copies are settled by
+that count alone.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.arrays import BLANK_SPLIT, LOWER, doc_bytes, mix, owner, slices, span_hashes, word_spans
 from parley.llm.components import components
 from parley.llm.quality import grams
+from parley.llm.suffix_index import compressed
 from parley.plans.stages import materialize
 
 BUCKETS, ROWS = 128, 4
@@ -30,6 +37,8 @@ BANDS = BUCKETS // ROWS
 MANTISSA = 10
 #: How far below the threshold an estimate may lie, in standard deviations.
 SIGMAS = 5.0
+#: Classes in a band above which their unshared shingles are counted.
+MANY = 32
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +138,7 @@ def sketches(docs: DataFrame, k: int, *, id_col: str, text_col: str) -> DataFram
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """Written table (band, id, head) of the bands that two classes or more share; head is the smallest id.
+    """Written table (band, id, n) of the bands that n > 1 classes share.
 
     A band of four empty registers says nothing and is left out.
     """
@@ -144,8 +153,35 @@ def band_members(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[doc, band].view(np.int64)), batch.column(0).take(pa.array(doc))], ["band", "id"])
 
     bands = classes.select("id", "registers").mapInArrow(run, f"band long, id {kind}")
-    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    return materialize(bands.join(materialize(heads, "band-heads"), "band"), "band-members")
+    shared = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    return materialize(bands.join(shared, "band"), "band-members")
+
+
+def unshared_counts(texts: DataFrame, k: int) -> DataFrame:
+    """(id, alone): how many shingles of each text stand in no other of ``texts``."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in unpacked(batch):
+                hashes, at = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner(at))), pa.array(hashes.view(np.int64))], ["id", "shingle"])
+
+    rows = texts.mapInArrow(run, f"id {kind}, shingle long")
+    once = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
+    return materialize(once.groupBy("id").agg(F.count("*").alias("alone")), "unshared")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(id, text) of a batch of (id, zstd frame), a few megabytes at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts, first, held = [], 0, 0
+    for i, frame in enumerate(batch.column("frame")):
+        texts.append(unpack(frame.as_py()))
+        held += len(texts[-1])
+        if held > 2 << 20 or i + 1 == batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(texts, pa.binary())], ["id", "text"])
+            texts, first, held = [], i + 1, 0
 
 
 def plausible_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -163,31 +199,33 @@ def plausible_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataF
     return materialize(joined.select("a", "b", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}"), "plausible")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Written table of the pairs (a, b) with 100 * intersection >= ``percent`` * union of their full sets.
 
-    ``docs`` has the columns id and text.  Texts travel, not sets (they compress);
+    ``texts`` has the columns id and frame.  Texts travel, not sets (they compress);
     a task keeps the set of the last left text, as many rows may share it.
     """
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = texts.schema["id"].dataType.simpleString()
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(docs.join(wanted, "id", "left_semi"), "pair-texts")
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    asked = materialize(texts.join(wanted, "id", "left_semi"), "pair-texts")
+    side = lambda x: asked.select(F.col("id").alias(x), F.col("frame").alias(f"f{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, members = None, None
+        unpack = zstandard.ZstdDecompressor().decompress
+        members = lambda frame: shingle_sets(pa.array([unpack(frame)], pa.binary()), k)[0]
+        held, left = None, None
         for batch in batches:
             linked = []
             for i in range(batch.num_rows):
-                left = batch.column(2)[i].as_py()
-                if left != held:
-                    held, members = left, shingle_sets(pa.array([left]), k)[0]
-                other = shingle_sets(batch.column(3).slice(i, 1), k)[0]
-                both = len(np.intersect1d(members, other, assume_unique=True))
-                linked.append(100 * both >= percent * (len(members) + len(other) - both))
+                frame = batch.column(2)[i].as_py()
+                if frame != held:
+                    held, left = frame, members(frame)
+                right = members(batch.column(3)[i].as_py())
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                linked.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb")
     return materialize(joined.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
 
 
@@ -206,27 +244,42 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     """
     least = percent / 100
     rows = sketches(docs, k, id_col=id_col, text_col=text_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     classes = rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("signature", "n_shingles").agg(
         F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
     classes = materialize(classes, "classes")
     members = band_members(classes)
-    with_head = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    links = verify(plausible_pairs(with_head, classes, least), texts, k, percent)
+    texts = compressed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    texts = materialize(texts.join(members.select("id").distinct(), "id", "left_semi"), "member-texts")
+    in_many = members.where(F.col("n") > MANY).select("id").distinct()
+    alone = unshared_counts(texts.join(in_many, "id", "left_semi"), k)
+    known = classes.select("id", "n_shingles", "bits0", "bits1").join(alone, "id", "left")
+    told = materialize(members.join(known.select("*", F.when(F.col("alone").isNull(), 0).otherwise(F.col("alone")).alias("own")), "id")
+                       .drop("alone"), "told-members")
+    heads = told.groupBy("band").agg(F.min(F.struct("own", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
+    told = materialize(told.join(materialize(heads, "band-heads"), "band"), "headed-members")
+
+    def may_link(x: str, y: str):
+        """What sizes, unshared shingles (in a large band) and sketch bits of two members allow."""
+        nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+        differ = F.bit_count(F.col(f"{x}.bits0").bitwiseXOR(F.col(f"{y}.bits0"))) + F.bit_count(F.col(f"{x}.bits1").bitwiseXOR(F.col(f"{y}.bits1")))
+        half = BUCKETS * (1 - least) / 2
+        common = F.least(nx - F.col(f"{x}.own"), ny - F.col(f"{y}.own"))
+        return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= half + (SIGMAS + 1) * half ** 0.5)
+                & ((F.col(f"{x}.n") <= MANY) | ((100 + percent) * common >= percent * (nx + ny))))
+
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    tops = told.where("id = head")
+    first = told.alias("x").join(tops.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") != F.col("y.id")) & may_link("x", "y"))
+    links = verify(plausible_pairs(first.select(*pair), classes, least), texts, k, percent)
 
     # What its head does not link is compared with the members of other components in its band.
     part = materialize(components(links), "first-components")
-    told = members.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-    told = materialize(told.join(classes.select("id", "n_shingles", "bits0", "bits1"), "id").drop("component"), "told-members")
-    apart = told.join(links.select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_anti").where("id <> head")
-    x, y = apart.alias("x"), told.alias("y")
-    differ = F.bit_count(F.col("x.bits0").bitwiseXOR(F.col("y.bits0"))) + F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1")))
-    half = BUCKETS * (1 - least) / 2
-    others = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & (F.col("y.id") != F.col("y.head"))
-                    & (F.least("x.n_shingles", "y.n_shingles") >= least * F.greatest("x.n_shingles", "y.n_shingles"))
-                    & (differ <= half + (SIGMAS + 1) * half ** 0.5))
-    others = others.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    links = links.unionAll(verify(plausible_pairs(others, classes, least), texts, k, percent))
+    placed = told.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    placed = materialize(placed.join(part.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left")
+                         .withColumn("apart", F.col("part") != F.coalesce("hc", "head")).drop("hc"), "placed-members")
+    rest = placed.where("apart").alias("x").join(placed.where("id <> head").alias("y"), (F.col("x.band") == F.col("y.band")) & (
+        F.col("x.part") != F.col("y.part")) & (~F.col("y.apart") | (F.col("x.id") < F.col("y.id"))) & may_link("x", "y"))
+    links = links.unionAll(verify(plausible_pairs(rest.select(*pair), classes, least), texts, k, percent))
 
     part = materialize(components(links), "components")
     mapped = classes.select("signature", "n_shingles", F.col("id").alias("node")).join(part, "node", "left")
