@@ -126,7 +126,7 @@ class QualityModel:
         return sigmoid(self.slope * z + self.intercept)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, bits: int = 14, steps: int = 120,
+def train_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 2000, bits: int = 14, steps: int = 120,
                   rate: float = 0.5, l2: float = 1e-6, label_col: str = "quality",
                   id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on at most ``sample_rows`` labelled ids, calibrate on every fifth of them.
