@@ -85,6 +85,28 @@ REQUIRED_PATHS = {
                     "timestamp", "time"],
 }
 
+# Parents that may be absent, and what each must hold if it is there; ``[]`` marks
+# a list, whose items must each hold it.
+_CONTEXT_PARENTS = [("request", ["name"])]
+_LOG_DATA_PARENTS = [("entities[]", ["entity", "location", "value"]), ("intents[]", ["confidence", "intent"]),
+                     ("wva_top_intent", ["confidence", "intent"])]
+_OUTPUT_PARENTS = [("layout", ["name"]), ("action", ["name"]), ("store[]", ["name", "label"]),
+                   ("store[].validations[]", ["regex", "message"]),
+                   *[(f"log_data.{p}", c) for p, c in _LOG_DATA_PARENTS]]
+_MESSAGE_PARENTS = [("intents[]", ["confidence", "intent"]), ("entities[]", ["entity", "location", "value"]),
+                    ("action", ["name"]), ("layout", ["name"]),
+                    *[(f"context.{p}", c) for p, c in _CONTEXT_PARENTS],
+                    *[(f"log_data.{p}", c) for p, c in _LOG_DATA_PARENTS],
+                    *[(f"output.{p}", c) for p, c in _OUTPUT_PARENTS]]
+OPTIONAL_PARENTS = {
+    "response": [(f"response.message.{p}", c) for p, c in _MESSAGE_PARENTS],
+    "request": [("message.context", ["conversation_id", "system"]),
+                ("message.context.system", ["dialog_request_counter", "dialog_stack", "dialog_turn_counter"]),
+                *[(f"message.context.{p}", c) for p, c in _CONTEXT_PARENTS]],
+    "user_message": [("utterance.entities[]", ["name", "value"])],
+    "system_text": [],
+}
+
 # The flattened fact row: one per bot response.
 MESSAGE_COLUMNS = [
     "bot_id", "dialog_id", "conversation_id", "dialog_node", "location_type",

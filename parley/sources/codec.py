@@ -1,16 +1,21 @@
 """JSON decoders and encoders for the four message kinds.
 
 Decoding is ``from_json`` against a fixed schema (PERMISSIVE mode with a
-corrupt-record column), so it runs inside whole-stage codegen.  A record is a
-decode failure when its text is not JSON of the right types or when a
-required field is absent; ``split_valid`` routes such rows to a quarantine
+corrupt-record column).  That alone turns any JSON value into a string where one is
+declared and overlooks what follows the first object, so the text is also parsed
+as a variant, from which the JSON types of the required strings are read.  A record
+is a decode failure when its text is not one JSON object of the right types or
+when a required field is absent; ``split_valid`` routes such rows to a quarantine
 table instead of failing the batch.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, _parse_datatype_string
 
 from parley import schemas as S
 
@@ -25,22 +30,65 @@ _KIND_SCHEMAS = {
 }
 
 
-def _item_checks(kind: str, rec: Column) -> list[tuple[str, Column]]:
-    """Required fields inside list items (each item must carry them)."""
+def _absent(rec: Column, parent: str, children: list[str]) -> Column:
+    """Whether ``parent`` is there without one of ``children`` (an item of it, for a list)."""
+    name, _, rest = parent.partition(".")
+    here = rec[name.removesuffix("[]")]
+
+    def inside(x: Column) -> Column:
+        if rest:
+            return _absent(x, rest, children)
+        return reduce(Column.__or__, [x[c].isNull() for c in children])
+
+    if name.endswith("[]"):
+        return F.coalesce(F.exists(here, lambda i: i.isNull() | inside(i)), F.lit(False))
+    return here.isNotNull() & inside(here)
+
+
+def _parent_checks(kind: str, rec: Column) -> list[tuple[str, Column]]:
+    """("missing" path, condition) for the parents that may be absent, in the order of the table."""
+    out = []
+    for parent, children in S.OPTIONAL_PARENTS[kind]:
+        if parent.endswith("[]"):
+            out.append((parent, _absent(rec, parent, children)))
+        else:
+            out += [(f"{parent}.{c}", _absent(rec, parent, [c])) for c in children]
+    return out
+
+
+def _wrong_types(v: Column, kind: str) -> Column:
+    """Whether the variant of ``[record]`` holds another JSON value where a string is declared.
+
+    Checked are the required strings and ``output.text`` (one string or a list);
+    null counts as absent.
+    """
+    schema = _parse_datatype_string(f"struct<{_KIND_SCHEMAS[kind]}>")
+
+    def declared(path: str) -> DataType:
+        out = schema
+        for part in path.split("."):
+            out = out[part].dataType
+        return out
+
+    def found(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$[0].{path}", "variant")), F.lit("VOID"))
+
+    wrong = [~found(p).isin("STRING", "VOID") for p in S.REQUIRED_PATHS[kind] if declared(p) == StringType()]
     if kind == "response":
-        msg = rec["response"]["message"]
-        return [
-            ("response.message.intents[]",
-             F.exists(msg["intents"], lambda i: i["confidence"].isNull() | i["intent"].isNull())),
-            ("response.message.entities[]",
-             F.exists(msg["entities"], lambda e: e["entity"].isNull() | e["location"].isNull()
-                      | e["value"].isNull())),
-        ]
-    if kind == "user_message":
-        return [("utterance.entities[]",
-                 F.exists(rec["utterance"]["entities"],
-                          lambda e: e["name"].isNull() | e["value"].isNull()))]
-    return []
+        wrong.append(~found("response.message.output.text").rlike("^(STRING|VOID|ARRAY<(STRING|VOID)>)$"))
+    return reduce(Column.__or__, wrong)
+
+
+def _null_items(kind: str, rec: Column) -> list[tuple[str, Column]]:
+    """Required lists must not hold nulls; a dialog-stack object must hold its node."""
+    if kind != "response":
+        return []
+    message = rec["response"]["message"]
+    node = lambda i: F.schema_of_variant(F.try_variant_get(i, "$.dialog_node", "variant"))
+    return [("response.message.text[]", F.exists(message["text"], lambda t: t.isNull())),
+            ("response.message.context.system.dialog_stack[].dialog_node", F.exists(
+                message["context"]["system"]["dialog_stack"],
+                lambda i: (F.schema_of_variant(i) != "STRING") & ~node(i).eqNullSafe(F.lit("STRING"))))]
 
 
 def _path(rec: Column, dotted: str) -> Column:
@@ -54,26 +102,29 @@ def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
     """Parse ``value_col`` as a ``kind`` record.
 
     Adds the record's top-level fields plus ``decode_error``: NULL for a good
-    record, ``"malformed"`` for text that is not JSON of the declared types,
-    else ``"missing:<path>"`` naming the first absent required field.
-
-    The parse sits in a one-element ``explode`` (a Generate node): filters on
-    the decoded fields cannot be pushed beneath it, so ``from_json`` runs once
-    per record instead of once per field a filter mentions.
+    record, ``"malformed"`` for text that is not one JSON object of the declared
+    types (text after the object included), else ``"missing:<path>"`` naming the
+    first absent required field.
+
+    For the variant the text is put between brackets, so a second record or stray
+    text behind the first shows.  Both parses sit in a one-element ``explode`` (a
+    Generate node): filters on the decoded fields cannot be pushed beneath it, so
+    each is made once per record instead of once per field a filter mentions.
     """
     ddl = _KIND_SCHEMAS[kind]
-    parsed = F.from_json(F.col(value_col), f"{ddl}, {CORRUPT} string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rec = F.col("__rec")
-    missing = [F.when(_path(rec, p).isNull(), F.lit(f"missing:{p}"))
-               for p in S.REQUIRED_PATHS[kind]]
-    missing += [F.when(bad, F.lit(f"missing:{p}")) for p, bad in _item_checks(kind, rec)]
-    error = F.when(F.col(value_col).isNull() | rec[CORRUPT].isNotNull(), F.lit("malformed")) \
+    value = F.col(value_col)
+    parsed = F.struct(
+        F.from_json(value, f"{ddl}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("rec"),
+        F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).alias("all"))
+    rec, whole = F.col("__parsed")["rec"], F.col("__parsed")["all"]
+    missing = [F.when(_path(rec, p).isNull(), F.lit(f"missing:{p}")) for p in S.REQUIRED_PATHS[kind]]
+    missing += [F.when(bad, F.lit(f"missing:{p}")) for p, bad in [*_parent_checks(kind, rec), *_null_items(kind, rec)]]
+    single = whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull() & F.right(F.rtrim(value), F.lit(6)).rlike(r"\}\s*$")
+    error = F.when(value.isNull() | rec[CORRUPT].isNotNull() | ~single | _wrong_types(whole, kind), F.lit("malformed")) \
              .otherwise(F.coalesce(*missing))
     fields = [f.split(" ", 1)[0] for f in _split_top(ddl)]
-    return (df.select("*", F.explode(F.array(parsed)).alias("__rec"))
-              .select(*[c for c in df.columns], *[rec[f].alias(f) for f in fields],
-                      error.alias(ERROR)))
+    return (df.select("*", F.explode(F.array(parsed)).alias("__parsed"))
+              .select(*df.columns, *[rec[f].alias(f) for f in fields], error.alias(ERROR)))
 
 
 def _split_top(ddl: str) -> list[str]:

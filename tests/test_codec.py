@@ -110,3 +110,60 @@ def test_action_args_either_shape(spark):
 def test_encode_omits_absent_optionals(spark):
     df = spark.createDataFrame([("c1", None, 5)], "conversation_id string, user_id string, ts bigint")
     assert codec.encode(df).collect()[0]["value"] == '{"conversation_id":"c1","ts":5}'
+
+
+GOOD = {"response": {"bot_id": "b1", "dialog_id": "d1", "message": {
+    "context": {"conversation_id": "c1", "system": {"dialog_request_counter": 1, "dialog_turn_counter": 1,
+                                                    "dialog_stack": [{"dialog_node": "n1"}, "older"]}},
+    "text": ["Hello"], "output": {"text": "Hello"}}}, "timestamp": 1704067207179}
+
+
+def _with(path, value):
+    """GOOD with one value replaced (``None`` at the end of the path deletes)."""
+    import copy
+    out = copy.deepcopy(GOOD)
+    at = out
+    *parents, last = path.split(".")
+    for part in parents:
+        at = at.setdefault(part, {})
+    at[last] = value
+    return out
+
+
+M = "response.message."
+REFUSED = [
+    (_with(M + "layout", {"index": "0"}), "missing:response.message.layout.name"),
+    (_with(M + "action", {"args": {"a": "b"}}), "missing:response.message.action.name"),
+    (_with(M + "context.request", {}), "missing:response.message.context.request.name"),
+    (_with(M + "context.system.dialog_stack", [{"other": 1}]), "missing:response.message.context.system.dialog_stack[].dialog_node"),
+    (_with(M + "output.store", [{"name": "f"}]), "missing:response.message.output.store[]"),
+    (_with(M + "output.store", [{"name": "f", "label": "l", "validations": [{"regex": "x"}]}]),
+     "missing:response.message.output.store[].validations[]"),
+    (_with(M + "log_data", {"intents": [{"intent": "x"}]}), "missing:response.message.log_data.intents[]"),
+    (_with(M + "output.log_data", {"wva_top_intent": {"intent": "x"}}), "missing:response.message.output.log_data.wva_top_intent.confidence"),
+    (_with(M + "text", [None]), "missing:response.message.text[]"),
+    (_with(M + "output.text", 5), "malformed"),
+    (_with(M + "context.conversation_id", {"a": 1}), "malformed"),
+    (_with("response.bot_id", 5), "malformed"),
+    (_with("timestamp", "1704067207179x"), "malformed"),
+]
+
+
+def test_nested_and_typed_fields_are_required(spark):
+    import json
+    from parley.sources import codec
+    text = json.dumps(GOOD)
+    cases = [(json.dumps(r), e) for r, e in REFUSED]
+    cases += [(text + " xyz", "malformed"), (text + text, "malformed"), (text + "," + text, "malformed"), (text + "] x", "malformed"),
+              ("", "malformed"), ("[]", "malformed"), ("5", "malformed"), (None, "malformed")]
+    cases += [(x, None) for x in (text, f"  {text} \n", json.dumps(_with(M + "output.text", ["a", "b"])), json.dumps(_with(M + "layout", None)),
+                                  json.dumps(_with(M + "data", [{"k": {"deep": [1, 2]}}])), json.dumps(_with("response.extra", 1)))]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "i int, value string")
+    got = {r.i: r.decode_error for r in codec.decode_response(df).select("i", codec.ERROR).collect()}
+    assert [(v, got[i]) for i, (v, _) in enumerate(cases)] == cases
+    good = {"bot_id": "b", "dialog_id": "d", "message": {"message": "hi"}, "timestamp": 1}
+    requests = [(good, None), (good | {"message": {"context": {}}}, "missing:message.context.conversation_id"),
+                (good | {"dialog_id": ["d"]}, "malformed")]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(requests)], "i int, value string")
+    got = {r.i: r.decode_error for r in codec.decode_request(df).select("i", codec.ERROR).collect()}
+    assert [got[i] for i in range(len(requests))] == [e for _, e in requests]
