@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,7 +33,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@register("op1_warc")
+@register("op1_warc", oracles.WARC)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.warc import archive_pages
     return archive_pages(table(spark, sf_dir, "pages"))
@@ -61,7 +63,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
-@register("op6_decontamination")
+@register("op6_decontamination", oracles.DECONTAMINATION)
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.decontamination import build_index, decontaminate, read_items
     index = build_index(table(spark, sf_dir, "documents"))
