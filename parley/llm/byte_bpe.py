@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 RANK_MAPS = 1 << 14
 #: Places of the table of folded words.
-WORD_PLACES = 1 << 18
+WORD_PLACES = 1 << 17
 _NONE = (1 << 31) - 1
 
 

@@ -80,10 +80,13 @@ def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.nd
     marked = np.bincount(np.concatenate([h for h, y in zip(held, label, strict=True) if y == 1]), minlength=1 << bits)
     share = label.mean()
     seen = marked - often * share >= least_z * np.sqrt(np.maximum(often * share * (1 - share), 1))
-    place = np.where(seen, np.cumsum(seen), 0)   # 0: buckets that are left out
-    word, size = place[np.concatenate(words)], np.concatenate(sizes)
-    sentence = np.repeat(np.arange(len(size)), size)
-    sentence, word = sentence[word > 0], word[word > 0]
+    place = np.where(seen, np.cumsum(seen), 0).astype(np.int32)   # 0: buckets that are left out
+    size = np.concatenate(sizes)
+    kept = [(place[w], np.repeat(np.arange(len(n), dtype=np.int32), n)) for w, n in zip(words, sizes, strict=True)]
+    before = np.cumsum([0, *map(len, sizes)])
+    word = np.concatenate([p[p > 0] for p, _ in kept])
+    sentence = np.concatenate([s[p > 0] + a for (p, s), a in zip(kept, before[:-1], strict=True)])
+    del kept
     document = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
     n, positive = int(place.max()) + 2, label[document] == 1
     start = -6.0   # sentences are clean unless their words say otherwise
@@ -100,7 +103,7 @@ def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.nd
     return ToxicityModel(fitted[:-1][place] if n > 2 else np.zeros(1 << bits), float(fitted[-1] + start))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 6000, bits: int = 18, steps: int = 150,
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 2500, bits: int = 18, steps: int = 150,
                    rate: float = 0.2, l2: float = 0.1, leak: float = 0.05, least_z: float = 8.0,
                    label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled ids whose crc32 modulo 5 is not 0.
