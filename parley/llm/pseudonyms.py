@@ -3,6 +3,8 @@
 Card numbers (Luhn), IBANs (mod 97), US social security numbers (issued ranges),
 IPv4 addresses (octets up to 255) and dates (of the calendar, 1800 to 2199) are
 validated; phone numbers, e-mail names and hexadecimal keys go by their shape.
+Of dates with ``/`` or ``-`` and the year last the month stands first, unless
+only the day can.  Written IBANs, cards and phone numbers keep their separators.
 Each value is permuted within its own format by a keyed Feistel network, so it
 stays valid, equal values get equal pseudonyms in every document, and different
 ones different pseudonyms.  What does not validate stays as it is.
@@ -22,20 +24,53 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 HEX = ["0123456789abcdef"]
 HEX_UPPER = ["0123456789ABCDEF"]
 
+# Fixed value: letters and digits of an IBAN behind its check digits, by country (ISO 13616).
+IBAN_LENGTHS = {11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK",
+                17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL",
+                20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM",
+                24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU"}
+# Fixed value: country calling codes, of which none begins another (ITU E.164), by length.
+CALLING = ["[17]", "(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+           "(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[03578]|9[679])[0-9]"]
+_DATED = (r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+          r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{1,2}:[0-9]{2})(?![0-9])")
+# a digit of a phone number and what may part it from the one before: no lone digit, no date or address follows a separator
+_NEXT = rf"(?:[ .-](?=[0-9]{{2}})(?!{_DATED}))?[0-9]"
+
+
+def _spaced_iban(sep: str) -> str:
+    by_length = []
+    for n, countries in IBAN_LENGTHS.items():
+        rest = f"{sep}[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+        by_length.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:{sep}[A-Z0-9]{{4}}){{{n // 4}}}{rest}")
+    return "|".join(by_length)
+
+
 #: Shapes, in the order in which they are tried at a position.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "key": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
+    "iban_spaced": rf"(?<![\p{{L}}\p{{N}}])(?:{_spaced_iban(' ')}|{_spaced_iban('-')})(?![\p{{L}}\p{{N}}])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone_world": rf"(?<![\p{{L}}\p{{N}}+])\+(?:{CALLING[0]}[ .-]?[0-9](?:{_NEXT}){{9}}|{CALLING[1]}[ .-]?[0-9](?:{_NEXT}){{6,12}}"
+                   rf"|{CALLING[2]}[ .-]?[0-9](?:{_NEXT}){{5,11}}"
+                   rf"|(?:{'|'.join(CALLING)})[ .-]?\([0-9]{{1,5}}\)[ .-]?[0-9](?:{_NEXT}){{4,11}})(?![0-9])",
+    "phone_plain": r"(?<![0-9+])(?<![0-9][.-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date_iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "date_dot": r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])",
     "date_slash": r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
+    "date_dash": r"(?<![0-9-])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "date_year": r"(?<![0-9/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?![0-9/])",
+    "date_short": r"(?<![0-9/-])(?<![0-9]\.)(?:[0-9]{1,2}(?:/[0-9]{1,2}/|-[0-9]{1,2}-|\.[0-9]{1,2}\.)[0-9]{4}"
+                  r"|[0-9]{4}(?:/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{1,2})(?![0-9/-]|\.[0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "card_long": r"(?<![0-9])[0-9]{4}(?:-[0-9]{6}-| [0-9]{6} )[0-9]{4,5}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3})(?![0-9])",
 }
-DATES = {"date_iso": "yyyy-MM-dd", "date_dot": "dd.MM.yyyy", "date_slash": "MM/dd/yyyy"}
+DATES = {"date_iso": "yyyy-MM-dd", "date_dot": "dd.MM.yyyy", "date_slash": "MM/dd/yyyy", "date_dash": "MM-dd-yyyy",
+         "date_year": "yyyy/MM/dd"}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -82,6 +117,54 @@ def permute_pair(x: Column, a: int, y: Column, b: int, key: str, kind: str) -> C
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
+def permute_fields(year: Column, month: Column, day: Column, key: str, *, first: Column, days: Column, months: Column) -> Column:
+    """Permute the dates of 1800 to 2199 whose day is ``first`` to ``days`` and whose month is at most ``months`` (9 or 12).
+
+    A round turns one field after the other within the values that are dates with
+    the other two, so it is undone step by step; year and month of a 29 February stay.
+    """
+    all_long = F.array(*[F.lit(m).cast("long") for m in (1, 3, 5, 7, 8, 10, 12)])
+    n_long = F.when(months == 9, 5).otherwise(7)
+
+    def prf(field: str, *parts: Column) -> Column:
+        return _prf(key, "date fields", F.lit(field), first, days, months, *parts)
+
+    def turn(s: Column, n: Column) -> Column:
+        y, m, d = s["y"], s["m"], s["d"]
+        y = F.when((m == 2) & (d == 29), y).otherwise(F.pmod(y - 1800 + prf("year", n, m, d), F.lit(400)) + 1800)
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def turn_day(s: Column, n: Column) -> Column:
+        y, m, d = s["y"], s["m"], s["d"]
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        length = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        d = F.pmod(d - first + prf("day", n, y, m), F.least(length, days) - first + 1) + first
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def turn_month(s: Column, n: Column) -> Column:
+        y, m, d = s["y"], s["m"], s["d"]
+        add = prf("month", n, y, d)
+        other = F.pmod(F.greatest(m - 2, F.lit(0)) + add, months - 1)   # January, March, April, ...: 0, 1, 2, ...
+        m = (F.when(d <= 28, F.pmod(m - 1 + add, months) + 1).when(m == 2, m)
+             .when(d <= 30, F.when(other == 0, 1).otherwise(other + 2))
+             .otherwise(F.get(all_long, F.pmod(F.array_position(all_long, m) - 1 + add, n_long).cast("int"))))
+        return F.struct(y.alias("y"), m.cast("long").alias("m"), d.alias("d"))
+
+    def round_(s: Column, n: Column) -> Column:
+        # a turn each: one of the three, so that no expression is copied into the next
+        return F.when(n % 3 == 1, turn(s, n)).when(n % 3 == 2, turn_day(s, n)).otherwise(turn_month(s, n))
+
+    start = F.struct(year.alias("y"), month.alias("m"), day.alias("d"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(3 * ROUNDS)), start, round_)
+
+
+def refill(shape: Column, text: Column) -> Column:
+    """``shape`` with its letters and digits replaced, in order, by the characters of ``text``; null if that is."""
+    used = lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i + 1), "[^A-Z0-9]", ""))
+    return F.when(text.isNotNull(), F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(
+        c.rlike("[A-Z0-9]"), F.substring(text, used(i), F.lit(1))).otherwise(c)), ""))
+
+
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """Luhn sum from the right; every other digit, from the ``doubled``-th (0 or 1) on, counts double."""
 
@@ -108,12 +191,14 @@ def pseudonym(m: Column, key: str) -> Column:
     number = F.concat(body, F.pmod(10 - luhn_sum(body, 0) % 10, F.lit(10)).cast("string"))
     sep = F.regexp_extract(m, "[ -]", 0)
     grouped = F.when(sep == "", number).otherwise(F.concat_ws(" ", *[F.substring(number, i, 4) for i in (1, 5, 9, 13)]))
-    card = F.when(luhn_sum(digits, 1) % 10 == 0, F.when(sep == "-", F.translate(grouped, " ", "-")).otherwise(grouped))
+    valid_card = luhn_sum(digits, 1) % 10 == 0
+    card = F.when(valid_card, F.when(sep == "-", F.translate(grouped, " ", "-")).otherwise(grouped))
 
-    bban = permute_text(F.substring(m, F.lit(5), F.length(m)), key, "iban")
-    country = F.substring(m, 1, 2)
-    check = F.lpad((98 - mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0")
-    iban = F.when(mod97(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1, F.concat(country, check, bban))
+    def iban(m: Column) -> Column:
+        bban = permute_text(F.substring(m, F.lit(5), F.length(m)), key, "iban")
+        country = F.substring(m, 1, 2)
+        check = F.lpad((98 - mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.when(mod97(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1, F.concat(country, check, bban))
 
     area, group, serial = part("-", 1), part("-", 2), part("-", 3)
     issued = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
@@ -135,13 +220,41 @@ def pseudonym(m: Column, key: str) -> Column:
         moved = F.date_add(F.lit("1800-01-01").cast("date"), (new["y"] * 27 + new["x"]).cast("int"))
         return F.when(day.between(0, 146096), F.date_format(moved, pattern))
 
+    year_first, mark = m.rlike("^[0-9]{4}"), F.regexp_extract(m, "[./-]", 0)
+    field = lambda i, j: F.try_element_at(F.split(m, "[./-]"), F.when(year_first, i).otherwise(j))
+    raw_one, raw_two = field(2, 1), field(3, 2)
+    one, two, year = (x.try_cast("long") for x in (raw_one, raw_two, field(1, 3)))
+    narrow_one, narrow_two = m.rlike(r"^(?:[0-9]{4}[/-])?[0-9][./-]"), m.rlike(r"[./-][0-9](?:[./-][0-9]{4})?$")
+    # of two-digit fields only those that are no date with the month first come here
+    day_first = ~year_first & (m.rlike(r"\.") | ~narrow_one)
+    day, month = F.when(day_first, one).otherwise(two), F.when(day_first, two).otherwise(one)
+    bounds = {"first": F.when(narrow_one | narrow_two, 1).otherwise(13),
+              "days": F.when(F.when(day_first, narrow_one).otherwise(narrow_two), 9).otherwise(31),
+              "months": F.when(F.when(day_first, narrow_two).otherwise(narrow_one), 9).otherwise(12)}
+    valid = day.between(bounds["first"], bounds["days"]) & month.between(F.lit(1), bounds["months"]) & year.between(1800, 2199)
+    valid &= F.try_make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), F.lit(0)).isNotNull()
+    turned = permute_fields(year, month, day, key, **bounds)
+    written = F.transform(F.array(turned), lambda t: F.concat_ws(
+        "", F.when(year_first, F.concat(t["y"], mark)), F.lpad(F.when(day_first, t["d"]).otherwise(t["m"]).cast("string"), F.length(raw_one), F.lit("0")),
+        mark, F.lpad(F.when(day_first, t["m"]).otherwise(t["d"]).cast("string"), F.length(raw_two), F.lit("0")),
+        F.when(~year_first, F.concat(mark, t["y"]))))
+    by_fields = F.when(valid, F.element_at(written, 1))
+
+    prefix = F.regexp_extract(m, rf"^(?:\+(?:{'|'.join(CALLING)})|1[ .-])?", 0)
+    rest = F.substring(m, F.length(prefix) + 1, F.length(m))
+    phone = F.concat(prefix, refill(rest, permute_text(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
+
     country_code = F.regexp_extract(m, r"^(?:\+[0-9]{1,3}[ .-]?)?", 0)
     out = {
         "email": F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)),
         "key": F.when(m.rlike("[a-f]") | ~m.rlike("[A-F]"), permute_text(m, key, "key", HEX)).otherwise(permute_text(m, key, "key", HEX_UPPER)),
-        "iban": iban, "ssn": ssn, "ip": ip, "card": card,
+        "iban": iban(m), "iban_spaced": refill(m, iban(F.translate(m, " -", ""))), "ssn": ssn, "ip": ip,
+        "card": card, "card_long": F.when(valid_card, refill(m, number)), "date_short": by_fields,
+        "phone_world": phone, "phone_plain": phone,
         "phone": F.concat(country_code, permute_text(F.substring(m, F.length(country_code) + 1, F.length(m)), key, "phone")),
     } | {kind: date(pattern) for kind, pattern in DATES.items()}
+    for kind in ("date_slash", "date_dash"):
+        out[kind] = F.coalesce(out[kind], by_fields)
     chosen = F.lit(None).cast("string")
     for kind in reversed(PATTERNS):
         chosen = F.when(fits[kind], out[kind]).otherwise(chosen)
