@@ -8,6 +8,7 @@ offending sentences of any document can be located.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.arrays import LOWER, byte_mask, doc_bytes, slices, span_hasher, word_spans
-from parley.llm.learning import adam, fold_of, labelled_sample, sigmoid
+from parley.llm.learning import adam, fold_of, sample_by_label, sigmoid
 
 #: Words: ASCII letters and digits and every byte of other scripts.
 _WORD = byte_mask(drop=[(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
@@ -66,20 +67,38 @@ def sentence_words(texts: pa.Array, bits: int) -> tuple[np.ndarray, ...]:
     return buckets.ravel(), np.append(first, len(starts)) * width, doc_sentences, starts[first], stop, offsets
 
 
+def telling(often: np.ndarray, marked: np.ndarray, share: float, chance: float) -> np.ndarray:
+    """Whether a bucket stands in labelled documents more often than ``chance`` buckets would if labels were drawn at random.
+
+    The chance of ``marked`` labels or more among ``often`` documents is at most
+    exp(-often * divergence) (Chernoff); it is held against the number of buckets.
+    """
+    rate = marked / np.maximum(often, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        clean = np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0)
+        divergence = np.where(rate > share, rate * np.log(rate / share) + clean, 0)
+    return (marked > 0) & (rate > share) & (often * divergence >= np.log(max((often > 0).sum(), 1) / chance))
+
+
 def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.ndarray, *, bits: int, steps: int, rate: float,
-                  l2: float, leak: float, least_z: float) -> ToxicityModel:
+                  l2: float, leak: float, chance: float, least_z: float = 0.0, weight: np.ndarray | None = None) -> ToxicityModel:
     """Noisy-or fit from each document's buckets, sentence sizes (in buckets) and label.
 
     P(label) = 1 - (1 - leak) * prod(1 - p): the leak takes the labels that no
-    sentence explains.  Only buckets that stand in labelled documents ``least_z``
-    standard deviations more often than chance take part, so that the words of
-    wrongly labelled texts stay harmless.
+    sentence explains.  Buckets that are not ``telling`` take no part; what chance
+    leaves among the others is held down by ``l2``.  ``least_z`` may ask for that
+    many standard deviations as well.  ``weight`` is one for each document.
     """
     held = [np.unique(w) for w in words]
     often = np.bincount(np.concatenate(held), minlength=1 << bits)
     marked = np.bincount(np.concatenate([h for h, y in zip(held, label, strict=True) if y == 1]), minlength=1 << bits)
     share = label.mean()
-    seen = marked - often * share >= least_z * np.sqrt(np.maximum(often * share * (1 - share), 1))
+    seen = telling(often, marked, share, chance)
+    seen &= marked - often * share >= least_z * np.sqrt(np.maximum(often * share * (1 - share), 1))
+    if not seen.any():
+        warnings.warn(f"no word tells the {int(label.sum())} positive of {len(label)} sampled documents from the others: nothing is learned",
+                      stacklevel=2)
+    weight = np.ones(len(label)) if weight is None else weight / weight.mean()
     place = np.where(seen, np.cumsum(seen), 0).astype(np.int32)   # 0: buckets that are left out
     size = np.concatenate(sizes)
     kept = [(place[w], np.repeat(np.arange(len(n), dtype=np.int32), n)) for w, n in zip(words, sizes, strict=True)]
@@ -94,7 +113,7 @@ def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.nd
     def gradient(w: np.ndarray) -> np.ndarray:
         p = sigmoid(np.bincount(sentence, w[word], len(size)) + w[-1] + start)
         clean = (1 - leak) * np.exp(np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), len(sizes)))[document]
-        d = np.where(positive, -p * clean / np.maximum(1 - clean, 1e-9), p)
+        d = np.where(positive, -p * clean / np.maximum(1 - clean, 1e-9), p) * weight[document]
         g = np.bincount(word, d[sentence], n) + l2 * w
         g[0], g[-1] = 0, d.sum()
         return g / len(sizes)
@@ -104,14 +123,15 @@ def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.nd
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 2500, bits: int = 18, steps: int = 150,
-                   rate: float = 0.2, l2: float = 0.1, leak: float = 0.05, least_z: float = 8.0,
+                   rate: float = 0.2, l2: float = 0.1, leak: float = 0.05, chance: float = 100.0, least_z: float = 0.0,
                    label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on at most ``sample_rows`` labelled ids whose crc32 modulo 5 is not 0.
+    """Fit on at most ``sample_rows`` labelled ids whose crc32 modulo 5 is not 0, rare labels first.
 
     The tasks hash the sample's words; the driver holds only their bucket numbers.
-    Without labels of both kinds every sentence has probability 0.
+    Without labels of both kinds every sentence has probability 0; if no word tells
+    them apart, a warning says so.
     """
-    rows = labelled_sample(docs, labels, label_col, sample_rows, id_col=id_col, text_col=text_col, keep=fold_of("id") != 0)
+    rows, weights = sample_by_label(docs, labels, label_col, sample_rows, id_col=id_col, text_col=text_col, keep=fold_of("id") != 0)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +150,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 250
     sizes = [np.frombuffer(x, np.int32) for x in got.column("sizes").to_pylist()]
     if len(set(label)) < 2 or not sum(map(len, words)):
         return ToxicityModel(np.zeros(1 << bits), -40.0)
-    return fit_sentences(words, sizes, label, bits=bits, steps=steps, rate=rate, l2=l2, leak=leak, least_z=least_z)
+    return fit_sentences(words, sizes, label, bits=bits, steps=steps, rate=rate, l2=l2, leak=leak, chance=chance, least_z=least_z,
+                         weight=np.where(label == 1, weights[1], weights[0]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,
