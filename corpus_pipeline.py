@@ -16,37 +16,62 @@ from parley.llm.near_duplicates import near_duplicates
 from parley.llm.pseudonyms import pseudonymize
 from parley.llm.queries import PSEUDONYM_KEY, table
 from parley.llm.toxicity import score_toxicity, train_toxicity
+from parley.plans.stages import materialize
 from parley.session import scratch_path
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``rejected``; rows without an id stay."""
-    gone = rejected.select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def _fresh(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _by_text(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a digest of the text, and its name; for verdicts that rest on the text alone."""
+    key = _fresh(docs, "__text_key")
+    return docs.withColumn(key, F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))), key
+
+
+def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``rejected`` and without that column; rows with a null key stay."""
+    gone = rejected.select(F.col(key).alias("__gone")).where("__gone IS NOT NULL").distinct()
+    return docs.join(gone, docs[key] == gone["__gone"], "left_anti").drop(key)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the model calls toxic."""
+    """Drop the rows whose text the model calls toxic, whatever their id."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, score_toxicity(docs, model).where("predicted = 1"))
+    rows, key = _by_text(docs)
+    return _without(rows, score_toxicity(rows, model, id_col=key).where("predicted = 1"), key)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group (five-word shingles, similarity of 0.8 or more), the smallest id.
+    """Keep one row of each group (five-word shingles, similarity of 0.8 or more): the smallest id, rows without one last.
 
-    Of rows that repeat an id one stays.  Texts without words are in no group.
+    Rows of one id with different texts are different documents.  Texts without
+    words are in no group; of those that stand repeatedly under one id one stays.
+    Among equal ids the order is that of digests of the text, then of the whole row.
     """
-    found = near_duplicates(docs, k=5, percent=80)
-    kept = _without(docs, found.where("NOT kept"))
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    repeated = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(repeated)
+    key = _fresh(docs, "__row")
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    found = near_duplicates(rows.select(F.col(key).alias("row"), "text"), k=5, percent=80, id_col="row")
+    order = rows.select(F.col(key).alias("row"), F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_digest"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_digest"), F.col(key).alias("row")).alias("place"))
+    placed = materialize(found.join(order, "row"), "pipeline-places")
+    worded = placed.where("n_shingles > 0").groupBy("component_id").agg(F.min("place").alias("first")).select("first.row")
+    # without words only rows of one id and text are the same
+    empty = placed.where("n_shingles = 0 AND NOT place.unnamed")
+    empty = empty.groupBy("place.doc_id", "place.text_digest").agg(F.min("place").alias("first")).select("first.row")
+    stay = worded.unionByName(empty).unionByName(placed.where("n_shingles = 0 AND place.unnamed").select("row"))
+    return _without(rows, placed.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", key), key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents of whose words a twentieth or more stands in benchmark passages."""
-    found = decontaminate(build_index(docs), read_items(table(spark, sf_dir, "benchmark")))
-    return _without(docs, found.where("contaminated"))
+    """Drop the rows of whose words a twentieth or more stands in benchmark passages, whatever their id."""
+    rows, key = _by_text(docs)
+    found = decontaminate(build_index(rows, id_col=key), read_items(table(spark, sf_dir, "benchmark")), id_col=key)
+    return _without(rows, found.where("contaminated"), key)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
