@@ -99,3 +99,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.byte_bpe import Vocabulary, read_ranks, token_digests
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return token_digests(table(spark, sf_dir, "documents"), Vocabulary(ranks, public_tokenizers.PATTERN))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.whitening import whiten
+    found = whiten(table(spark, sf_dir, "embeddings"), most=32)
+    # null where a long cannot hold the sum (some 10^9 rows)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
