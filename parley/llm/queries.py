@@ -107,3 +107,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(table(spark, sf_dir, "embeddings"), most=32)
     # null where a long cannot hold the sum (some 10^9 rows)
     return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@register("op12_top_products", oracles.TOP_PRODUCTS)
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.norm_search import top_products
+    return top_products(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0, k=10)
