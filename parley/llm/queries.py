@@ -113,3 +113,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parley.llm.norm_search import top_products
     return top_products(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0, k=10)
+
+
+@register("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.spelling import variants, word_counts
+    return variants(word_counts(table(spark, sf_dir, "documents")), times=5)
