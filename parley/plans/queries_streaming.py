@@ -7,8 +7,6 @@ job drains the folder and stops; the queries return what the sinks wrote.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from parley import schemas as S
@@ -21,7 +19,7 @@ from parley.sources.store import append_messages, compact_messages, expire_messa
 from parley.streaming.compaction import read_log
 from parley.streaming.ingest import Sinks, ingest_responses, quarantine_of, text_stream
 from parley.streaming.interactions import ingest_chat_log, visitors_table
-from parley.streaming.hourly import GRAINS, ingest_totals
+from parley.streaming.hourly import ingest_totals
 from parley.streaming.metrics import measures_from_log, partials_sink
 from parley.plans.queries_codec import CONV_SQL
 from parley.sources.fixtures import system_text_payloads, user_message_payloads
@@ -186,37 +184,39 @@ def append_two_runs(spark, sf_dir):
     return load_messages(spark, store, SCALAR_COLUMNS)
 
 
-# Of 50 events, one from the first ten days arrives last, long after its windows have closed.
-LATE = "event_id % 50 = 0 AND day(ts) <= 10"
+# When an event arrives, by batch: 1 of 50 from the first ten days comes last, long after its windows have closed.
+# Some of days 15 to 20 come last, too: by then their hour is closed, and their day or week may be open.
+ARRIVAL = """CASE WHEN (event_id % 50 = 0 AND day(ts) <= 10) OR (day(ts) BETWEEN 15 AND 20 AND event_id % 40 = 1)
+       OR (day(ts) = 20 AND hour(ts) >= 21 AND event_id % 3 = 0) THEN 2
+     WHEN day(ts) > 20 THEN 1 ELSE 0 END"""
 
 
 @register("stream_hourly", f"""
 WITH {EVENT_MESSAGES},
-timely AS (SELECT *, make_timestamp(timestamp * 1000) AS seen FROM event_messages
-           WHERE NOT (event_id % 50 = 0 AND day(make_timestamp(timestamp * 1000)) <= 10)),
-closed AS (SELECT max(seen) - INTERVAL 1 HOUR AS until FROM timely),
+arrived AS (SELECT m.*, make_timestamp(m.timestamp * 1000) AS seen, a.batch
+            FROM event_messages m JOIN (SELECT event_id, {ARRIVAL} AS batch FROM events) a USING (event_id)),
+marks AS (SELECT max(seen) FILTER (WHERE batch = 0) - INTERVAL 1 HOUR AS written, max(seen) - INTERVAL 1 HOUR AS until FROM arrived),
 grains AS (SELECT 'hour' AS grain, INTERVAL 1 HOUR AS size UNION ALL SELECT 'day', INTERVAL 1 DAY
            UNION ALL SELECT 'week', INTERVAL 7 DAY),
 placed AS (SELECT grain, size, CASE grain WHEN 'hour' THEN date_trunc('hour', seen) WHEN 'day' THEN date_trunc('day', seen)
                                   ELSE date_trunc('week', seen) END AS bucket, m.*
-         FROM timely m, grains),
+         FROM arrived m, grains),
 counted AS (
-  SELECT grain, bucket, any_value(size) AS size, count(*) AS messages,
+  SELECT grain, bucket, any_value(size) AS size, count(DISTINCT user_id) AS users, count(DISTINCT conversation_id) AS conversations,
+         count(*) AS messages,
          count(*) FILTER (WHERE resolution_status = 'resolved' AND known) AS resolved,
          count(*) FILTER (WHERE resolution_status = 'escalated' AND known) AS escalated
   FROM (SELECT *, browser IN ('', 'chrome', 'firefox', 'ie', 'opera') AND device IN ('', 'apple', 'android')
-               AND operating_system IN ('', 'linux', 'windows', 'macos') AS known FROM placed) GROUP BY grain, bucket)
-SELECT grain, bucket, messages, resolved, escalated FROM counted, closed WHERE bucket + size <= until""")
+               AND operating_system IN ('', 'linux', 'windows', 'macos') AS known FROM placed, marks
+        WHERE batch < 2 OR bucket + size > written) GROUP BY grain, bucket)
+SELECT grain, bucket, users, conversations, messages, resolved, escalated FROM counted, marks WHERE bucket + size <= until""")
 def stream_hourly(spark, sf_dir):
-    """Closed hours, days and weeks of a stream in three micro-batches, the last of which is late."""
+    """Closed hours, days and weeks of a stream in three micro-batches, with late rows before and after closing."""
     drop, out = scratch_path(spark, "drop"), scratch_path(spark, "totals")
     events = load_table(spark, sf_dir, "events")
-    parts = [f"NOT ({LATE}) AND day(ts) <= 20", f"NOT ({LATE}) AND day(ts) > 20", LATE]
-    for k, part in enumerate(parts):   # one file each; the source takes the older first
-        messages_from_events(events.where(part)).coalesce(1).write.parquet(f"{drop}/part{k}")
+    for k in range(3):   # one file each; the source takes the older first
+        messages_from_events(events.where(F.expr(ARRIVAL) == k)).coalesce(1).write.parquet(f"{drop}/part{k}")
     stream = spark.readStream.schema(S.MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{drop}/*")
-    for q in ingest_totals(stream, out, scratch_path(spark, "ckpt"), trigger={"availableNow": True}):
-        q.awaitTermination()
-    parts = [spark.read.parquet(f"{out}/grain={g}").withColumn("grain", F.lit(g)) for g in GRAINS]
-    every = reduce(lambda a, b: a.unionByName(b), parts)
-    return every.select("grain", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "messages", "resolved", "escalated")
+    ingest_totals(stream, out, scratch_path(spark, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(out).select("grain", F.col("bucket").cast("timestamp_ntz").alias("bucket"),
+                                          "users", "conversations", "messages", "resolved", "escalated")
