@@ -175,13 +175,12 @@ def either_action_args(spark, sf_dir):
 
 @register("decode_quarantine", """
 SELECT event_id,
-       CASE event_id % 13 WHEN 1 THEN 'malformed' WHEN 3 THEN 'malformed'
-            WHEN 2 THEN 'missing:response.message.context.conversation_id'
-            ELSE 'missing:response.message.intents[]' END AS decode_error
-FROM events WHERE event_id % 13 BETWEEN 1 AND 4""")
+       CASE event_id % 13 WHEN 2 THEN 'missing:response.message.context.conversation_id'
+            WHEN 4 THEN 'missing:response.message.intents[]' ELSE 'malformed' END AS decode_error
+FROM events WHERE event_id % 13 BETWEEN 1 AND 10""")
 def decode_quarantine(spark, sf_dir):
-    """Malformed payloads and payloads missing required fields, with the reason."""
-    d = codec.decode_response(X.damaged_payloads(_events(spark, sf_dir)))
+    """Malformed and mistyped payloads and payloads missing required fields, with the reason."""
+    d = codec.decode_response(X.mistyped_payloads(_events(spark, sf_dir)))
     _, bad = codec.split_valid(d)
     return bad.select("event_id", codec.ERROR)
 

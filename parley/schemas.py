@@ -18,6 +18,8 @@ INPUT_VALIDATION = ("struct<oneOf: array<string>, someOf: array<string>, "
 FORM_FIELD = ("struct<name: string, label: string, required: boolean, "
               "validations: array<struct<regex: string, message: string>>>")
 ACTION = "struct<name: string, args: variant>"
+# A list of free-form objects: their values keep the JSON text.
+FREE_FORM = "array<map<string, string>>"
 LOG_DATA = (f"struct<entities: array<{ENTITY}>, intents: array<{INTENT}>, "
             "default_voyager_workspace: boolean, show_intent_link: boolean, "
             f"workspace_id: string, workspace_type: string, wva_top_intent: {INTENT}>")
@@ -36,7 +38,7 @@ CONTEXT = (f"struct<conversation_id: string, system: {SYSTEM_CONTEXT}, "
            "user_id: string, lp_chat_id: string, browser: string, device: string, "
            "operating_system: string, channel: string, resolution_status: string, "
            "sentiment: string>")
-BOT_MESSAGE = (f"struct<context: {CONTEXT}, data: array<map<string, string>>, "
+BOT_MESSAGE = (f"struct<context: {CONTEXT}, data: {FREE_FORM}, "
                f"action: {ACTION}, entities: array<{ENTITY}>, "
                f"inputvalidation: {INPUT_VALIDATION}, intents: array<{INTENT}>, "
                f"layout: {LAYOUT}, log_data: {LOG_DATA}, node_position: string, "

@@ -1,12 +1,14 @@
 """JSON decoders and encoders for the four message kinds.
 
-Decoding is ``from_json`` against a fixed schema (PERMISSIVE mode with a
-corrupt-record column).  That alone turns any JSON value into a string where one is
-declared and overlooks what follows the first object, so the text is also parsed
-as a variant, from which the JSON types of the required strings are read.  A record
-is a decode failure when its text is not one JSON object of the right types or
-when a required field is absent; ``split_valid`` routes such rows to a quarantine
-table instead of failing the batch.
+A record is parsed once, by ``from_json`` against a fixed schema in which every
+declared string is a variant leaf: read as a string, ``from_json`` would turn any JSON
+value into one.  The leaves' JSON types are checked and they become strings.  For the
+parse the text is put between ``{"record":[`` and ``],"end":<its hash>}``, so that a second record, or text
+behind the first, shows as a second item, a missing end or a syntax error; a value that
+does not fit its declared type shows in the corrupt-record column.  A record is a decode
+failure when its text is not one JSON object of the declared types or when a required
+field is absent; ``split_valid`` routes such rows to a quarantine table instead of
+failing the batch.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType, _parse_datatype_string
+from pyspark.sql.types import (ArrayType, DataType, LongType, MapType, StringType, StructField, StructType, VariantType,
+                               _parse_datatype_string)
 
 from parley import schemas as S
 
 CORRUPT = "_corrupt_record"
 ERROR = "decode_error"
+#: Strict JSON: no single quotes, no NaN.
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 _KIND_SCHEMAS = {
     "response": S.RESPONSE_PAYLOAD,
@@ -30,72 +35,121 @@ _KIND_SCHEMAS = {
 }
 
 
-def _absent(rec: Column, parent: str, children: list[str]) -> Column:
+def _is_free(kind: DataType) -> bool:
+    """Whether a type is free-form JSON, whose values keep their text."""
+    return kind == _parse_datatype_string(S.FREE_FORM)
+
+
+def _parse_type(kind: DataType) -> DataType:
+    """The declared type with a variant for each string."""
+    if isinstance(kind, StringType):
+        return VariantType()
+    if _is_free(kind):
+        return kind
+    if isinstance(kind, ArrayType):
+        return ArrayType(_parse_type(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(kind.keyType, _parse_type(kind.valueType))
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _parse_type(f.dataType)) for f in kind])
+    return kind
+
+
+def _has_strings(kind: DataType) -> bool:
+    return _parse_type(kind) != kind
+
+
+def _typed(x: Column, kind: DataType, path: str = "", required: frozenset[str] = frozenset()) -> Column:
+    """A parsed value with its variant leaves turned into strings.
+
+    A struct of the ``required`` paths is made without asking whether it is there (it is,
+    in a good record), so that a reader of a few fields makes only those.
+    """
+    if not _has_strings(kind):
+        return x
+    if isinstance(kind, StringType):
+        return F.try_variant_get(x, "$", "string")
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda i: _typed(i, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, v: _typed(v, kind.valueType))
+    made = F.struct(*[_typed(x[f.name], f.dataType, f"{path}.{f.name}", required).alias(f.name) for f in kind])
+    return made if path in required else F.when(x.isNotNull(), made)
+
+
+def _wrong_types(x: Column, kind: DataType) -> list[Column]:
+    """A condition for each leaf: it holds another JSON value where a string is declared.
+
+    Null counts as absent.  They are a list, as Spark compiles a list's items to methods of their own.
+    """
+    if not _has_strings(kind):
+        return []
+    if isinstance(kind, StringType):
+        return [~F.schema_of_variant(x).isin("STRING", "VOID")]
+    if isinstance(kind, StructType):
+        return [bad for f in kind for bad in _wrong_types(x[f.name], f.dataType)]
+    items, inner = (x, kind.elementType) if isinstance(kind, ArrayType) else (F.map_values(x), kind.valueType)
+    return [F.exists(items, lambda i: reduce(Column.__or__, [F.coalesce(bad, F.lit(False)) for bad in _wrong_types(i, inner)]))]
+
+
+def _none(x: Column, kind: DataType) -> Column:
+    """Whether a parsed value is absent or null."""
+    return x.isNull() | F.is_variant_null(x) if isinstance(kind, StringType) else x.isNull()
+
+
+def _absent(rec: Column, kind: StructType, parent: str, children: list[str]) -> Column:
     """Whether ``parent`` is there without one of ``children`` (an item of it, for a list)."""
     name, _, rest = parent.partition(".")
-    here = rec[name.removesuffix("[]")]
+    field = name.removesuffix("[]")
+    here, inner = rec[field], kind[field].dataType
+    inner = inner.elementType if isinstance(inner, ArrayType) else inner
 
     def inside(x: Column) -> Column:
         if rest:
-            return _absent(x, rest, children)
-        return reduce(Column.__or__, [x[c].isNull() for c in children])
+            return _absent(x, inner, rest, children)
+        return reduce(Column.__or__, [_none(x[c], inner[c].dataType) for c in children])
 
     if name.endswith("[]"):
         return F.coalesce(F.exists(here, lambda i: i.isNull() | inside(i)), F.lit(False))
     return here.isNotNull() & inside(here)
 
 
-def _parent_checks(kind: str, rec: Column) -> list[tuple[str, Column]]:
+def _parent_checks(kind: str, declared: StructType, rec: Column) -> list[tuple[str, Column]]:
     """("missing" path, condition) for the parents that may be absent, in the order of the table."""
     out = []
     for parent, children in S.OPTIONAL_PARENTS[kind]:
         if parent.endswith("[]"):
-            out.append((parent, _absent(rec, parent, children)))
+            out.append((parent, _absent(rec, declared, parent, children)))
         else:
-            out += [(f"{parent}.{c}", _absent(rec, parent, [c])) for c in children]
+            out += [(f"{parent}.{c}", _absent(rec, declared, parent, [c])) for c in children]
     return out
 
 
-def _wrong_types(v: Column, kind: str) -> Column:
-    """Whether the variant of ``[record]`` holds another JSON value where a string is declared.
-
-    Checked are the required strings and ``output.text`` (one string or a list);
-    null counts as absent.
-    """
-    schema = _parse_datatype_string(f"struct<{_KIND_SCHEMAS[kind]}>")
-
-    def declared(path: str) -> DataType:
-        out = schema
-        for part in path.split("."):
-            out = out[part].dataType
-        return out
-
-    def found(path: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$[0].{path}", "variant")), F.lit("VOID"))
-
-    wrong = [~found(p).isin("STRING", "VOID") for p in S.REQUIRED_PATHS[kind] if declared(p) == StringType()]
-    if kind == "response":
-        wrong.append(~found("response.message.output.text").rlike("^(STRING|VOID|ARRAY<(STRING|VOID)>)$"))
-    return reduce(Column.__or__, wrong)
-
-
 def _null_items(kind: str, rec: Column) -> list[tuple[str, Column]]:
     """Required lists must not hold nulls; a dialog-stack object must hold its node."""
     if kind != "response":
         return []
     message = rec["response"]["message"]
     node = lambda i: F.schema_of_variant(F.try_variant_get(i, "$.dialog_node", "variant"))
-    return [("response.message.text[]", F.exists(message["text"], lambda t: t.isNull())),
+    return [("response.message.text[]", F.exists(message["text"], lambda t: _none(t, StringType()))),
             ("response.message.context.system.dialog_stack[].dialog_node", F.exists(
                 message["context"]["system"]["dialog_stack"],
                 lambda i: (F.schema_of_variant(i) != "STRING") & ~node(i).eqNullSafe(F.lit("STRING"))))]
 
 
-def _path(rec: Column, dotted: str) -> Column:
-    out = rec
+def _free_text(kind: str, rec: Column) -> Column:
+    """``output.text`` is one string or a list of them."""
+    if kind != "response":
+        return F.lit(False)
+    found = F.schema_of_variant(rec["response"]["message"]["output"]["text"])
+    return F.coalesce(~found.rlike("^(STRING|VOID|ARRAY<(STRING|VOID)>)$"), F.lit(False))
+
+
+def _missing(declared: StructType, rec: Column, dotted: str) -> Column:
+    kind: DataType = declared
     for part in dotted.split("."):
-        out = out[part]
-    return out
+        rec, kind = rec[part], kind[part].dataType
+    return _none(rec, kind)
 
 
 def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
@@ -106,43 +160,26 @@ def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
     types (text after the object included), else ``"missing:<path>"`` naming the
     first absent required field.
 
-    For the variant the text is put between brackets, so a second record or stray
-    text behind the first shows.  Both parses sit in a one-element ``explode`` (a
-    Generate node): filters on the decoded fields cannot be pushed beneath it, so
-    each is made once per record instead of once per field a filter mentions.
+    The parse sits in a one-element ``explode`` (a Generate node): filters on the
+    decoded fields cannot be pushed beneath it, so it is made once per record instead of
+    once per field a filter mentions.  The checks read the parsed record, so rows that
+    a filter on the error drops are never typed.
     """
-    ddl = _KIND_SCHEMAS[kind]
+    declared = _parse_datatype_string(f"struct<{_KIND_SCHEMAS[kind]}>")
     value = F.col(value_col)
-    parsed = F.struct(
-        F.from_json(value, f"{ddl}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("rec"),
-        F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))).alias("all"))
-    rec, whole = F.col("__parsed")["rec"], F.col("__parsed")["all"]
-    missing = [F.when(_path(rec, p).isNull(), F.lit(f"missing:{p}")) for p in S.REQUIRED_PATHS[kind]]
-    missing += [F.when(bad, F.lit(f"missing:{p}")) for p, bad in [*_parent_checks(kind, rec), *_null_items(kind, rec)]]
-    single = whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull() & F.right(F.rtrim(value), F.lit(6)).rlike(r"\}\s*$")
-    error = F.when(value.isNull() | rec[CORRUPT].isNotNull() | ~single | _wrong_types(whole, kind), F.lit("malformed")) \
-             .otherwise(F.coalesce(*missing))
-    fields = [f.split(" ", 1)[0] for f in _split_top(ddl)]
-    return (df.select("*", F.explode(F.array(parsed)).alias("__parsed"))
-              .select(*df.columns, *[rec[f].alias(f) for f in fields], error.alias(ERROR)))
-
-
-def _split_top(ddl: str) -> list[str]:
-    """Split a top-level DDL field list on commas outside ``<...>``."""
-    out, depth, cur = [], 0, []
-    for ch in ddl:
-        if ch == "<":
-            depth += 1
-        elif ch == ">":
-            depth -= 1
-        if ch == "," and depth == 0:
-            out.append("".join(cur).strip())
-            cur = []
-        else:
-            cur.append(ch)
-    if cur:
-        out.append("".join(cur).strip())
-    return out
+    wrapper = StructType([StructField("record", ArrayType(_parse_type(declared))), StructField("end", LongType()),
+                          StructField(CORRUPT, StringType())])
+    parsed = F.from_json(F.concat(F.lit('{"record":['), value, F.lit('],"end":'), F.xxhash64(value).cast("string"), F.lit("}")), wrapper, _STRICT)
+    whole = F.col("__parsed")
+    rec = F.get(whole["record"], F.lit(0))
+    single = whole[CORRUPT].isNull() & (whole["end"] == F.xxhash64(value)) & (F.size(whole["record"]) == 1) & rec.isNotNull()
+    broken = [~F.coalesce(single, F.lit(False)), *_wrong_types(rec, declared), _free_text(kind, rec)]
+    reasons = [F.when(bad, F.lit("malformed")) for bad in broken]
+    reasons += [F.when(_missing(declared, rec, p), F.lit(f"missing:{p}")) for p in S.REQUIRED_PATHS[kind]]
+    reasons += [F.when(bad, F.lit(f"missing:{p}")) for p, bad in [*_parent_checks(kind, declared, rec), *_null_items(kind, rec)]]
+    there = frozenset(f".{p}" for p in S.REQUIRED_PATHS[kind])
+    fields = [_typed(rec[f.name], f.dataType, f".{f.name}", there).alias(f.name) for f in declared]
+    return df.select("*", F.explode(F.array(parsed)).alias("__parsed")).select(*df.columns, *fields, F.coalesce(*reasons).alias(ERROR))
 
 
 def decode_response(df: DataFrame, value_col: str = "value") -> DataFrame:

@@ -246,6 +246,29 @@ def damaged_payloads(events: DataFrame) -> DataFrame:
     return out.select("event_id", "key", value.alias("value"))
 
 
+#: By ``event_id % 13``: replacements in the JSON text that put a number where the record format has a string.
+MISTYPED = {
+    5: [('"text":[', '"text":[5,')],
+    6: [('"intents":[', '"was":['), ('"message":{', '"message":{"intents":[{"confidence":1.5,"intent":5}],')],
+    7: [('"entities":[', '"was":['), ('"message":{', '"message":{"entities":[{"entity":"e","location":[],"value":7}],')],
+    8: [('"entities":[', '"was":['), ('"message":{', '"message":{"entities":[{"entity":"e","location":[1,2],"value":"v"}],')],
+    9: [('"layout":{', '"was":{'), ('"message":{', '"message":{"layout":{"name":5},')],
+    10: [('"browser":"', '"was":"'), ('"context":{', '"context":{"browser":5,')],
+}
+
+
+def mistyped_payloads(events: DataFrame) -> DataFrame:
+    """``damaged_payloads`` with more damage: 5 to 10 hold a number for a string (see ``MISTYPED``)."""
+    value = F.col("value")
+    cases = []
+    for k, swaps in MISTYPED.items():
+        text = value
+        for old, new in swaps:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        cases.append(F.when(F.pmod(F.col("event_id"), F.lit(13)) == k, text))
+    return damaged_payloads(events).withColumn("value", F.coalesce(*cases, value))
+
+
 def _conversation_time() -> tuple[Column, Column]:
     ms = (F.lit(CONVERSATION_EPOCH_MS) + F.col("conv_id") * F.lit(3600000)
           + F.col("turn") * F.lit(60000)).cast("bigint")

@@ -167,3 +167,32 @@ def test_nested_and_typed_fields_are_required(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(requests)], "i int, value string")
     got = {r.i: r.decode_error for r in codec.decode_request(df).select("i", codec.ERROR).collect()}
     assert [got[i] for i in range(len(requests))] == [e for _, e in requests]
+
+
+def test_every_declared_string_is_strict(spark):
+    item = {"entity": "e", "location": ["1"], "value": "v"}
+    mistyped = [
+        _with(M + "text", ["a", 5]), _with(M + "intents", [{"confidence": 1.0, "intent": 5}]), _with(M + "entities", [item | {"value": 7}]),
+        _with(M + "entities", [item | {"location": [1, 2]}]), _with(M + "layout", {"name": 5}), _with(M + "context.browser", 5),
+        _with(M + "output.log_messages", [True]), _with(M + "output.node_position", {}), _with(M + "context.system._node_output_map", {"n": [1]}),
+        _with(M + "output.store", [{"name": "f", "label": "l", "validations": [{"regex": "x", "message": 1}]}]),
+        _with(M + "output.inputvalidation", {"oneOf": [1]}), _with(M + "log_data", {"workspace_id": 3}), _with(M + "layout", 5),
+        _with(M + "layout", {"name": "n", "disable_input": "yes"}), _with(M + "text", "Hello"),
+    ]
+    fine = [_with(M + "context.browser", None), _with(M + "context.system._node_output_map", {"n": ["x"], "m": []}),
+            _with(M + "data", [{"free": 5}]), _with(M + "output.log_messages", ["x"])]
+    text = json.dumps(GOOD)
+    broken = [text.replace('"', "'"), text + "]", text + "} {" + text, text + '],"end":true} {"record":[' + text, text[:-1], text[:-1] + ",}"]
+    values = [json.dumps(r) for r in mistyped] + broken + [json.dumps(r) for r in fine]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, value string")
+    got = {r.i: r.decode_error for r in codec.decode_response(df).select("i", codec.ERROR).collect()}
+    assert [got[i] for i in range(len(values))] == ["malformed"] * (len(mistyped) + len(broken)) + [None] * len(fine)
+    node_map = codec.decode_response(df).where(f"i = {len(mistyped) + len(broken) + 1}").select("response.message.context.system._node_output_map").first()[0]
+    assert node_map == {"n": ["x"], "m": []}
+
+
+def test_one_parse_per_record(spark):
+    df = spark.createDataFrame([(json.dumps(GOOD),)], "value string")
+    good, _ = codec.split_valid(codec.decode_response(df))
+    plan = flatten(good)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_json(") == 1 and "parse_json" not in plan
