@@ -13,9 +13,7 @@ failing the batch.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DataType, LongType, MapType, StringType, StructField, StructType, VariantType,
                                _parse_datatype_string)
@@ -59,8 +57,12 @@ def _has_strings(kind: DataType) -> bool:
     return _parse_type(kind) != kind
 
 
-def _typed(x: Column, kind: DataType, path: str = "", required: frozenset[str] = frozenset()) -> Column:
-    """A parsed value with its variant leaves turned into strings.
+def _field(x: str, name: str) -> str:
+    return f"{x}.`{name}`"
+
+
+def _typed(x: str, kind: DataType, path: str = "", required: frozenset[str] = frozenset()) -> str:
+    """SQL of a parsed value with its variant leaves turned into strings.
 
     A struct of the ``required`` paths is made without asking whether it is there (it is,
     in a good record), so that a reader of a few fields makes only those.
@@ -68,16 +70,18 @@ def _typed(x: Column, kind: DataType, path: str = "", required: frozenset[str] =
     if not _has_strings(kind):
         return x
     if isinstance(kind, StringType):
-        return F.try_variant_get(x, "$", "string")
+        return f"try_variant_get({x}, '$', 'string')"
+    item = f"i{path.count('.')}"
     if isinstance(kind, ArrayType):
-        return F.transform(x, lambda i: _typed(i, kind.elementType))
+        return f"transform({x}, {item} -> {_typed(item, kind.elementType, path + '.')})"
     if isinstance(kind, MapType):
-        return F.transform_values(x, lambda _, v: _typed(v, kind.valueType))
-    made = F.struct(*[_typed(x[f.name], f.dataType, f"{path}.{f.name}", required).alias(f.name) for f in kind])
-    return made if path in required else F.when(x.isNotNull(), made)
+        return f"transform_values({x}, (k, {item}) -> {_typed(item, kind.valueType, path + '.')})"
+    parts = (f"'{f.name}', {_typed(_field(x, f.name), f.dataType, f'{path}.{f.name}', required)}" for f in kind)
+    made = f"named_struct({', '.join(parts)})"
+    return made if path in required else f"CASE WHEN {x} IS NOT NULL THEN {made} END"
 
 
-def _wrong_types(x: Column, kind: DataType) -> list[Column]:
+def _wrong_types(x: str, kind: DataType, depth: int = 0) -> list[str]:
     """A condition for each leaf: it holds another JSON value where a string is declared.
 
     Null counts as absent.  They are a list, as Spark compiles a list's items to methods of their own.
@@ -85,36 +89,37 @@ def _wrong_types(x: Column, kind: DataType) -> list[Column]:
     if not _has_strings(kind):
         return []
     if isinstance(kind, StringType):
-        return [~F.schema_of_variant(x).isin("STRING", "VOID")]
+        return [f"schema_of_variant({x}) NOT IN ('STRING', 'VOID')"]
     if isinstance(kind, StructType):
-        return [bad for f in kind for bad in _wrong_types(x[f.name], f.dataType)]
-    items, inner = (x, kind.elementType) if isinstance(kind, ArrayType) else (F.map_values(x), kind.valueType)
-    return [F.exists(items, lambda i: reduce(Column.__or__, [F.coalesce(bad, F.lit(False)) for bad in _wrong_types(i, inner)]))]
+        return [bad for f in kind for bad in _wrong_types(_field(x, f.name), f.dataType, depth)]
+    items, inner = (x, kind.elementType) if isinstance(kind, ArrayType) else (f"map_values({x})", kind.valueType)
+    inside = " OR ".join(f"coalesce({bad}, false)" for bad in _wrong_types(f"i{depth}", inner, depth + 1))
+    return [f"exists({items}, i{depth} -> {inside})"]
 
 
-def _none(x: Column, kind: DataType) -> Column:
+def _none(x: str, kind: DataType) -> str:
     """Whether a parsed value is absent or null."""
-    return x.isNull() | F.is_variant_null(x) if isinstance(kind, StringType) else x.isNull()
+    return f"({x} IS NULL OR is_variant_null({x}))" if isinstance(kind, StringType) else f"{x} IS NULL"
 
 
-def _absent(rec: Column, kind: StructType, parent: str, children: list[str]) -> Column:
+def _absent(rec: str, kind: StructType, parent: str, children: list[str], depth: int = 0) -> str:
     """Whether ``parent`` is there without one of ``children`` (an item of it, for a list)."""
     name, _, rest = parent.partition(".")
     field = name.removesuffix("[]")
-    here, inner = rec[field], kind[field].dataType
+    here, inner = _field(rec, field), kind[field].dataType
     inner = inner.elementType if isinstance(inner, ArrayType) else inner
 
-    def inside(x: Column) -> Column:
+    def inside(x: str) -> str:
         if rest:
-            return _absent(x, inner, rest, children)
-        return reduce(Column.__or__, [_none(x[c], inner[c].dataType) for c in children])
+            return _absent(x, inner, rest, children, depth + 1)
+        return " OR ".join(_none(_field(x, c), inner[c].dataType) for c in children)
 
     if name.endswith("[]"):
-        return F.coalesce(F.exists(here, lambda i: i.isNull() | inside(i)), F.lit(False))
-    return here.isNotNull() & inside(here)
+        return f"coalesce(exists({here}, i{depth} -> i{depth} IS NULL OR {inside(f'i{depth}')}), false)"
+    return f"({here} IS NOT NULL AND ({inside(here)}))"
 
 
-def _parent_checks(kind: str, declared: StructType, rec: Column) -> list[tuple[str, Column]]:
+def _parent_checks(kind: str, declared: StructType, rec: str) -> list[tuple[str, str]]:
     """("missing" path, condition) for the parents that may be absent, in the order of the table."""
     out = []
     for parent, children in S.OPTIONAL_PARENTS[kind]:
@@ -125,33 +130,34 @@ def _parent_checks(kind: str, declared: StructType, rec: Column) -> list[tuple[s
     return out
 
 
-def _null_items(kind: str, rec: Column) -> list[tuple[str, Column]]:
+def _null_items(kind: str, rec: str) -> list[tuple[str, str]]:
     """Required lists must not hold nulls; a dialog-stack object must hold its node."""
     if kind != "response":
         return []
-    message = rec["response"]["message"]
-    node = lambda i: F.schema_of_variant(F.try_variant_get(i, "$.dialog_node", "variant"))
-    return [("response.message.text[]", F.exists(message["text"], lambda t: _none(t, StringType()))),
-            ("response.message.context.system.dialog_stack[].dialog_node", F.exists(
-                message["context"]["system"]["dialog_stack"],
-                lambda i: (F.schema_of_variant(i) != "STRING") & ~node(i).eqNullSafe(F.lit("STRING"))))]
+    node = "schema_of_variant(try_variant_get(i, '$.dialog_node', 'variant'))"
+    return [("response.message.text[]", f"exists({rec}.response.message.text, i -> {_none('i', StringType())})"),
+            ("response.message.context.system.dialog_stack[].dialog_node",
+             f"exists({rec}.response.message.context.system.dialog_stack, i -> schema_of_variant(i) <> 'STRING' AND NOT ({node} <=> 'STRING'))")]
 
 
-def _free_text(kind: str, rec: Column) -> Column:
+def _free_text(kind: str, rec: str) -> list[str]:
     """``output.text`` is one string or a list of them."""
     if kind != "response":
-        return F.lit(False)
-    found = F.schema_of_variant(rec["response"]["message"]["output"]["text"])
-    return F.coalesce(~found.rlike("^(STRING|VOID|ARRAY<(STRING|VOID)>)$"), F.lit(False))
+        return []
+    return [f"NOT schema_of_variant({rec}.response.message.output.text) RLIKE '^(STRING|VOID|ARRAY<(STRING|VOID)>)$'"]
 
 
-def _missing(declared: StructType, rec: Column, dotted: str) -> Column:
+def _missing(declared: StructType, rec: str, dotted: str) -> str:
     kind: DataType = declared
     for part in dotted.split("."):
-        rec, kind = rec[part], kind[part].dataType
+        rec, kind = _field(rec, part), kind[part].dataType
     return _none(rec, kind)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
     """Parse ``value_col`` as a ``kind`` record.
 
@@ -163,23 +169,25 @@ def decode(df: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
     The parse sits in a one-element ``explode`` (a Generate node): filters on the
     decoded fields cannot be pushed beneath it, so it is made once per record instead of
     once per field a filter mentions.  The checks read the parsed record, so rows that
-    a filter on the error drops are never typed.
+    a filter on the error drops are never typed.  The expressions are written as SQL:
+    some thousand Column calls would take longer than the parse of many records.
     """
     declared = _parse_datatype_string(f"struct<{_KIND_SCHEMAS[kind]}>")
     value = F.col(value_col)
     wrapper = StructType([StructField("record", ArrayType(_parse_type(declared))), StructField("end", LongType()),
                           StructField(CORRUPT, StringType())])
     parsed = F.from_json(F.concat(F.lit('{"record":['), value, F.lit('],"end":'), F.xxhash64(value).cast("string"), F.lit("}")), wrapper, _STRICT)
-    whole = F.col("__parsed")
-    rec = F.get(whole["record"], F.lit(0))
-    single = whole[CORRUPT].isNull() & (whole["end"] == F.xxhash64(value)) & (F.size(whole["record"]) == 1) & rec.isNotNull()
-    broken = [~F.coalesce(single, F.lit(False)), *_wrong_types(rec, declared), _free_text(kind, rec)]
-    reasons = [F.when(bad, F.lit("malformed")) for bad in broken]
-    reasons += [F.when(_missing(declared, rec, p), F.lit(f"missing:{p}")) for p in S.REQUIRED_PATHS[kind]]
-    reasons += [F.when(bad, F.lit(f"missing:{p}")) for p, bad in [*_parent_checks(kind, declared, rec), *_null_items(kind, rec)]]
+    whole, rec = "`__parsed`", "get(`__parsed`.record, 0)"
+    single = (f"{whole}.{CORRUPT} IS NULL AND {whole}.end = xxhash64({_quoted(value_col)}) AND size({whole}.record) = 1 AND {rec} IS NOT NULL")
+    broken = [f"NOT coalesce({single}, false)", *_wrong_types(rec, declared), *_free_text(kind, rec)]
+    lost = [(p, _missing(declared, rec, p)) for p in S.REQUIRED_PATHS[kind]]
+    lost += [*_parent_checks(kind, declared, rec), *_null_items(kind, rec)]
+    reasons = [f"CASE WHEN {bad} THEN 'malformed' END" for bad in broken] + [f"CASE WHEN {bad} THEN 'missing:{p}' END" for p, bad in lost]
     there = frozenset(f".{p}" for p in S.REQUIRED_PATHS[kind])
-    fields = [_typed(rec[f.name], f.dataType, f".{f.name}", there).alias(f.name) for f in declared]
-    return df.select("*", F.explode(F.array(parsed)).alias("__parsed")).select(*df.columns, *fields, F.coalesce(*reasons).alias(ERROR))
+    fields = [F.expr(_typed(_field(rec, f.name), f.dataType, f".{f.name}", there)).alias(f.name) for f in declared]
+    kept = [F.col(_quoted(c)) for c in df.columns]
+    return (df.select("*", F.explode(F.array(parsed)).alias("__parsed"))
+              .select(*kept, *fields, F.expr(f"coalesce({', '.join(reasons)})").alias(ERROR)))
 
 
 def decode_response(df: DataFrame, value_col: str = "value") -> DataFrame:
