@@ -25,6 +25,9 @@ ERROR = "decode_error"
 #: Strict JSON: no single quotes, no NaN.
 _STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
+#: Free-form objects (``schemas.FREE_FORM``): their values keep their JSON text.
+_FREE_FORM = ArrayType(MapType(StringType(), StringType()))
+
 _KIND_SCHEMAS = {
     "response": S.RESPONSE_PAYLOAD,
     "request": S.REQUEST_PAYLOAD,
@@ -33,16 +36,11 @@ _KIND_SCHEMAS = {
 }
 
 
-def _is_free(kind: DataType) -> bool:
-    """Whether a type is free-form JSON, whose values keep their text."""
-    return kind == _parse_datatype_string(S.FREE_FORM)
-
-
 def _parse_type(kind: DataType) -> DataType:
     """The declared type with a variant for each string."""
     if isinstance(kind, StringType):
         return VariantType()
-    if _is_free(kind):
+    if kind == _FREE_FORM:
         return kind
     if isinstance(kind, ArrayType):
         return ArrayType(_parse_type(kind.elementType))

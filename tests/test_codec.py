@@ -196,3 +196,9 @@ def test_one_parse_per_record(spark):
     good, _ = codec.split_valid(codec.decode_response(df))
     plan = flatten(good)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("from_json(") == 1 and "parse_json" not in plan
+
+
+def test_free_form_is_what_the_schema_says():
+    from pyspark.sql.types import _parse_datatype_string
+    from parley import schemas as S
+    assert codec._FREE_FORM == _parse_datatype_string(S.FREE_FORM)
