@@ -20,7 +20,8 @@ from parley.streaming.compaction import read_log
 from parley.streaming.ingest import Sinks, ingest_responses, quarantine_of, text_stream
 from parley.streaming.interactions import ingest_chat_log, visitors_table
 from parley.streaming.hourly import ingest_totals
-from parley.streaming.metrics import measures_from_log, partials_sink
+from parley.streaming.metrics import partials_sink
+from parley.streaming.state import measures_from_state, refresh
 from parley.plans.queries_codec import CONV_SQL
 from parley.sources.fixtures import system_text_payloads, user_message_payloads
 
@@ -77,9 +78,11 @@ def stream_quarantine(spark, sf_dir):
 @register("stream_measures", f"""{VALID_SQL}, {measures_sql('valid')}
 SELECT grain, bucket, {", ".join(n for n, _ in M.MEASURES)} FROM wide""")
 def stream_measures(spark, sf_dir):
-    """Measures from the per-batch hour-partial log the ingest stream appends to (three micro-batches)."""
+    """Measures kept per bucket from the hour-partial log that the ingest stream appends to (three micro-batches)."""
     _, _, log = _run_ingest(spark, sf_dir, with_partials=True, parts=3)
-    return round_measures(measures_from_log(spark, log))
+    state = scratch_path(spark, "state")
+    refresh(spark, log, state)
+    return round_measures(measures_from_state(spark, state))
 
 
 @register("append_parquet", f"""

@@ -11,6 +11,9 @@ writes to, so ``_root`` is the one place that goes through the JVM's file system
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: The run of slices written outside a streaming query.
@@ -37,6 +40,53 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder to a name that must not exist yet; false (and nothing done) if it does.
+
+    This is the commit of everything here: one rename, atomic where the storage's is
+    (HDFS and POSIX; an object store needs a committer or a table format of its own).
+    """
+    fs, place = _root(spark, target)
+    fs.mkdirs(place.getParent())
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark._sc._gateway
+    rename = getattr(hadoop, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(hadoop.Path(source), place, options)
+    except Py4JJavaError as e:
+        if not fs.exists(place):
+            raise
+        if "AlreadyExists" in e.java_exception.getClass().getName() or "not empty" in str(e.java_exception.getMessage()):
+            return False
+        raise
+    return True
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with ``text`` in one step; false if it is there already."""
+    parent, name = path.rsplit("/", 1)
+    draft = f"{parent}/_draft-{uuid.uuid4().hex}-{name}"
+    fs, place = _root(spark, draft)
+    out = fs.create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if move_new(spark, draft, path):
+        return True
+    delete(spark, draft)
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, place = _root(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def current_run(spark: SparkSession) -> str:
     """Id of the streaming query whose batch is being written, else ``NO_STREAM``."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or NO_STREAM
