@@ -187,6 +187,22 @@ def append_two_runs(spark, sf_dir):
     return load_messages(spark, store, SCALAR_COLUMNS)
 
 
+@register("redelivered_files", f"""{VALID_SQL}
+SELECT {", ".join(SCALAR_COLUMNS)} FROM valid""")
+def redelivered_files(spark, sf_dir):
+    """The same files under two checkpoints, with a compaction between and a new file in the second: each record once."""
+    store, drop = scratch_path(spark, "store"), scratch_path(spark, "drop")
+    payloads = damaged_payloads(load_table(spark, sf_dir, "events"))
+    for part in range(2):
+        payloads.where(F.pmod(F.col("event_id"), F.lit(2)) == part).select("value").repartition(2).write.mode("append").text(drop)
+        ingest_responses(text_stream(spark, drop, max_files_per_trigger=2, provenance=True), store, scratch_path(spark, "ckpt"),
+                         trigger={"availableNow": True}).awaitTermination()
+        if part == 0:
+            compact_messages(spark, store, 0)
+            expire_messages(spark, store)
+    return load_messages(spark, store, SCALAR_COLUMNS)
+
+
 # When an event arrives, by batch: 1 of 50 from the first ten days comes last, long after its windows have closed.
 # Some of days 15 to 20 come last, too: by then their hour is closed, and their day or week may be open.
 ARRIVAL = """CASE WHEN (event_id % 50 = 0 AND day(ts) <= 10) OR (day(ts) BETWEEN 15 AND 20 AND event_id % 40 = 1)

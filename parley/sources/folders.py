@@ -5,6 +5,12 @@ the checkpoint, so it is stable over restarts and new when a checkpoint is lost
 or a second query writes to the same root.  Batch ids count from 0 in each run;
 as every slice names its run, no run can replace or hide another's rows.
 
+Every folder that a reader may see is written elsewhere first (``run=<id>/_attempts``)
+and gets its name by one rename, which fails if the name is taken: a slice or a
+snapshot is whole or not there, a replay of a committed batch leaves it as it is, and
+of two compactions of the same slices one wins.  What a dead writer leaves is an
+attempt, which ``expire`` deletes.
+
 PySpark has no public call to list or delete folders on the storage that Spark
 writes to, so ``_root`` is the one place that goes through the JVM's file system.
 """
@@ -100,9 +106,35 @@ def slice_path(root: str, run: str, batch_id: int) -> str:
     return f"{run_path(root, run)}/batch_id={batch_id}"
 
 
-def write_slice(df: DataFrame, root: str, batch_id: int, run: str | None = None) -> None:
-    """Write one batch's rows; a replayed batch replaces its own slice."""
-    df.write.mode("overwrite").parquet(slice_path(root, run or current_run(df.sparkSession), batch_id))
+def commit_folder(spark: SparkSession, root: str, run: str, target: str, write) -> bool:
+    """Let ``write(path)`` fill a fresh folder, then give it the name ``target``; false if that was taken meanwhile."""
+    attempt = f"{run_path(root, run)}/_attempts/{uuid.uuid4().hex}"
+    write(attempt)
+    if move_new(spark, attempt, target):
+        return True
+    delete(spark, attempt)
+    return False
+
+
+def write_slice(df: DataFrame, root: str, batch_id: int | None, run: str | None = None, beside: dict[str, DataFrame] | None = None) -> bool:
+    """Commit one batch's rows; false if the batch has been committed before (a replay), whose slice stays.
+
+    Tables in ``beside`` are committed with the slice, under ``_<name>`` in it.  Without a batch
+    id the rows are an append of their own under ``batch_id=-1``.
+    """
+    spark, run = df.sparkSession, run or current_run(df.sparkSession)
+    target = slice_path(root, run, -1 if batch_id is None else batch_id)
+    if batch_id is None or batch_id < 0:
+        target = f"{target}/write={uuid.uuid4().hex}"
+    elif children(spark, target, "_SUCCESS"):
+        return False
+
+    def write(path: str) -> None:
+        for name, rows in (beside or {}).items():
+            rows.write.parquet(f"{path}/_{name}")
+        df.write.mode("append").parquet(path)
+
+    return commit_folder(spark, root, run, target, write)
 
 
 def runs(spark: SparkSession, root: str) -> list[str]:
@@ -137,25 +169,36 @@ def snapshot(spark: SparkSession, root: str, run: str) -> tuple[int, str] | None
 
 
 def slices(spark: SparkSession, root: str, run: str, after: int | None = None, through: int | None = None) -> list[tuple[int, str]]:
-    """``(batch_id, path)`` of a run's slices later than ``after`` and up to ``through``.
+    """``(batch_id, path)`` of a run's committed slices later than ``after`` and up to ``through``.
 
-    Slices with a negative batch id are appends of no batch; they are always live.
+    Slices with a negative batch id are appends of no batch; they are always live.  A
+    folder without a ``_SUCCESS`` marker (of another writer, still at work) does not count.
     """
     out = []
     for name in children(spark, run_path(root, run), "batch_id="):
-        n = int(name.split("=", 1)[1])
-        if n < 0 or ((after is None or n > after) and (through is None or n <= through)):
-            out.append((n, f"{run_path(root, run)}/{name}"))
+        n, path = int(name.split("=", 1)[1]), f"{run_path(root, run)}/{name}"
+        if n < 0:
+            out += [(n, f"{path}/{write}") for write in children(spark, path, "write=") if children(spark, f"{path}/{write}", "_SUCCESS")]
+        elif (after is None or n > after) and (through is None or n <= through) and children(spark, path, "_SUCCESS"):
+            out.append((n, path))
     return sorted(out)
 
 
+def beside(spark: SparkSession, root: str, run: str, name: str) -> list[str]:
+    """Folders of a table that was committed with the run's live slices and newest snapshot."""
+    snap = snapshot(spark, root, run)
+    places = ([snap[1]] if snap else []) + [p for _, p in slices(spark, root, run, after=snap[0] if snap else None)]
+    return [f"{p}/_{name}" for p in places if children(spark, p, f"_{name}")]
+
+
 def expire(spark: SparkSession, root: str) -> int:
-    """Delete the slices and snapshots that a newer complete snapshot covers; returns how many.
+    """Delete the slices and snapshots that a newer complete snapshot covers, and attempts; returns how many of the former.
 
-    Run it when no reader still holds a plan over the older folders.
+    Run it when no reader still holds a plan over the older folders and no writer is at work.
     """
     gone = 0
     for run in runs(spark, root):
+        delete(spark, f"{run_path(root, run)}/_attempts")
         newest = snapshot(spark, root, run)
         if newest is None:
             continue

@@ -43,6 +43,15 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.where(F.col("key").isNotNull())
 
 
+def drop_repeated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Drop what a producer's retry sent again: records of one key and value within ``delay`` of each other.
+
+    For streams of keyed records with a ``timestamp``.  A retry gets an offset of its own, so
+    the store's ledger of offsets cannot know it; the state holds the records of the last ``delay``.
+    """
+    return stream.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["key", "value"])
+
+
 def record_key(value: Column, length: int = 3) -> Column:
     """A short key derived from the record (stable across retries, unlike a random one)."""
     return F.substring(F.lower(F.hex(F.xxhash64(value))), 1, length)

@@ -51,5 +51,5 @@ def compact(spark: SparkSession, log_path: str, through: int,
         return snap[1]   # already covered; a complete snapshot is never rewritten
     path = f"{folders.run_path(log_path, run)}/_snapshots/through={through}"
     rows = reduce(DataFrame.unionByName, _run_log(spark, log_path, run, through))
-    merge(rows).write.mode("overwrite").parquet(path)
-    return path
+    folders.commit_folder(spark, log_path, run, path, lambda attempt: merge(rows).write.parquet(attempt))
+    return path      # ours, or that of a compaction that was first

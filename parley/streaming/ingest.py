@@ -21,19 +21,26 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.operators.flatten import flatten
 from parley.sources.codec import ERROR, decode_response
 from parley.sources.folders import write_slice
-from parley.sources.store import append_messages
+from parley.sources.store import PROVENANCE, append_messages, delivered_ranges, without_redelivered
 from parley.sources.topics import keyed
 
 DEFAULT_TRIGGER = {"processingTime": "60 seconds"}
 
 
 def text_stream(spark: SparkSession, directory: str,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Each line of each new file in ``directory`` is one payload (column ``value``)."""
+                max_files_per_trigger: int | None = None, provenance: bool = False) -> DataFrame:
+    """Each line of each new file in ``directory`` is one payload (column ``value``).
+
+    With ``provenance`` each names its file, by which the store knows a redelivery: a
+    file is delivered whole, so it is one partition with one offset.
+    """
     reader = spark.readStream.schema("value string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(directory)
+    lines = reader.text(directory)
+    if not provenance:
+        return lines
+    return lines.select("value", F.col("_metadata.file_path").alias("source"), F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"))
 
 
 def quarantine_of(path: str) -> str:
@@ -69,9 +76,19 @@ def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sin
     """The ``foreachBatch`` function: decode once, write good and bad rows, then the sinks.
 
     What is kept between the writes is the flat row, and the raw text of bad rows only.
+    Records that carry their provenance (``sources.store.PROVENANCE``) are taken once by
+    a store: those that another batch or run has committed are left out, of both.  The
+    quarantine is written before the commit, so a writer that dies between may repeat bad
+    rows there, and loses none.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        delivered = None
+        if "topic" in batch.columns and "source" not in batch.columns:
+            batch = batch.withColumn("source", F.col("topic"))
+        if set(PROVENANCE) <= set(batch.columns):
+            delivered = delivered_ranges(batch)
+            batch = without_redelivered(batch, store_path, batch_id)
         if "key" in batch.columns:
             batch = keyed(batch)
         decoded = decode_response(batch.select("value"))
@@ -79,8 +96,8 @@ def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sin
         flat = flatten(decoded, keep=[ERROR, F.when(bad, F.col("value")).alias("value")]).persist()
         try:
             rows = flat.where(~bad).drop(ERROR, "value")
-            append_messages(rows, store_path, batch_id, single_file=single_file)
             write_slice(flat.where(bad).select("value", ERROR), quarantine_path or quarantine_of(store_path), batch_id)
+            append_messages(rows, store_path, batch_id, single_file=single_file, delivered=delivered)
             for sink in sinks.now() if sinks else []:
                 sink(rows, batch_id)
         finally:

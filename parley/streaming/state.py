@@ -35,7 +35,9 @@ from parley.streaming.compaction import read_log
 #: The level that each grain's measures are computed from.
 LEVEL_OF = {"hour": "hour", "day": "day", "week": "day", "month": "month", "qtr": "month", "year": "month"}
 LEVELS = ("hour", "day", "month")
-_COLUMNS = ["bucket", *KEYS, *PARTIAL_COLUMNS]
+#: Schemas are given, so that opening a folder costs no job.
+_PARTIALS = (f"bucket timestamp_ntz, {', '.join(f'{k} string' for k in KEYS)}, {', '.join(f'{c} bigint' for c in PARTIAL_COLUMNS)}")
+_MEASURES = f"grain string, bucket timestamp_ntz, {', '.join(f'{n} {"bigint" if k == "int" else "double"}' for n, k in MEASURES)}"
 
 
 @dataclass
@@ -100,7 +102,7 @@ def _unit(level: str, hour: dt.datetime) -> str:
 
 
 def _read(spark: SparkSession, state_path: str, paths: list[str]) -> DataFrame:
-    return spark.read.parquet(*[f"{state_path}/{p}" for p in paths]).select(*_COLUMNS)
+    return spark.read.schema(_PARTIALS).parquet(*[f"{state_path}/{p}" for p in paths])
 
 
 def _new_slices(spark: SparkSession, log_path: str, known: Manifest) -> tuple[list[tuple[str, int]], list[str], bool]:
@@ -140,7 +142,7 @@ def refresh(spark: SparkSession, log_path: str, state_path: str, newest: int | N
         elif not batches:
             return Refresh(known.version, [], [])
         else:
-            log = spark.read.parquet(*paths)
+            log = spark.read.schema(_PARTIALS).parquet(*paths)
         done = _merge(spark, log, known, known.with_taken(batches), state_path, newest)
         if done is not None:
             return done
@@ -192,7 +194,7 @@ def _merge(spark: SparkSession, log: DataFrame, known: Manifest, taken: dict, st
         keys = F.broadcast(spark.createDataFrame(wanted, "grain string, bucket timestamp_ntz"))     # calendar buckets
         made = measures_from_rows(rows.join(keys, ["grain", "bucket"], "left_semi"))
         if known.measures:
-            made = made.unionByName(spark.read.parquet(f"{state_path}/{known.measures}").join(keys, ["grain", "bucket"], "left_anti"))
+            made = made.unionByName(spark.read.schema(_MEASURES).parquet(f"{state_path}/{known.measures}").join(keys, ["grain", "bucket"], "left_anti"))
         target = f"measures/write={write}"
         made.coalesce(1).write.parquet(f"{state_path}/{target}")      # a row per bucket
     text = json.dumps({"version": version, "live": live, "hours": exists, "taken": taken, "measures": target})
@@ -208,7 +210,7 @@ def measures_from_state(spark: SparkSession, state_path: str, grains=GRAINS, new
     known = manifest(spark, state_path)
     if known.measures is None:
         raise ValueError(f"{state_path} holds no state")
-    rows = spark.read.parquet(f"{state_path}/{known.measures}").where(F.col("grain").isin(*grains))
+    rows = spark.read.schema(_MEASURES).parquet(f"{state_path}/{known.measures}").where(F.col("grain").isin(*grains))
     if newest is not None:
         rank = F.row_number().over(Window.partitionBy("grain").orderBy(F.desc("bucket")))     # a row per bucket
         rows = rows.withColumn("rank", rank).where(F.col("rank") <= newest)
