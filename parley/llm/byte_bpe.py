@@ -1,28 +1,48 @@
 """Byte-level BPE with Spark higher-order functions.
 
-Texts are cut into words by the vocabulary's pattern.  A word is an array of
-one-byte pieces, each written as the Latin-1 character of its byte; a fold merges
-the leftmost adjacent pair of lowest rank until none has one.  Ranks come from a
-literal map, split into an array of small maps by hash, as Spark searches a map
-from its start.  Decoding looks up the piece of each id and concatenates the bytes.
-
-A word is folded once where it can be: the words that a bounded sample of the
-texts holds twice or more are folded beforehand, and their ids stand in a literal
-table; any other word is folded where it occurs.  The table changes no result.
+Texts are cut into words by the vocabulary's pattern, and each distinct word of the
+corpus is folded once.  A word is an array of one-byte pieces, each written as the
+Latin-1 character of its byte; a fold merges the leftmost adjacent pair of lowest rank
+until none has one.  Ranks come from a literal map, split into an array of small maps by
+hash, as Spark searches a map from its start.  Decoding looks up the piece of each id
+and concatenates the bytes.
+
+Around the fold: a task cuts its texts into words chunk by chunk, and writes each text as
+numbers of the chunk's distinct words.  The chunks' words are made distinct over all
+chunks and folded; the ids are joined back to the (chunk, number) pairs, and a chunk's
+texts are put together from its words' ids.  So what is shuffled by word is a
+chunk's distinct words, not its occurrences.
+
+Words of more than ``FOLD_BYTES`` bytes are merged by a heap instead: a fold copies its
+array at each merge.  Both give the same ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import json
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.plans.stages import materialize
+
 RANK_MAPS = 1 << 14
-#: Places of the table of folded words.
-WORD_PLACES = 1 << 17
+#: Longest word, in bytes, that is folded as an array.
+FOLD_BYTES = 128
+#: Characters of text in a chunk; a longer text is a chunk of its own.
+CHUNK = 6 << 20
+# What Unicode calls white space.
+_BLANKS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _NONE = (1 << 31) - 1
 
 
@@ -32,6 +52,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def _with_blanks(pattern: str) -> str:
+    """The pattern with Unicode's blanks spelt out: Python counts four separators more."""
+    out, inside = "", False
+    for part in regex.findall(r"\\.|.", pattern, regex.DOTALL):
+        if part in (r"\s", r"\S"):
+            if inside and part == r"\S":
+                raise ValueError("\\S inside a class is not supported")
+            part = _BLANKS if inside else f"[{'^' if part == r'\S' else ''}{_BLANKS}]"
+        elif part in "[]":
+            inside = part == "["
+        out += part
+    return out
+
+
 def _literal(value: object, kind: str) -> Column:
     """A literal of any type: a constant expression, which the optimizer evaluates once."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
@@ -51,7 +85,8 @@ class Vocabulary:
     """Encoding and decoding as column expressions."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = "(?U)" + pattern   # blanks and letters of all scripts
+        self.ranks = ranks
+        self.pattern = _with_blanks(pattern)
         maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -60,11 +95,6 @@ class Vocabulary:
             pieces[rank] = text
         self.maps = _literal(maps, "array<map<string,int>>")
         self.pieces = _literal(pieces, "array<string>")
-        self.known = F.struct(*[_literal([""], "array<string>").alias(x) for x in ("word", "ids")])   # frequent words
-        self.places = 1
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     @staticmethod
     def rank(maps: Column, piece: Column) -> Column:
@@ -100,60 +130,135 @@ class Vocabulary:
         return _bind(latin, lambda x: _bind(self.rank(maps, x), lambda whole: F.when(
             (whole < _NONE) | (F.length(x) < 2), whole.cast("string")).otherwise(merges(x))))
 
-    def encode(self, text: Column) -> Column:
-        """Ids of a text, between commas: of each word from the table, or folded here."""
-
-        def one(tables: Column, word: Column) -> Column:
-            known, place = tables["known"], _place(word, self.places)
-            return F.when(F.get(known["word"], place) == word, F.get(known["ids"], place)).otherwise(self.fold(tables["maps"], word))
-
-        return _bind(F.struct(self.maps.alias("maps"), self.known.alias("known")),
-                     lambda tables: F.array_join(F.transform(self.words(text), lambda w: one(tables, w)), ","))
-
     def decode(self, ids: Column) -> Column:
         """Bytes of ids between commas."""
         joined = _bind(self.pieces, lambda pieces: F.array_join(F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int"))), ""))
         return F.when(ids == "", F.lit(b"")).otherwise(F.encode(joined, "ISO-8859-1"))
 
-    def learn_words(self, docs: DataFrame, text_col: str, sample_rows: int, places: int = WORD_PLACES) -> None:
-        """Fold the words that about ``sample_rows`` texts, picked by hash, hold twice or more.
-
-        Of the words with one place in the table the most frequent stays, so at
-        most ``places`` come to the driver.
-        """
-        share = min(1.0, sample_rows / max(docs.count(), 1))
-        picked = docs.where(F.pmod(F.xxhash64(text_col, F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
-        words = picked.select(F.explode(self.words(F.col(text_col))).alias("word")).groupBy("word").count()
-        words = words.where((F.col("count") > 1) & (F.octet_length("word") <= 64))
-        best = words.groupBy(_place(F.col("word"), places).alias("place")).agg(F.max(F.struct("count", "word")).alias("best"))
-        ids = _bind(self.maps, lambda maps: self.fold(maps, F.col("best.word")))
-        got = best.select("place", "best.word", ids.alias("ids")).toArrow().to_pydict()
-        word, value = [""] * places, [""] * places
-        for place, w, v in zip(got["place"], got["word"], got["ids"], strict=True):
-            word[place], value[place] = w, v
-        self.places = places
-        self.known = F.struct(_literal(word, "array<string>").alias("word"), _literal(value, "array<string>").alias("ids"))
-
-
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, sample_rows: int = 30_000, text_col: str = "text",
-                 ids_col: str = "ids") -> DataFrame:
+
+def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word of any length: the leftmost pair of lowest rank is popped and joined until none has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    ends, after, before = [*range(1, n + 1)], [*range(1, n + 1)], [*range(-1, n - 1)]
+
+    def pair(i: int) -> int | None:
+        return ranks.get(word[i: ends[after[i]]]) if after[i] < n else None
+
+    heap = [(r, i, ends[i + 1]) for i in range(n - 1) if (r := pair(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i]
+        if ends[i] < 0 or j >= n or ends[j] != end:
+            continue       # one of the two has been joined meanwhile
+        ends[i], ends[j], after[i] = end, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := pair(k)) is not None:
+                heapq.heappush(heap, (r, k, ends[after[k]]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i: ends[i]]])
+        i = after[i]
+    return out
+
+
+def _coded(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> DataFrame:
+    """Written rows of two kinds: a text (``kept``, codes: its words as numbers) and a chunk's distinct words (words)."""
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["__chunk bigint", "__codes binary", "__words array<string>"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, pack = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
+        chunk, seen, size = uuid.uuid4().int >> 65, {}, 0
+
+        def words() -> pa.RecordBatch:
+            rows = [pa.nulls(1, f.type) for f in arrow if f.name not in ("__chunk", "__codes", "__words")]
+            return pa.RecordBatch.from_arrays([*rows, pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([[*seen]], pa.list_(pa.string()))], schema=arrow)
+
+        arrow = None
+        for batch in batches:
+            if arrow is None:
+                arrow = pa.schema([batch.schema.field(c) for c in kept] + [("__chunk", pa.int64()), ("__codes", pa.binary()), ("__words", pa.list_(pa.string()))])
+            chunks, codes = [], []
+            for text in batch.column(text_col).to_pylist():
+                found = cut(text or "")
+                numbers = np.array([seen.setdefault(w, len(seen)) for w in found], "<i4")
+                chunks.append(chunk)
+                codes.append(pack(numbers.tobytes()))
+                size += len(text or "")
+                if size >= CHUNK:
+                    yield words()
+                    chunk, seen, size = uuid.uuid4().int >> 65, {}, 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(chunks, pa.int64()), pa.array(codes, pa.binary()),
+                                              pa.nulls(len(codes), pa.list_(pa.string()))], schema=arrow)
+        if seen:
+            yield words()
+
+    columns = list(dict.fromkeys([*kept, text_col]))
+    return materialize(docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(code, schema), "bpe-codes")
+
+
+def _folded(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, ids, back) of each distinct word: its ids between commas, and the bytes that they decode to."""
+    ranks = vocabulary.ranks
+
+    def heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(
+                [",".join(map(str, merge_by_heap(w.encode(), ranks))) for w in words], pa.string())], names=["word", "ids"])
+
+    words = materialize(words.select("word").distinct(), "bpe-words")
+    short = F.octet_length("word") <= FOLD_BYTES
+    ids = words.where(short).select("word", _bind(vocabulary.maps, lambda maps: vocabulary.fold(maps, F.col("word"))).alias("ids"))
+    # an array of one, so that decoding does not fold again
+    ids = ids.select("word", F.explode(F.array("ids")).alias("ids")).unionAll(words.where(~short).mapInArrow(heap, "word string, ids string"))
+    return ids.select("word", "ids", vocabulary.decode(F.col("ids")).alias("back"))
+
+
+def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[str], finish: Callable, schema: str) -> DataFrame:
+    """``finish(ids, decoded)`` of every text, beside ``kept``: (iterators of ids between commas, of decoded bytes)."""
+    coded = _coded(docs, vocabulary.pattern, text_col, kept)
+    pairs = coded.where("__words IS NOT NULL").select(F.col("__chunk").alias("of"), F.posexplode("__words").alias("number", "word"))
+    pairs = pairs.join(_folded(pairs, vocabulary), "word").select("of", "number", "ids", "back")
+
+    def put(texts: pa.Table, words: pa.Table) -> pa.Table:
+        number = words.column("number").to_numpy()
+        ids, back = np.empty(len(number), object), np.empty(len(number), object)
+        ids[number], back[number] = words.column("ids").to_pylist(), words.column("back").to_pylist()
+        ids, back = ids.tolist(), back.tolist()
+        unpack = zstandard.ZstdDecompressor().decompress
+        codes = (np.frombuffer(unpack(c), "<i4").tolist() for c in texts.column("__codes").to_pylist())
+        rows = [finish(",".join([ids[c] for c in row]), b"".join([back[c] for c in row])) for row in codes]
+        made = [pa.array(list(x)) for x in zip(*rows, strict=True)] if rows else []
+        return pa.Table.from_arrays([*[texts.column(c) for c in kept], *made], schema=arrow) if rows else arrow.empty_table()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+    kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    arrow = to_arrow_schema(_parse_datatype_string(f"struct<{kept_schema}, {schema}>"))
+    return coded.where("__words IS NULL").groupBy("__chunk").cogroup(pairs.groupBy("of")).applyInArrow(put, f"{kept_schema}, {schema}")
+
+
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add ``ids_col``: the token ids of each whole text, as a string of decimal ids between commas.
 
     A null or empty text has no ids (an empty string).  Special tokens are ordinary
-    text.  All other columns and rows stay; an empty table gives an empty result.
+    text.  All other columns and rows stay (a column of the name ``ids_col`` is replaced, names
+    beginning with ``__`` are reserved); an empty table gives an empty result.
     """
-    vocabulary.learn_words(docs, text_col, sample_rows)
-    ids = vocabulary.encode(F.coalesce(F.col(text_col), F.lit("")))
-    # an array of one, so that a later use of the ids does not encode again
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != ids_col], F.explode(F.array(ids)).alias(ids_col))
+    kept = [c for c in docs.columns if c != ids_col]
+    return _assembled(docs, vocabulary, text_col, kept, lambda ids, back: (ids,), f"`{ids_col}` string")
 
 
-def token_digests(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text",
-                  sample_rows: int = 30_000) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: the text encoded, and its ids decoded again."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = F.col("ids")
-    n = F.when(ids == "", 0).otherwise(F.length(ids) - F.length(F.translate(ids, ",", "")) + 1)
-    return encode_texts(rows, vocabulary, sample_rows=sample_rows).select(
-        F.col("id").alias(id_col), n.cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(vocabulary.decode(ids), 256).alias("decoded_sha256"))
+    def digests(ids: str, back: bytes) -> tuple[int, str, str]:
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = _assembled(rows, vocabulary, "text", ["id"], digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return found.withColumnRenamed("id", id_col)

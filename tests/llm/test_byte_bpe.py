@@ -6,7 +6,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from parley.llm.byte_bpe import Vocabulary, encode_texts, read_ranks, token_digests
+from parley.llm import byte_bpe
+from parley.llm.byte_bpe import Vocabulary, encode_texts, merge_by_heap, read_ranks, token_digests
 
 RANKS = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -28,12 +29,13 @@ def strange(n):
     return ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("sample_rows", [0, 10_000])
-def test_equals_the_library(spark, library, sample_rows):
+@pytest.mark.parametrize("chunk", [1, 200, 1 << 20])
+def test_equals_the_library(spark, library, monkeypatch, chunk):
+    monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
     rows = [(i, t, "x") for i, t in enumerate(strange(400))]
-    rows += [(-1, None, "x"), (-2, "", "x"), (None, "one two", "x"), (7, rows[7][1], "x"), (-3, "q" * 300, "x"), (-4, "thnt é " * 3000, "x")]
+    rows += [(-1, None, "x"), (-2, "", "x"), (None, "one two", "x"), (7, rows[7][1], "x"), (-3, "q" * 300, "x"), (-4, "thnt é " * 3000, "x"), (-5, "漢字" * 4000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(4)
-    got = [tuple(r) for r in token_digests(df, Vocabulary(RANKS, P.PATTERN), sample_rows=sample_rows).collect()]
+    got = [tuple(r) for r in token_digests(df, Vocabulary(RANKS, P.PATTERN)).collect()]
     assert sorted(got, key=str) == sorted([(i, *expected(library, t)) for i, t, _ in rows], key=str)
 
 
@@ -51,3 +53,25 @@ def test_query(spark, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = [tuple(r) for r in E.queries()["op8_byte_bpe"](spark, sf).collect()]
     assert sorted(got) == sorted((r.doc_id, *expected(library, r.text)) for r in docs)
+
+
+def test_heap_and_fold_agree(spark, library, monkeypatch):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdeäöü中 ") for _ in range(rnd.randint(1, 40))) for _ in range(300)] + ["a" * 64, "ab" * 31]
+    folded = byte_bpe._folded(spark.createDataFrame([(w,) for w in words], "word string"), Vocabulary(RANKS, P.PATTERN)).collect()
+    assert {r.word: r.ids for r in folded} == {w: ",".join(map(str, merge_by_heap(w.encode(), RANKS))) for w in words}
+    assert all(bytes(r.back) == r.word.encode() for r in folded)
+
+
+def test_a_very_long_word(library):
+    import time
+    word = "".join(random.Random(1).choice("abcdefgh") for _ in range(100_000))
+    began = time.monotonic()
+    assert merge_by_heap(word.encode(), RANKS) == library.encode_ordinary(word)
+    assert time.monotonic() - began < 20
+
+
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "old", [1, 2], None), (2, None, "old", None, 2.5)], "number int, text string, ids string, word array<int>, chunk double")
+    got = {r.number: r for r in encode_texts(df, Vocabulary(RANKS, P.PATTERN)).collect()}
+    assert got[1].word == [1, 2] and got[2].chunk == 2.5 and got[2].ids == "" and got[1].ids != "old" and got[1].text == "a b"
