@@ -23,7 +23,6 @@ import base64
 import hashlib
 import heapq
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +30,7 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,9 @@ RANK_MAPS = 1 << 14
 #: Longest word, in bytes, that is folded as an array.
 FOLD_BYTES = 128
 #: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 6 << 20
+CHUNK = 24 << 20
+#: Bits of a word's number in its chunk; the chunk's number stands above them.
+_BITS = 24
 # What Unicode calls white space.
 _BLANKS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _NONE = (1 << 31) - 1
@@ -93,6 +95,7 @@ class Vocabulary:
             text = token.decode("latin-1")
             maps[xxhash.xxh64_intdigest(text.encode(), seed=42) & (RANK_MAPS - 1)][text] = rank
             pieces[rank] = text
+        self.binary_pieces = [p.encode("latin-1") for p in pieces]
         self.maps = _literal(maps, "array<map<string,int>>")
         self.pieces = _literal(pieces, "array<string>")
 
@@ -166,13 +169,24 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _packed(numbers: list[int]) -> bytes:
+    """Numbers below 2^24 as zstd over their byte planes, the lowest first; small ones leave the others empty."""
+    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def _unpacked(data: bytes) -> list[int]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, -1).astype(np.int32)
+    return (planes[0] | planes[1] << 8 | planes[2] << 16).tolist()
+
+
 def _coded(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> DataFrame:
     """Written rows of two kinds: a text (``kept``, codes: its words as numbers) and a chunk's distinct words (words)."""
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["__chunk bigint", "__codes binary", "__words array<string>"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, pack = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
-        chunk, seen, size = uuid.uuid4().int >> 65, {}, 0
+        cut = regex.compile(pattern).findall
+        chunk, seen, size = TaskContext.get().partitionId() << 16, {}, 0     # of one write: partitions number their own
 
         def words() -> pa.RecordBatch:
             rows = [pa.nulls(1, f.type) for f in arrow if f.name not in ("__chunk", "__codes", "__words")]
@@ -185,13 +199,14 @@ def _coded(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> Dat
             chunks, codes = [], []
             for text in batch.column(text_col).to_pylist():
                 found = cut(text or "")
-                numbers = np.array([seen.setdefault(w, len(seen)) for w in found], "<i4")
                 chunks.append(chunk)
-                codes.append(pack(numbers.tobytes()))
+                codes.append(_packed([seen.setdefault(w, len(seen)) for w in found]))
                 size += len(text or "")
+                if len(seen) >= 1 << _BITS:
+                    raise ValueError(f"a text of more than {1 << _BITS} distinct words")
                 if size >= CHUNK:
                     yield words()
-                    chunk, seen, size = uuid.uuid4().int >> 65, {}, 0
+                    chunk, seen, size = chunk + 1, {}, 0
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(chunks, pa.int64()), pa.array(codes, pa.binary()),
                                               pa.nulls(len(codes), pa.list_(pa.string()))], schema=arrow)
         if seen:
@@ -202,7 +217,7 @@ def _coded(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> Dat
 
 
 def _folded(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids, back) of each distinct word: its ids between commas, and the bytes that they decode to."""
+    """(word, ids) of each distinct word: its ids between commas."""
     ranks = vocabulary.ranks
 
     def heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,26 +229,28 @@ def _folded(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     words = materialize(words.select("word").distinct(), "bpe-words")
     short = F.octet_length("word") <= FOLD_BYTES
     ids = words.where(short).select("word", _bind(vocabulary.maps, lambda maps: vocabulary.fold(maps, F.col("word"))).alias("ids"))
-    # an array of one, so that decoding does not fold again
-    ids = ids.select("word", F.explode(F.array("ids")).alias("ids")).unionAll(words.where(~short).mapInArrow(heap, "word string, ids string"))
-    return ids.select("word", "ids", vocabulary.decode(F.col("ids")).alias("back"))
+    return ids.unionAll(words.where(~short).mapInArrow(heap, "word string, ids string"))
 
 
 def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[str], finish: Callable, schema: str) -> DataFrame:
     """``finish(ids, decoded)`` of every text, beside ``kept``: (iterators of ids between commas, of decoded bytes)."""
     coded = _coded(docs, vocabulary.pattern, text_col, kept)
-    pairs = coded.where("__words IS NOT NULL").select(F.col("__chunk").alias("of"), F.posexplode("__words").alias("number", "word"))
-    pairs = pairs.join(_folded(pairs, vocabulary), "word").select("of", "number", "ids", "back")
+    place = F.shiftleft("__chunk", _BITS) + F.col("number")
+    pairs = coded.where("__words IS NOT NULL").select("__chunk", F.posexplode("__words").alias("number", "word"))
+    pairs = pairs.select(place.alias("place"), "word").join(_folded(pairs, vocabulary), "word").select("place", "ids")
+    pairs = pairs.withColumn("of", F.shiftright("place", _BITS))
+    pieces = vocabulary.binary_pieces
 
     def put(texts: pa.Table, words: pa.Table) -> pa.Table:
-        number = words.column("number").to_numpy()
-        ids, back = np.empty(len(number), object), np.empty(len(number), object)
-        ids[number], back[number] = words.column("ids").to_pylist(), words.column("back").to_pylist()
-        ids, back = ids.tolist(), back.tolist()
-        unpack = zstandard.ZstdDecompressor().decompress
-        codes = (np.frombuffer(unpack(c), "<i4").tolist() for c in texts.column("__codes").to_pylist())
-        rows = [finish(",".join([ids[c] for c in row]), b"".join([back[c] for c in row])) for row in codes]
-        made = [pa.array(list(x)) for x in zip(*rows, strict=True)] if rows else []
+        ids, back = [""] * len(words), [b""] * len(words)
+        for place, x in zip(words.column("place").to_pylist(), words.column("ids").to_pylist(), strict=True):
+            number = place & ((1 << _BITS) - 1)
+            ids[number], back[number] = x, b"".join([pieces[int(i)] for i in x.split(",")])
+        rows = []
+        for codes in texts.column("__codes").to_pylist():
+            row = _unpacked(codes)
+            rows.append(finish(",".join([ids[c] for c in row]), b"".join([back[c] for c in row])))
+        made = [pa.array(list(x)) for x in zip(*rows, strict=True)]
         return pa.Table.from_arrays([*[texts.column(c) for c in kept], *made], schema=arrow) if rows else arrow.empty_table()
 
     from pyspark.sql.pandas.types import to_arrow_schema

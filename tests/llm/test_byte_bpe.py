@@ -58,11 +58,18 @@ def test_query(spark, library):
 def test_heap_and_fold_agree(spark, library, monkeypatch):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdeäöü中 ") for _ in range(rnd.randint(1, 40))) for _ in range(300)] + ["a" * 64, "ab" * 31]
-    folded = byte_bpe._folded(spark.createDataFrame([(w,) for w in words], "word string"), Vocabulary(RANKS, P.PATTERN)).collect()
+    vocabulary = Vocabulary(RANKS, P.PATTERN)
+    folded = byte_bpe._folded(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary)
+    folded = folded.withColumn("back", vocabulary.decode(F.col("ids"))).collect()
     assert {r.word: r.ids for r in folded} == {w: ",".join(map(str, merge_by_heap(w.encode(), RANKS))) for w in words}
     assert all(bytes(r.back) == r.word.encode() for r in folded)
 
 
+def test_numbers_pack():
+    numbers = [0, 1, 255, 256, 70_000, (1 << 24) - 1] * 7
+    assert byte_bpe._unpacked(byte_bpe._packed(numbers)) == numbers and byte_bpe._unpacked(byte_bpe._packed([])) == []
+
+
 def test_a_very_long_word(library):
     import time
     word = "".join(random.Random(1).choice("abcdefgh") for _ in range(100_000))
