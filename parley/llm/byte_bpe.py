@@ -8,13 +8,13 @@ hash, as Spark searches a map from its start.  Decoding looks up the piece of ea
 and concatenates the bytes.
 
 Around the fold: a task cuts its texts into words chunk by chunk, and writes each text as
-numbers of the chunk's distinct words.  The chunks' words are made distinct over all
-chunks and folded; the ids are joined back to the (chunk, number) pairs, and a chunk's
-texts are put together from its words' ids.  So what is shuffled by word is a
-chunk's distinct words, not its occurrences.
+numbers of the chunk's distinct words, and those by hash bucket.  Buckets bring the equal
+words of all chunks together; the first of each is folded, the others take its ids.  The
+ids go back to their chunk, whose texts are put together from them.  So what is
+shuffled by word is a chunk's distinct words, not its occurrences.
 
-Words of more than ``FOLD_BYTES`` bytes are merged by a heap instead: a fold copies its
-array at each merge.  Both give the same ids.
+Words of more than ``FOLD_BYTES`` bytes are merged by a heap where they are found: a fold
+copies its array at each merge.  Both give the same ids.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.window import Window
 
 from parley.plans.stages import materialize
 
@@ -41,8 +44,10 @@ RANK_MAPS = 1 << 14
 FOLD_BYTES = 128
 #: Characters of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 24 << 20
-#: Bits of a word's number in its chunk; the chunk's number stands above them.
+#: Distinct words of a chunk are below 2^24.
 _BITS = 24
+#: Hash buckets in which equal words meet.
+BUCKETS = 1 << 12
 # What Unicode calls white space.
 _BLANKS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _NONE = (1 << 31) - 1
@@ -180,35 +185,48 @@ def _unpacked(data: bytes) -> list[int]:
     return (planes[0] | planes[1] << 8 | planes[2] << 16).tolist()
 
 
-def _coded(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> DataFrame:
-    """Written rows of two kinds: a text (``kept``, codes: its words as numbers) and a chunk's distinct words (words)."""
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["__chunk bigint", "__codes binary", "__words array<string>"])
+def _coded(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[str]) -> DataFrame:
+    """Written rows of two kinds: a text (``kept``, codes: its words as numbers), and distinct words of a chunk in one bucket.
+
+    Bucket -1 holds the long words; there, ``__words`` are their ids.
+    """
+    own = "__chunk bigint, __codes binary, __bucket int, __words array<string>, __numbers array<int>"
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), own])
+    pattern, ranks = vocabulary.pattern, vocabulary.ranks
+    added = [("__chunk", pa.int64()), ("__codes", pa.binary()), ("__bucket", pa.int32()), ("__words", pa.list_(pa.string())), ("__numbers", pa.list_(pa.int32()))]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern).findall
-        chunk, seen, size = TaskContext.get().partitionId() << 16, {}, 0     # of one write: partitions number their own
+        chunk, seen, size, arrow = TaskContext.get().partitionId() << 16, {}, 0, None     # of one write: partitions number their own
 
         def words() -> pa.RecordBatch:
-            rows = [pa.nulls(1, f.type) for f in arrow if f.name not in ("__chunk", "__codes", "__words")]
-            return pa.RecordBatch.from_arrays([*rows, pa.array([chunk]), pa.nulls(1, pa.binary()), pa.array([[*seen]], pa.list_(pa.string()))], schema=arrow)
+            buckets: dict[int, list[tuple[str, int]]] = {}
+            for word, number in seen.items():
+                raw = word.encode()
+                if len(raw) > FOLD_BYTES:
+                    buckets.setdefault(-1, []).append((",".join(map(str, merge_by_heap(raw, ranks))), number))
+                else:
+                    buckets.setdefault(xxhash.xxh32_intdigest(raw) % BUCKETS, []).append((word, number))
+            n, rows = len(buckets), [sorted(x) for x in buckets.values()]      # sorted words shuffle as fewer bytes
+            return pa.RecordBatch.from_arrays(
+                [*(pa.nulls(n, arrow.field(c).type) for c in kept), pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([*buckets], pa.int32()),
+                 *(pa.array([[x[k] for x in row] for row in rows], added[3 + k][1]) for k in range(2))], schema=arrow)
 
-        arrow = None
         for batch in batches:
-            if arrow is None:
-                arrow = pa.schema([batch.schema.field(c) for c in kept] + [("__chunk", pa.int64()), ("__codes", pa.binary()), ("__words", pa.list_(pa.string()))])
+            arrow = arrow or pa.schema([batch.schema.field(c) for c in kept] + added)
             chunks, codes = [], []
             for text in batch.column(text_col).to_pylist():
-                found = cut(text or "")
                 chunks.append(chunk)
-                codes.append(_packed([seen.setdefault(w, len(seen)) for w in found]))
+                codes.append(_packed([seen.setdefault(w, len(seen)) for w in cut(text or "")]))
                 size += len(text or "")
                 if len(seen) >= 1 << _BITS:
                     raise ValueError(f"a text of more than {1 << _BITS} distinct words")
                 if size >= CHUNK:
                     yield words()
                     chunk, seen, size = chunk + 1, {}, 0
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(chunks, pa.int64()), pa.array(codes, pa.binary()),
-                                              pa.nulls(len(codes), pa.list_(pa.string()))], schema=arrow)
+            n = len(codes)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(chunks, pa.int64()), pa.array(codes, pa.binary()),
+                                              *(pa.nulls(n, kind) for _, kind in added[2:])], schema=arrow)
         if seen:
             yield words()
 
@@ -216,35 +234,30 @@ def _coded(docs: DataFrame, pattern: str, text_col: str, kept: list[str]) -> Dat
     return materialize(docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(code, schema), "bpe-codes")
 
 
-def _folded(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids) of each distinct word: its ids between commas."""
-    ranks = vocabulary.ranks
-
-    def heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(
-                [",".join(map(str, merge_by_heap(w.encode(), ranks))) for w in words], pa.string())], names=["word", "ids"])
-
-    words = materialize(words.select("word").distinct(), "bpe-words")
-    short = F.octet_length("word") <= FOLD_BYTES
-    ids = words.where(short).select("word", _bind(vocabulary.maps, lambda maps: vocabulary.fold(maps, F.col("word"))).alias("ids"))
-    return ids.unionAll(words.where(~short).mapInArrow(heap, "word string, ids string"))
+def _folded(pairs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``pairs`` (bucket, chunk, word, more) with ``ids`` between commas; of equal words the first is folded."""
+    same = Window.partitionBy("bucket", "word").orderBy("chunk")
+    ids = _bind(vocabulary.maps, lambda maps: vocabulary.fold(maps, F.col("word")))
+    firsts = pairs.withColumn("nth", F.row_number().over(same)).withColumn("folded", F.when(F.col("nth") == 1, ids))
+    # a running frame: nothing is held for a word that stands in very many chunks
+    return firsts.withColumn("ids", F.first("folded", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0))).drop("nth", "folded")
 
 
 def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[str], finish: Callable, schema: str) -> DataFrame:
-    """``finish(ids, decoded)`` of every text, beside ``kept``: (iterators of ids between commas, of decoded bytes)."""
-    coded = _coded(docs, vocabulary.pattern, text_col, kept)
-    place = F.shiftleft("__chunk", _BITS) + F.col("number")
-    pairs = coded.where("__words IS NOT NULL").select("__chunk", F.posexplode("__words").alias("number", "word"))
-    pairs = pairs.select(place.alias("place"), "word").join(_folded(pairs, vocabulary), "word").select("place", "ids")
-    pairs = pairs.withColumn("of", F.shiftright("place", _BITS))
+    """``finish(ids, decoded)`` of every text, beside ``kept``: its ids between commas, and the bytes that they decode to."""
+    coded = _coded(docs, vocabulary, text_col, kept)
+    words = coded.where("__bucket >= 0").select(F.col("__bucket").alias("bucket"), F.col("__chunk").alias("chunk"), "__words", "__numbers").repartition("bucket")
+    pairs = words.select("bucket", "chunk", F.explode(F.arrays_zip(F.col("__words").alias("word"), F.col("__numbers").alias("number"))).alias("w"))
+    pairs = _folded(pairs.select("bucket", "chunk", "w.word", "w.number"), vocabulary)
+    # still by bucket: a chunk's ids of one bucket go back as one row
+    back = pairs.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("number", "ids")).alias("w")).select("chunk", F.col("w.number").alias("numbers"), F.col("w.ids").alias("ids"))
+    long = coded.where("__bucket = -1").select(F.col("__chunk").alias("chunk"), F.col("__numbers").alias("numbers"), F.col("__words").alias("ids"))
     pieces = vocabulary.binary_pieces
 
     def put(texts: pa.Table, words: pa.Table) -> pa.Table:
-        ids, back = [""] * len(words), [b""] * len(words)
-        for place, x in zip(words.column("place").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            number = place & ((1 << _BITS) - 1)
+        numbers, found = (words.column(c).combine_chunks().flatten().to_pylist() for c in ("numbers", "ids"))
+        ids, back = [""] * len(numbers), [b""] * len(numbers)
+        for number, x in zip(numbers, found, strict=True):
             ids[number], back[number] = x, b"".join([pieces[int(i)] for i in x.split(",")])
         rows = []
         for codes in texts.column("__codes").to_pylist():
@@ -253,11 +266,10 @@ def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: lis
         made = [pa.array(list(x)) for x in zip(*rows, strict=True)]
         return pa.Table.from_arrays([*[texts.column(c) for c in kept], *made], schema=arrow) if rows else arrow.empty_table()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     arrow = to_arrow_schema(_parse_datatype_string(f"struct<{kept_schema}, {schema}>"))
-    return coded.where("__words IS NULL").groupBy("__chunk").cogroup(pairs.groupBy("of")).applyInArrow(put, f"{kept_schema}, {schema}")
+    texts = coded.where("__bucket IS NULL").select(*[F.col(f"`{c}`") for c in kept], "__chunk", "__codes")
+    return texts.groupBy("__chunk").cogroup(back.unionAll(long).groupBy("chunk")).applyInArrow(put, f"{kept_schema}, {schema}")
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

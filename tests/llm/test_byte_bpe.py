@@ -59,7 +59,9 @@ def test_heap_and_fold_agree(spark, library, monkeypatch):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdeäöü中 ") for _ in range(rnd.randint(1, 40))) for _ in range(300)] + ["a" * 64, "ab" * 31]
     vocabulary = Vocabulary(RANKS, P.PATTERN)
-    folded = byte_bpe._folded(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary)
+    pairs = spark.createDataFrame([(len(w) % 7, c, w) for w in words for c in range(3)], "bucket int, chunk long, word string")
+    folded = byte_bpe._folded(pairs, vocabulary)
+    assert folded.count() == 3 * len(words)
     folded = folded.withColumn("back", vocabulary.decode(F.col("ids"))).collect()
     assert {r.word: r.ids for r in folded} == {w: ",".join(map(str, merge_by_heap(w.encode(), RANKS))) for w in words}
     assert all(bytes(r.back) == r.word.encode() for r in folded)
