@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from parley.operators import sampling as R
 from parley.operators import validation as V
+from parley.operators.carried_rules import broken_rules, carried_rules, rules_in_force
 from parley.plans.catalog import register
+from parley.sources import codec
+from parley.sources import fixtures as X
 from parley.sources.fixtures import load_table
 
 DRAWS = [("browser", 0, R.BROWSER_WEIGHTS), ("device", 1, R.DEVICE_WEIGHTS),
@@ -86,3 +89,75 @@ def validate_rows(spark, sf_dir):
     e = load_table(spark, sf_dir, "events").withColumn(
         "labels", F.array("event_type", F.when(F.col("value") > 50, "high").otherwise("low")))
     return V.violations(e, RULES, ["event_id"])
+
+
+_CONVERSATION = "'c' || CAST(user_id % 64 AS VARCHAR) || '-' || CAST(day(ts) AS VARCHAR)"
+
+
+@register("message_rule_violations", f"""
+WITH said AS (
+  SELECT {_CONVERSATION} AS conversation, epoch_us(ts) // 1000 AS ts, max(event_id) AS rule_id FROM events GROUP BY 1, 2),
+asked AS (
+  SELECT event_id, {_CONVERSATION} AS conversation, epoch_us(ts) // 1000 AS ts, event_type AS value, json_extract_string(props, '$.k') AS k
+  FROM events WHERE event_id % 3 = 0),
+held AS (SELECT a.event_id, a.value, a.k, s.rule_id FROM asked a ASOF JOIN said s ON a.conversation = s.conversation AND a.ts > s.ts)
+SELECT event_id, 'message' AS place, CAST(NULL AS VARCHAR) AS field, 'one_of' AS kind, CAST(NULL AS VARCHAR) AS message
+FROM held WHERE rule_id % 8 = 1 AND value NOT IN ('click', 'view', 'error')
+UNION ALL
+SELECT event_id, 'message', NULL, 'range', NULL FROM held
+WHERE rule_id % 8 = 5 AND NOT coalesce(TRY_CAST(value AS DOUBLE) BETWEEN 1 AND 10, false)
+UNION ALL
+SELECT event_id, 'output', NULL, 'some_of', NULL FROM held WHERE rule_id % 6 = 0 AND value NOT IN ('purchase', 'view', 'signup')
+UNION ALL
+SELECT event_id, 'form', 'k', 'required', 'K' FROM held WHERE rule_id % 6 = 3 AND coalesce(trim(k), '') = ''
+UNION ALL
+SELECT event_id, 'form', 'k', 'unreadable', 'no pattern' FROM held WHERE rule_id % 18 = 3
+UNION ALL
+SELECT event_id, 'form', 'k', 'regex', 'starts too high' FROM held
+WHERE rule_id % 6 = 3 AND rule_id % 18 <> 3 AND trim(k) <> '' AND NOT regexp_matches(k, '^[0-4]')
+UNION ALL
+SELECT event_id, 'form', 'note', 'required', 'Note' FROM held WHERE rule_id % 12 = 3""")
+def message_rule_violations(spark, sf_dir):
+    """User inputs against the rules that the newest earlier response of their conversation carries."""
+    events = load_table(spark, sf_dir, "events")
+    good, _ = codec.split_valid(codec.decode_response(X.ruled_payloads(events)))
+    message = F.col("response.message")
+    responses = good.select("event_id", "timestamp", message["context"]["conversation_id"].alias("conversation_id"),
+                            carried_rules(message).alias("rules"))
+    # the form's fields are not sent back with a request: they come from the event's props
+    form = F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("fields")
+    asked, _ = codec.split_valid(codec.decode_request(X.request_payloads(events.where("event_id % 3 = 0"))))
+    inputs = asked.select("event_id", "timestamp", F.col("message.context.conversation_id").alias("conversation_id"), F.col("message.message").alias("text"))
+    inputs = inputs.join(events.select("event_id", form), "event_id")
+    held = rules_in_force(responses, inputs, order="event_id")
+    return broken_rules(held, ["event_id"], value=F.col("text"), fields=F.col("fields"), rules=F.col("rules"))
+
+
+@register("decode_parts", """
+SELECT event_id,
+       CASE WHEN event_id % 7 = 0 THEN 'w1' END AS workspace, CASE WHEN event_id % 7 = 0 THEN event_type END AS top_intent,
+       CASE WHEN event_id % 7 = 0 THEN event_type || '@0' END AS log_entity, CASE WHEN event_id % 7 = 0 THEN event_type END AS log_intent,
+       CASE WHEN event_id % 7 = 0 THEN 'node_start>node_' || event_type END AS visited,
+       CASE WHEN event_id % 8 = 1 THEN 'click,view,error' END AS one_of, CASE WHEN event_id % 8 = 5 THEN CAST(10 AS DOUBLE) END AS highest,
+       CASE WHEN event_id % 6 = 0 THEN 'purchase,view,signup' END AS some_of,
+       CASE WHEN event_id % 18 = 3 THEN 'k:([0-4' WHEN event_id % 6 = 3 THEN 'k:^[0-4]' END AS pattern,
+       CASE WHEN event_id % 6 = 3 THEN event_id % 12 = 3 END AS note_required,
+       'node_' || event_type || '=' || event_type || ',0' AS node_output
+FROM events""")
+def decode_parts(spark, sf_dir):
+    """The nested parts of a response: log data, visited nodes, input rules, form fields, node output."""
+    good, _ = codec.split_valid(codec.decode_response(X.ruled_payloads(load_table(spark, sf_dir, "events"))))
+    m = F.col("response.message")
+    log, out, nodes = m["log_data"], m["output"], m["context"]["system"]["_node_output_map"]
+    first = F.get(log["entities"], F.lit(0))
+    field = lambda i: F.get(out["store"], F.lit(i))
+    return good.select(
+        "event_id", log["workspace_id"].alias("workspace"), log["wva_top_intent"]["intent"].alias("top_intent"),
+        F.concat(first["value"], F.lit("@"), F.get(first["location"], F.lit(0))).alias("log_entity"),
+        F.get(log["intents"], F.lit(0))["intent"].alias("log_intent"), F.array_join(m["nodes_visited"], ">").alias("visited"),
+        F.array_join(m["inputvalidation"]["oneOf"], ",").alias("one_of"),
+        F.array_max(m["inputvalidation"]["range"]).cast("double").alias("highest"),
+        F.array_join(out["inputvalidation"]["someOf"], ",").alias("some_of"),
+        F.concat(field(0)["name"], F.lit(":"), F.get(field(0)["validations"], F.lit(0))["regex"]).alias("pattern"),
+        field(1)["required"].alias("note_required"),
+        F.concat(F.get(F.map_keys(nodes), F.lit(0)), F.lit("="), F.array_join(F.get(F.map_values(nodes), F.lit(0)), ",")).alias("node_output"))

@@ -220,6 +220,43 @@ def response_payloads(events: DataFrame) -> DataFrame:
                          response_value().alias("value"))
 
 
+def ruled_payloads(events: DataFrame) -> DataFrame:
+    """Bot-response payloads with the parts that ``response_payloads`` leaves out.
+
+    By ``event_id``: rules on the next input (on the message every 4th + 1, on the output every
+    6th), a form (every 6th + 3; every 18th + 3 with a pattern that is none), log data and
+    visited nodes on every 7th, and the texts of each node.
+    """
+    rec = events.select("event_id", "event_type", "value", *[e.alias(n) for n, e in response_columns().items()])
+    eid, et = F.col("event_id"), F.col("event_type")
+    at = lambda n, k: F.pmod(eid, F.lit(n)) == k
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    kinds = "struct<oneOf: array<string>, someOf: array<string>, range: array<decimal(38,18)>>"
+    rules = lambda one, some, span: F.struct(one.alias("oneOf"), some.alias("someOf"), span.alias("range")).cast(kinds)
+    none = F.lit(None)
+    on_message = F.when(at(8, 1), rules(words("click", "view", "error"), none, none)).when(
+        at(8, 5), rules(none, none, F.array(F.lit(1), F.lit(10))))
+    on_output = F.when(at(6, 0), rules(none, words("purchase", "view", "signup"), none))
+    check = lambda pattern, message: F.struct(F.lit(pattern).alias("regex"), F.lit(message).alias("message"))
+    form = F.when(at(6, 3), F.array(
+        F.struct(F.lit("k").alias("name"), F.lit("K").alias("label"), F.lit(True).alias("required"),
+                 F.array(F.when(at(18, 3), check("([0-4", "no pattern")).otherwise(check("^[0-4]", "starts too high"))).alias("validations")),
+        F.struct(F.lit("note").alias("name"), F.lit("Note").alias("label"), at(12, 3).alias("required"),
+                 F.lit(None).cast("array<struct<regex: string, message: string>>").alias("validations"))))
+    log = F.when(at(7, 0), F.struct(
+        F.array(F.struct(F.lit("k").alias("entity"), words("0").alias("location"), et.alias("value"))).alias("entities"),
+        F.array(F.struct(F.col("value").alias("confidence"), et.alias("intent"))).alias("intents"),
+        F.lit("w1").alias("workspace_id"), F.struct(F.col("value").alias("confidence"), et.alias("intent")).alias("wva_top_intent")))
+    visited = F.when(at(7, 0), F.array(F.lit("node_start"), F.concat(F.lit("node_"), et)))
+    msg = F.col("response.message")
+    system = msg["context"]["system"].withField("_node_output_map", F.create_map(F.concat(F.lit("node_"), et), F.array(et, F.lit("0"))))
+    msg = (msg.withField("inputvalidation", on_message).withField("log_data", log).withField("nodes_visited", visited)
+              .withField("context", msg["context"].withField("system", system))
+              .withField("output", F.struct(on_output.alias("inputvalidation"), form.alias("store"))))
+    response = F.col("response").withField("message", msg).alias("response")
+    return rec.select("event_id", "key", F.to_json(F.struct(response, F.col("timestamp"))).alias("value"))
+
+
 def damaged_payloads(events: DataFrame) -> DataFrame:
     """Bot-response payloads of which some are damaged, by ``event_id % 13``.
 
