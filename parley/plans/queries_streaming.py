@@ -18,10 +18,12 @@ from parley.sources.fixtures import chat_payloads, damaged_payloads, event_messa
 from parley.sources.store import append_messages, compact_messages, expire_messages, load_messages, multi_sink
 from parley.streaming.compaction import read_log
 from parley.streaming.ingest import Sinks, ingest_responses, quarantine_of, text_stream
-from parley.streaming.interactions import ingest_chat_log, visitors_table
+from parley.streaming.interactions import ingest_chat_log
 from parley.streaming.hourly import ingest_totals
 from parley.streaming.metrics import partials_sink
+from parley.streaming.sinks import deliver
 from parley.streaming.state import measures_from_state, refresh
+from parley.streaming.visitors import visitors_from_buckets
 from parley.plans.queries_codec import CONV_SQL
 from parley.sources.fixtures import system_text_payloads, user_message_payloads
 
@@ -116,7 +118,7 @@ def multi_sink_query(spark, sf_dir):
     return out
 
 
-def _run_chat_log(spark, sf_dir):
+def _run_chat_log(spark, sf_dir, buckets: str | None = None):
     """Keyed sources with null keys and damaged records, each in two files, over two micro-batches or more."""
     conv = load_table(spark, sf_dir, "conversations")
     drops = []
@@ -125,7 +127,8 @@ def _run_chat_log(spark, sf_dir):
         chat_payloads(conv, make).select("key", "value").repartition(2).write.json(drops[-1])
     streams = [spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", 1).json(d) for d in drops]
     log, visitors = scratch_path(spark, "interactions"), scratch_path(spark, "visitors")
-    q = ingest_chat_log(*streams, log, visitors, scratch_path(spark, "ckpt"), "acme", trigger={"availableNow": True})
+    q = ingest_chat_log(*streams, log, visitors, scratch_path(spark, "ckpt"), "acme", trigger={"availableNow": True},
+                        buckets_path=buckets)
     q.awaitTermination()
     return log, visitors
 
@@ -152,9 +155,10 @@ SELECT uid AS user_id, 'First' || CAST(conv_id % 37 AS VARCHAR) AS firstName,
 FROM conv WHERE role = 'user' AND (conv_id + turn) % 11 NOT IN (3, 5, 6)
 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ms DESC) = 1""")
 def stream_visitors(spark, sf_dir):
-    """Visitor records upserted from the user-message stream (last write wins)."""
-    _, visitors = _run_chat_log(spark, sf_dir)
-    return visitors_table(spark, visitors).select("user_id", "firstName", "locale",
+    """Visitor records upserted from the user-message stream (last write wins), in buckets by user."""
+    buckets = scratch_path(spark, "visitor-buckets")
+    _run_chat_log(spark, sf_dir, buckets)
+    return visitors_from_buckets(spark, buckets).select("user_id", "firstName", "locale",
                                                    "last_seen_ms")
 
 
@@ -239,3 +243,28 @@ def stream_hourly(spark, sf_dir):
     ingest_totals(stream, out, scratch_path(spark, "ckpt"), trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(out).select("grain", F.col("bucket").cast("timestamp_ntz").alias("bucket"),
                                           "users", "conversations", "messages", "resolved", "escalated")
+
+
+@register("sinks_catch_up", f"""{VALID_SQL}
+SELECT s.sink, valid.conversation_id, valid.timestamp FROM valid, (VALUES ('archive'), ('analytics'), ('late')) s(sink)""")
+def sinks_catch_up(spark, sf_dir):
+    """Three batches to a sink that works, one that fails once, and one that comes after the last batch."""
+    drop, store, ledger = (scratch_path(spark, n) for n in ("drop", "store", "ledger"))
+    damaged_payloads(load_table(spark, sf_dir, "events")).select("value").repartition(3).write.text(drop)
+    places = {name: scratch_path(spark, name) for name in ("archive", "analytics", "late")}
+    calls = []
+
+    def to(name):
+        def write(rows, batch_id):
+            calls.append(name)
+            if name == "analytics" and calls.count(name) == 1:
+                raise ConnectionError("away")
+            rows.select("conversation_id", "timestamp").write.parquet(f"{places[name]}/batch_id={batch_id}")
+        return write
+
+    q = ingest_responses(text_stream(spark, drop, max_files_per_trigger=1), store, scratch_path(spark, "ckpt"), trigger={"availableNow": True},
+                         sinks=Sinks(archive=to("archive"), analytics=to("analytics")), ledger_path=ledger)
+    q.awaitTermination()
+    deliver(spark, store, ledger, "late", to("late"))
+    parts = [spark.read.parquet(p).select(F.lit(name).alias("sink"), "conversation_id", "timestamp") for name, p in places.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

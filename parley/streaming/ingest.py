@@ -23,6 +23,7 @@ from parley.sources.codec import ERROR, decode_response
 from parley.sources.folders import write_slice
 from parley.sources.store import PROVENANCE, append_messages, delivered_ranges, without_redelivered
 from parley.sources.topics import keyed
+from parley.streaming.sinks import deliver_all
 
 DEFAULT_TRIGGER = {"processingTime": "60 seconds"}
 
@@ -67,12 +68,15 @@ class Sinks:
             self._sinks.pop(name, None)
 
     def now(self) -> list[Callable[[DataFrame, int], None]]:
+        return list(self.named().values())
+
+    def named(self) -> dict[str, Callable[[DataFrame, int], None]]:
         with self._lock:
-            return list(self._sinks.values())
+            return dict(self._sinks)
 
 
 def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sinks | None = None,
-                 single_file: bool = False) -> Callable[[DataFrame, int], None]:
+                 single_file: bool = False, ledger_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function: decode once, write good and bad rows, then the sinks.
 
     What is kept between the writes is the flat row, and the raw text of bad rows only.
@@ -80,6 +84,10 @@ def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sin
     a store: those that another batch or run has committed are left out, of both.  The
     quarantine is written before the commit, so a writer that dies between may repeat bad
     rows there, and loses none.
+
+    With a ``ledger_path`` the sinks have progress of their own (``streaming.sinks``): they are fed
+    from the store, one that fails does not fail the batch, and catches up with a later one.
+    A sink that is added then gets the batches before it, too.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -98,8 +106,11 @@ def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sin
             rows = flat.where(~bad).drop(ERROR, "value")
             write_slice(flat.where(bad).select("value", ERROR), quarantine_path or quarantine_of(store_path), batch_id)
             append_messages(rows, store_path, batch_id, single_file=single_file, delivered=delivered)
-            for sink in sinks.now() if sinks else []:
-                sink(rows, batch_id)
+            if sinks and ledger_path:
+                deliver_all(batch.sparkSession, store_path, ledger_path, sinks.named())
+            else:
+                for sink in sinks.now() if sinks else []:
+                    sink(rows, batch_id)
         finally:
             flat.unpersist()
 
@@ -109,14 +120,14 @@ def batch_writer(store_path: str, quarantine_path: str | None = None, sinks: Sin
 def ingest_responses(stream: DataFrame, store_path: str, checkpoint_path: str,
                      quarantine_path: str | None = None,
                      trigger: dict | None = None, sinks: Sinks | None = None,
-                     single_file: bool = False) -> StreamingQuery:
+                     single_file: bool = False, ledger_path: str | None = None) -> StreamingQuery:
     """Start the ingest query; the default trigger is one micro-batch per 60 seconds.
 
     Every keyed record ends up in the store or in the quarantine
     (``quarantine_of(store_path)`` unless another is named).
     """
     return (stream.writeStream
-            .foreachBatch(batch_writer(store_path, quarantine_path, sinks, single_file))
+            .foreachBatch(batch_writer(store_path, quarantine_path, sinks, single_file, ledger_path))
             .option("checkpointLocation", checkpoint_path)
             .trigger(**(trigger or DEFAULT_TRIGGER))
             .start())

@@ -105,7 +105,7 @@ def _read(spark: SparkSession, state_path: str, paths: list[str]) -> DataFrame:
     return spark.read.schema(_PARTIALS).parquet(*[f"{state_path}/{p}" for p in paths])
 
 
-def _new_slices(spark: SparkSession, log_path: str, known: Manifest) -> tuple[list[tuple[str, int]], list[str], bool]:
+def new_slices(spark: SparkSession, log_path: str, known: Manifest) -> tuple[list[tuple[str, int]], list[str], bool]:
     """(batches, their folders, whether the log no longer holds some of them by themselves)."""
     batches, paths = [], []
     for run in folders.runs(spark, log_path):
@@ -132,7 +132,7 @@ def refresh(spark: SparkSession, log_path: str, state_path: str, newest: int | N
     """
     for _ in range(tries):
         known = manifest(spark, state_path)
-        batches, paths, lost = _new_slices(spark, log_path, known)
+        batches, paths, lost = new_slices(spark, log_path, known)
         if lost:
             known = Manifest(version=known.version)
             log = read_log(spark, log_path)
