@@ -3,17 +3,18 @@
 A document is the set of its word shingles.  The shingles' hashes fall into
 ``BUCKETS`` buckets; of the smallest hash in a bucket a 16-bit register keeps the
 count of leading zeros (6 bits) and the 10 bits that follow (its mantissa).
-Equal sets form one class, and only class representatives go on.  Bands of four
-registers name candidate groups; in a group every class is compared with the
-group's smallest, and only classes that this does not link are compared with
+Equal sets form one class, and only class representatives go on.  Bands of as many
+registers as the threshold allows name candidate groups; in a group every class is compared with the
+group's head, and only classes that this does not link are compared with
 others, so a large group of near copies costs one comparison each.  Pairs whose
 collision-corrected register estimate is far below the threshold are dropped;
 the rest are verified on the full sets.
 
-In the groups of more than ``MANY`` classes, shingles that no other such class has
-are counted first.  A class with few of them heads its group, and as it can share
-no more than its other shingles, most comparisons of edited copies are settled by
-that count alone.
+In the groups of more than ``MANY`` classes, shingles that at most ``RARE`` such classes
+have are counted first.  A class with few of them heads its group.  Two classes that have no rare
+shingle in common share no more than their other shingles, which settles most comparisons
+of edited copies; classes with a rare shingle in common are found by that shingle, in whichever band
+they stand.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.arrays import BLANK_SPLIT, LOWER, doc_bytes, mix, owner, slices, span_hashes, word_spans
@@ -32,13 +33,22 @@ from parley.llm.quality import grams
 from parley.llm.suffix_index import compressed
 from parley.plans.stages import materialize
 
-BUCKETS, ROWS = 128, 4
-BANDS = BUCKETS // ROWS
+BUCKETS = 128
 MANTISSA = 10
+#: Share of the pairs at the threshold that may stand together in no band.
+MISSED = 1e-6
 #: How far below the threshold an estimate may lie, in standard deviations.
 SIGMAS = 5.0
-#: Classes in a band above which their unshared shingles are counted.
+#: Classes in a band above which their rare shingles are counted.
 MANY = 32
+#: Classes that may hold a rare shingle.
+RARE = 4
+
+
+def band_rows(least: float) -> int:
+    """Registers of a band: the most with which pairs at ``least`` miss all bands with a chance of ``MISSED`` or less."""
+    fits = [r for r in range(1, 17) if (1 - least ** r) ** (BUCKETS // r) <= MISSED]
+    return max(fits, default=1)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,19 +147,21 @@ def sketches(docs: DataFrame, k: int, *, id_col: str, text_col: str) -> DataFram
     return materialize(made, "sketches")
 
 
-def band_members(classes: DataFrame) -> DataFrame:
-    """Written table (band, id, n) of the bands that n > 1 classes share.
+def band_members(classes: DataFrame, width: int) -> DataFrame:
+    """Written table (band, id, n) of the bands of ``width`` registers that n > 1 classes share.
 
-    A band of four empty registers says nothing and is left out.
+    A band of empty registers says nothing and is left out.
     """
     kind = classes.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
-            value = np.ascontiguousarray(rows).view(np.uint64)[..., 0]
-            key = mix(value + mix(np.arange(BANDS, dtype=np.uint64)))
-            doc, band = np.nonzero(value)
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            rows = rows[:, : BUCKETS // width * width].reshape(len(rows), -1, width).astype(np.uint64)
+            key = np.broadcast_to(mix(np.arange(rows.shape[1], dtype=np.uint64)), rows.shape[:2])
+            for i in range(width):
+                key = mix(key + rows[..., i])
+            doc, band = np.nonzero(rows.any(axis=2))
             yield pa.RecordBatch.from_arrays([pa.array(key[doc, band].view(np.int64)), batch.column(0).take(pa.array(doc))], ["band", "id"])
 
     bands = classes.select("id", "registers").mapInArrow(run, f"band long, id {kind}")
@@ -157,8 +169,11 @@ def band_members(classes: DataFrame) -> DataFrame:
     return materialize(bands.join(shared, "band"), "band-members")
 
 
-def unshared_counts(texts: DataFrame, k: int) -> DataFrame:
-    """(id, alone): how many shingles of each text stand in no other of ``texts``."""
+def rare_shingles(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (id, own) and (a, b, common): rare shingles of each text, and those that two texts have in common.
+
+    Rare is what ``RARE`` texts or fewer hold, so a shingle brings together a few texts at most.
+    """
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +183,14 @@ def unshared_counts(texts: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner(at))), pa.array(hashes.view(np.int64))], ["id", "shingle"])
 
     rows = texts.mapInArrow(run, f"id {kind}, shingle long")
-    once = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
-    return materialize(once.groupBy("id").agg(F.count("*").alias("alone")), "unshared")
+    held = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("n")).where(F.col("n") <= RARE)
+    held = materialize(held, "rare-shingles")
+    few = rows.join(held.where("n > 1").select("shingle"), "shingle")
+    few = materialize(few.groupBy("shingle").agg(F.sort_array(F.collect_list("id")).alias("ids")), "shared-rare")
+    own = held.where("n = 1").select("id").unionAll(few.select(F.explode("ids"))).groupBy("id").agg(F.count("*").alias("own"))
+    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, RARE), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    common = few.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("common"))
+    return materialize(own, "rare-counts"), materialize(common, "rare-pairs")
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -239,38 +260,47 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     with nothing, has no component and is kept.  An empty table gives an empty
     result; other columns are ignored.
 
-    With b = 32 bands of r = 4 registers a pair at the threshold s shares a band
-    with probability 1 - (1 - s^r)^b: all but 5e-8 of the pairs at 0.8.
+    With b bands of r registers a pair at the threshold s shares a band with probability
+    1 - (1 - s^r)^b; r is chosen from s (``band_rows``): 32 bands of 4 at 0.8, which all but 5e-8
+    of its pairs share, 25 bands of 5 at 0.85 (all but 4e-7).
     """
     least = percent / 100
     rows = sketches(docs, k, id_col=id_col, text_col=text_col)
     classes = rows.where("n_shingles > 0 AND id IS NOT NULL").groupBy("signature", "n_shingles").agg(
         F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
     classes = materialize(classes, "classes")
-    members = band_members(classes)
+    members = band_members(classes, band_rows(least))
     texts = compressed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     texts = materialize(texts.join(members.select("id").distinct(), "id", "left_semi"), "member-texts")
     in_many = members.where(F.col("n") > MANY).select("id").distinct()
-    alone = unshared_counts(texts.join(in_many, "id", "left_semi"), k)
-    known = classes.select("id", "n_shingles", "bits0", "bits1").join(alone, "id", "left")
-    told = materialize(members.join(known.select("*", F.when(F.col("alone").isNull(), 0).otherwise(F.col("alone")).alias("own")), "id")
-                       .drop("alone"), "told-members")
-    heads = told.groupBy("band").agg(F.min(F.struct("own", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
-    told = materialize(told.join(materialize(heads, "band-heads"), "band"), "headed-members")
-
-    def may_link(x: str, y: str):
-        """What sizes, unshared shingles (in a large band) and sketch bits of two members allow."""
+    own, common = rare_shingles(texts.join(in_many, "id", "left_semi"), k)
+    known = classes.select("id", "n_shingles", "bits0", "bits1").join(own, "id", "left").fillna(0, ["own"])
+    known = materialize(known.join(members.select("id").distinct(), "id", "left_semi"), "known-members")
+    told = materialize(members.join(known, "id"), "told-members")
+    place = F.struct("own", "id", "n_shingles", "bits0", "bits1")
+    heads = materialize(told.groupBy("band").agg(F.min(place).alias("top")), "band-heads")
+    told = materialize(told.join(heads, "band").withColumn("head", F.col("top.id")), "headed-members")
+
+    def may_link(x: str, y: str, shared: Column = F.lit(0)):
+        """What sizes, sketch bits and rare shingles of two members allow, of which ``shared`` are common."""
         nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
         differ = F.bit_count(F.col(f"{x}.bits0").bitwiseXOR(F.col(f"{y}.bits0"))) + F.bit_count(F.col(f"{x}.bits1").bitwiseXOR(F.col(f"{y}.bits1")))
         half = BUCKETS * (1 - least) / 2
-        common = F.least(nx - F.col(f"{x}.own"), ny - F.col(f"{y}.own"))
-        return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= half + (SIGMAS + 1) * half ** 0.5)
-                & ((F.col(f"{x}.n") <= MANY) | ((100 + percent) * common >= percent * (nx + ny))))
+        most = F.least(nx - F.col(f"{x}.own"), ny - F.col(f"{y}.own")) + shared
+        return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= half + (SIGMAS + 1) * half ** 0.5),
+                (100 + percent) * most >= percent * (nx + ny))
+
+    def in_band(x: str, y: str):
+        alike, enough = may_link(x, y)
+        return alike & ((F.col("x.n") <= MANY) | enough)
 
     pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    tops = told.where("id = head")
-    first = told.alias("x").join(tops.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") != F.col("y.id")) & may_link("x", "y"))
-    links = verify(plausible_pairs(first.select(*pair), classes, least), texts, k, percent)
+    # a member stands beside its head already, so this is no join
+    first = told.alias("x").where((F.col("x.id") != F.col("x.head")) & in_band("x", "x.top"))
+    first = first.select(F.least("x.id", "x.head").alias("a"), F.greatest("x.id", "x.head").alias("b"))
+    rare = common.join(known.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b")
+    alike, enough = may_link("x", "y", F.col("common"))
+    links = verify(plausible_pairs(first.unionAll(rare.where(alike & enough).select("a", "b")), classes, least), texts, k, percent)
 
     # What its head does not link is compared with the members of other components in its band.
     part = materialize(components(links), "first-components")
@@ -278,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     placed = materialize(placed.join(part.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left")
                          .withColumn("apart", F.col("part") != F.coalesce("hc", "head")).drop("hc"), "placed-members")
     rest = placed.where("apart").alias("x").join(placed.where("id <> head").alias("y"), (F.col("x.band") == F.col("y.band")) & (
-        F.col("x.part") != F.col("y.part")) & (~F.col("y.apart") | (F.col("x.id") < F.col("y.id"))) & may_link("x", "y"))
+        F.col("x.part") != F.col("y.part")) & (~F.col("y.apart") | (F.col("x.id") < F.col("y.id"))) & in_band("x", "y"))
     links = links.unionAll(verify(plausible_pairs(rest.select(*pair), classes, least), texts, k, percent))
 
     part = materialize(components(links), "components")
