@@ -53,3 +53,11 @@ def test_different_texts_of_one_id_stay(spark):
     assert words == [(-1, third), (3, other), (3, CLEAN)]
     assert sorted(x for x in texts(out) if x not in words)[:2] == [(-1, ""), (-1, "")]
     assert [x for x in texts(out) if x[0] == 7] == [(7, "")] and texts(out).count((3, "")) == 1
+
+
+def test_pii_stage_takes_a_column_of_its_own_name(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "call (555) 123-4567", 19, "x"), (2, None, 0, "y")], "doc_id long, text string, n_chars int, __found string")
+    out = corpus_pipeline.pii(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["n_chars"], r["__found"]) for r in out.collect()) == [(1, 19, "x"), (2, 0, "y")]
