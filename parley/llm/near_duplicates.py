@@ -12,9 +12,14 @@ the rest are verified on the full sets.
 
 In the groups of more than ``MANY`` classes, shingles that at most ``RARE`` such classes
 have are counted first.  A class with few of them heads its group.  Two classes that have no rare
-shingle in common share no more than their other shingles, which settles most comparisons
-of edited copies; classes with a rare shingle in common are found by that shingle, in whichever band
-they stand.
+shingle in common share no more than their other shingles; classes with a rare shingle in common are
+found by that shingle, in whichever band they stand.
+
+There, too, each class x keeps its difference from the head h: the number of shingles that only one of
+the two has, and a bitmap of their hashes.  As |x ^ y| = |x ^ h| + |y ^ h| - 2 |(x ^ h) & (y ^ h)|, two
+classes must have much of their differences in common to be linked, and a bit that only one bitmap has
+stands for a shingle that is not in common.  The bound is exact, so it drops no link; it settles the
+comparisons of copies edited in different places inside the join.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ SIGMAS = 5.0
 MANY = 32
 #: Classes that may hold a rare shingle.
 RARE = 4
+#: Words of 64 bits in the bitmap of a difference.
+WORDS = 8
 
 
 def band_rows(least: float) -> int:
@@ -250,6 +257,45 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return materialize(joined.mapInArrow(run, f"a {kind}, b {kind}"), "verified")
 
 
+def differences(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Written table (id, head, linked, apart, d0 ...) of the pairs (id, head), compared on their full sets.
+
+    ``apart`` is the number of shingles that only one of the two has, ``d0`` ... the
+    bitmap of their hashes.  A task keeps the set of the last head, as many rows share it.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    bits = [f"d{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, left = None, None
+        for batch in batches:
+            done, linked, apart, maps = 0, [], [], []
+            for part in unpacked(batch):
+                hashes, at = shingle_sets(part.column("text"), k)
+                for i in range(part.num_rows):
+                    frame = batch.column("headed")[done + i].as_py()
+                    if frame != held:
+                        held, left = frame, shingle_sets(pa.array([unpack(frame)], pa.binary()), k)[0]
+                    right = hashes[at[i]: at[i + 1]]
+                    only = np.setxor1d(left, right, assume_unique=True)
+                    bitmap = np.zeros(64 * WORDS, bool)
+                    bitmap[(mix(only) % np.uint64(64 * WORDS)).astype(np.int64)] = True
+                    linked.append((100 + percent) * len(only) <= (100 - percent) * (len(left) + len(right)))
+                    apart.append(len(only))
+                    maps.append(np.packbits(bitmap).view(np.int64))
+                done += part.num_rows
+            if done:
+                maps = np.stack(maps)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("head"), pa.array(linked), pa.array(apart, pa.int64()),
+                                                  *(pa.array(maps[:, i]) for i in range(WORDS))], ["id", "head", "linked", "apart", *bits])
+
+    heads = texts.select(F.col("id").alias("head"), F.col("frame").alias("headed"))
+    joined = pairs.join(texts, "id").join(heads, "head").select("id", "head", "frame", "headed")
+    made = joined.mapInArrow(run, f"id {kind}, head {kind}, linked boolean, apart long, " + ", ".join(f"{b} long" for b in bits))
+    return materialize(made, "differences")
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -290,20 +336,34 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
         return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= half + (SIGMAS + 1) * half ** 0.5),
                 (100 + percent) * most >= percent * (nx + ny))
 
+    def near_enough(x: str, y: str):
+        """What the differences of two members from their head allow."""
+        alone = lambda p, q: sum((F.bit_count(F.col(f"{p}.d{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}.d{i}")))) for i in range(1, WORDS)),
+                                 F.bit_count(F.col(f"{p}.d0").bitwiseAND(F.bitwise_not(F.col(f"{q}.d0")))))
+        dx, dy = F.col(f"{x}.differ"), F.col(f"{y}.differ")
+        # at least so many shingles of one difference are not in the other
+        least_apart = F.greatest(dx - dy + 2 * alone(y, x), dy - dx + 2 * alone(x, y))
+        return (100 + percent) * least_apart <= (100 - percent) * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles"))
+
     def in_band(x: str, y: str):
         alike, enough = may_link(x, y)
-        return alike & ((F.col("x.n") <= MANY) | enough)
+        return alike & ((F.col("x.n") <= MANY) | (enough & near_enough(x, y)))
 
     pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     # a member stands beside its head already, so this is no join
-    first = told.alias("x").where((F.col("x.id") != F.col("x.head")) & in_band("x", "x.top"))
+    beside = told.where(F.col("id") != F.col("head"))
+    first = beside.alias("x").where((F.col("x.n") <= MANY) & may_link("x", "x.top")[0])
     first = first.select(F.least("x.id", "x.head").alias("a"), F.greatest("x.id", "x.head").alias("b"))
     rare = common.join(known.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b")
     alike, enough = may_link("x", "y", F.col("common"))
     links = verify(plausible_pairs(first.unionAll(rare.where(alike & enough).select("a", "b")), classes, least), texts, k, percent)
+    differ = differences(beside.where(F.col("n") > MANY).select("id", "head").distinct(), texts, k, percent)
+    links = links.unionAll(differ.where("linked").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
 
     # What its head does not link is compared with the members of other components in its band.
     part = materialize(components(links), "first-components")
+    shown = differ.drop("linked").withColumnRenamed("apart", "differ").dropDuplicates(["id", "head"])
+    told = told.join(shown, ["id", "head"], "left").fillna(0, ["differ", *[f"d{i}" for i in range(WORDS)]])
     placed = told.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     placed = materialize(placed.join(part.select(F.col("node").alias("head"), F.col("component").alias("hc")), "head", "left")
                          .withColumn("apart", F.col("part") != F.coalesce("hc", "head")).drop("hc"), "placed-members")

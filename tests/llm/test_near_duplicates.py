@@ -113,3 +113,22 @@ def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in E.queries()["op9_near_duplicates"](spark, sf).collect()]
     assert sorted(got) == sorted(brute(docs, 3, 85))
+
+
+def test_copies_off_their_head_still_meet(spark):
+    """Families inside one large group: their heads are off the group's head, their members near each other."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(160)]
+    docs = []
+    for family in range(12):
+        root = list(base)
+        for at in rnd.sample(range(160), 7):
+            root[at] = f"f{family}_{at}"
+        for i in range(20):
+            copy = list(root)
+            copy[rnd.randrange(160)] = f"x{family}_{i}"
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(len(docs) + i, " ".join(base[:i] + base[i + rnd.randint(3, 9):])) for i in range(0, 150, 3)]
+    rnd.shuffle(docs)
+    check(spark, docs, 3, 85)
+    check(spark, docs, 5, 80)
