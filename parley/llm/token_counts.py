@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces whose count a worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Distinct pieces, and characters in them, whose count a worker remembers before it starts afresh.
+MEMORY, MEMORY_CHARS = 400_000, 8 << 20
+#: Longer pieces are counted each time they stand: texts without blanks are one piece.
+LONGEST = 64
 _DOUBTFUL = re.compile(r"\A | \s|\s | \Z")
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
 
@@ -70,16 +72,21 @@ def count_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 
 
 class _Memory(dict):
-    """Count of a string, worked out when it is first asked for."""
+    """Count of a string, worked out when it is first asked for; what is held is bounded in entries and characters."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.chars = 0
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
-            self.clear()
-        self[key] = n = self.make(key)
+        n = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= MEMORY or self.chars + len(key) > MEMORY_CHARS:
+                self.clear()
+                self.chars = 0
+            self[key] = n
+            self.chars += len(key)
         return n
 
 

@@ -4,6 +4,7 @@ import random
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from parley.llm import token_counts as token_counts_module
 from parley.llm.token_counts import TokenCounter, read_merges, token_counts
 
 PATH = P.path("byte_bpe_50k.json")
@@ -43,3 +44,14 @@ def test_query(spark):
     assert len(got) == len(docs)
     for d, n in zip(docs, expected([d.text for d in docs]), strict=True):
         assert tuple(got[d.doc_id]) == (d.doc_id, len((d.text or "").encode()), n, n > 1024)
+
+
+def test_what_a_worker_remembers_is_bounded():
+    counter = TokenCounter(*read_merges(PATH))
+    texts = [chr(0x4E00 + i) * 5000 for i in range(40)]      # no blanks: each a single piece
+    assert [counter.count(t) for t in texts] == expected(texts)
+    assert not counter.plain and not counter.spaced
+    memory = token_counts_module._Memory(len)
+    for i in range(300_000):
+        memory[f"{i:060d}"]
+    assert 60 * len(memory) == memory.chars <= token_counts_module.MEMORY_CHARS
