@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, then a calibrated linear model over hashed n-grams.
 
 The model is a logistic regression on the shares of hashed word 1- and 2-grams
-and byte 3- and 5-grams of a text, fitted on labelled rows, with probabilities
+and character (code point) 3- and 5-grams of a text, fitted on labelled rows, with probabilities
 calibrated (Platt) on rows the fit has not seen.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from parley.llm.arrays import BLANK_SPLIT, doc_bytes, gram_hashes, mix, owner, per_document, slices, span_hasher, word_spans
 from parley.llm.learning import adam, labelled_sample, sigmoid
 
-WORD_GRAMS, BYTE_GRAMS = (1, 2), (3, 5)
+WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 5)
 REPEAT_WORDS = 5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -55,25 +55,35 @@ def grams(values: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return whole[keep], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def byte_grams(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same over bytes, with a cheaper hash (n up to 8 bytes fit one number)."""
-    total = max(0, len(t.data) - n + 1)
+def code_points(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each code point: its bytes in a row, offsets of the documents' code points)."""
+    starts = np.flatnonzero((t.data & 0xC0) != 0x80)
+    points = t.data[starts].astype(np.uint64)
+    ends = np.append(starts[1:], len(t.data))
+    for back in range(1, 4):
+        more = np.flatnonzero(ends - starts > back)
+        points[more] = (points[more] << np.uint64(8)) | t.data[starts[more] + back]
+    return points, np.searchsorted(starts, t.offsets)
+
+
+def char_grams(points: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` over code points, with a cheaper hash."""
+    total = max(0, len(points) - n + 1)
     whole = np.zeros(total, np.uint64)
     for i in range(n):
-        whole <<= np.uint64(8)
-        whole |= t.data[i: total + i]
+        whole = whole * np.uint64(0xD6E8FEB86659FD93) + points[i: total + i]
     keep = np.ones(total, bool)
     for back in range(1, n):
-        at = t.offsets[1:-1] - back
+        at = offsets[1:-1] - back
         keep[at[(at >= 0) & (at < total)]] = False
-    whole = whole[keep] * np.uint64(0x9E3779B97F4A7C15)
-    return whole, np.concatenate([[0], np.cumsum(np.maximum(np.diff(t.offsets) - n + 1, 0))])
+    return mix(whole[keep]), np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - n + 1, 0))])
 
 
 def families(t: Texts, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, offsets) of each n-gram family; families have buckets of their own."""
     made = [(t.words, t.first) if n == 1 else grams(t.words, t.first, n) for n in WORD_GRAMS]
-    made += [byte_grams(t, n) for n in BYTE_GRAMS]
+    points, at = code_points(t)
+    made += [char_grams(points, at, n) for n in CHAR_GRAMS]
     for k, (hashes, offsets) in enumerate(made):
         yield (hashes >> np.uint64(64 - bits)).astype(np.int64) + (k << bits), offsets
 
@@ -153,7 +163,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 2000
     rows = rows.select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)).cast("int").alias("fold"))
     got = rows.mapInArrow(shares, "keys binary, values binary, label int, fold int").toArrow()
     label, fold = (got.column(c).to_numpy().astype(int) for c in ("label", "fold"))
-    size = len(WORD_GRAMS + BYTE_GRAMS) << bits
+    size = len(WORD_GRAMS + CHAR_GRAMS) << bits
     if len(set(label[fold != 0])) < 2:
         return QualityModel(np.zeros(size), 0.0, 0.0, 40.0, bits)
     keys = [np.frombuffer(x, np.int32) for x in got.column("keys").to_pylist()]

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from parley.llm import quality
 from parley.llm.quality import QualityModel, base_counts, quality_rules, read_texts
 
 
@@ -53,3 +54,16 @@ def test_query(spark):
     judged = [(got[i].kept, y) for i, y in labels if not got[i].base_failed]
     assert sum(k == bool(y) for k, y in judged) / len(judged) > 0.98
     assert sum(k for k, y in judged if y == 1) / sum(y for _, y in judged) > 0.99
+
+
+def test_character_grams_are_code_points():
+    texts = ["añb中😀c", "", "中文", "añb", "xyz中😀c"]
+    t = quality.read_texts(pa.array(texts))
+    points, at = quality.code_points(t)
+    assert np.diff(at).tolist() == [len(x) for x in texts]
+    for n in (3, 5):
+        hashes, first = quality.char_grams(points, at, n)
+        want = [x[i: i + n] for x in texts for i in range(len(x) - n + 1)]
+        assert np.diff(first).tolist() == [max(0, len(x) - n + 1) for x in texts] and len(hashes) == len(want)
+        for i, x in enumerate(want):
+            assert [h == hashes[i] for h in hashes] == [y == x for y in want]
