@@ -7,11 +7,12 @@ until none has one.  Ranks come from a literal map, split into an array of small
 hash, as Spark searches a map from its start.  Decoding looks up the piece of each id
 and concatenates the bytes.
 
-Around the fold: a task cuts its texts into words chunk by chunk, and writes each text as
+Around the fold: a task cuts its texts into words chunk by chunk, and writes the texts as
 numbers of the chunk's distinct words, and those by hash bucket.  Buckets bring the equal
 words of all chunks together; the first of each is folded, the others take its ids.  The
 ids go back to their chunk, whose texts are put together from them.  So what is
-shuffled by word is a chunk's distinct words, not its occurrences.
+shuffled is a chunk's distinct words and their ids, not its occurrences: the texts are
+written in buckets by chunk and stay there.
 
 Words of more than ``FOLD_BYTES`` bytes are merged by a heap where they are found: a fold
 copies its array at each merge.  Both give the same ids.
@@ -23,10 +24,12 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -37,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from parley.plans.stages import materialize
+from parley.session import scratch_path
 
 RANK_MAPS = 1 << 14
 #: Longest word, in bytes, that is folded as an array.
@@ -47,7 +50,7 @@ CHUNK = 24 << 20
 #: Distinct words of a chunk are below 2^24.
 _BITS = 24
 #: Hash buckets in which equal words meet.
-BUCKETS = 1 << 12
+BUCKETS = 1 << 10
 # What Unicode calls white space.
 _BLANKS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _NONE = (1 << 31) - 1
@@ -185,53 +188,83 @@ def _unpacked(data: bytes) -> list[int]:
     return (planes[0] | planes[1] << 8 | planes[2] << 16).tolist()
 
 
+def _by_chunk(coded: DataFrame) -> DataFrame:
+    """``coded``, written in buckets by ``__chunk``: what is read back meets its chunk's ids without a shuffle.
+
+    Only the files are shared; the table's name is given up once it is read.
+    """
+    spark = coded.sparkSession
+    name = f"bpe_codes_{uuid.uuid4().hex}"
+    writer = coded.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "bpe-codes"))
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "__chunk").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
 def _coded(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[str]) -> DataFrame:
-    """Written rows of two kinds: a text (``kept``, codes: its words as numbers), and distinct words of a chunk in one bucket.
+    """Written rows of two kinds: a text (``kept``, its place in the chunk and count of words), and a chunk's distinct words of one bucket.
 
-    Bucket -1 holds the long words; there, ``__words`` are their ids.
+    The words of neighbouring texts stand as numbers in the ``__codes`` of the first of
+    them; the most frequent word of a chunk is 0.  ``__words`` is a JSON array of sorted words,
+    ``__numbers`` theirs.  Bucket -1 holds the long words; there, ``__words`` are their ids.
     """
-    own = "__chunk bigint, __codes binary, __bucket int, __words array<string>, __numbers array<int>"
+    own = "__chunk bigint, __at int, __n int, __codes binary, __bucket int, __words string, __numbers binary"
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), own])
     pattern, ranks = vocabulary.pattern, vocabulary.ranks
-    added = [("__chunk", pa.int64()), ("__codes", pa.binary()), ("__bucket", pa.int32()), ("__words", pa.list_(pa.string())), ("__numbers", pa.list_(pa.int32()))]
+    added = [("__chunk", pa.int64()), ("__at", pa.int32()), ("__n", pa.int32()), ("__codes", pa.binary()),
+             ("__bucket", pa.int32()), ("__words", pa.string()), ("__numbers", pa.binary())]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern).findall
         chunk, seen, size, arrow = TaskContext.get().partitionId() << 16, {}, 0, None     # of one write: partitions number their own
-
-        def words() -> pa.RecordBatch:
+        parts: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            used = np.zeros(len(seen), np.int64)
+            for _, codes in parts:
+                used += np.bincount(np.concatenate(codes), minlength=len(seen))
+            rank = np.empty(len(seen), np.int32)
+            rank[np.argsort(-used, kind="stable")] = np.arange(len(seen))
+            at = 0
+            for rows, codes in parts:
+                n = len(codes)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array([chunk] * n, pa.int64()), pa.array(np.arange(at, at + n), pa.int32()), pa.array([len(c) for c in codes], pa.int32()),
+                     pa.array([_packed(rank[np.concatenate(codes)])] + [None] * (n - 1), pa.binary()), *(pa.nulls(n, kind) for _, kind in added[4:])], schema=arrow)
+                at += n
             buckets: dict[int, list[tuple[str, int]]] = {}
-            for word, number in seen.items():
+            for word, number in zip(seen, rank.tolist(), strict=True):
                 raw = word.encode()
                 if len(raw) > FOLD_BYTES:
                     buckets.setdefault(-1, []).append((",".join(map(str, merge_by_heap(raw, ranks))), number))
                 else:
                     buckets.setdefault(xxhash.xxh32_intdigest(raw) % BUCKETS, []).append((word, number))
             n, rows = len(buckets), [sorted(x) for x in buckets.values()]      # sorted words shuffle as fewer bytes
-            return pa.RecordBatch.from_arrays(
-                [*(pa.nulls(n, arrow.field(c).type) for c in kept), pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([*buckets], pa.int32()),
-                 *(pa.array([[x[k] for x in row] for row in rows], added[3 + k][1]) for k in range(2))], schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(n, arrow.field(c).type) for c in kept), pa.array([chunk] * n, pa.int64()), *(pa.nulls(n, kind) for _, kind in added[1:4]),
+                 pa.array([*buckets], pa.int32()), pa.array([json.dumps([w for w, _ in x], ensure_ascii=False, separators=(",", ":")) for x in rows], pa.string()),
+                 pa.array([_packed([k for _, k in x]) for x in rows], pa.binary())], schema=arrow)
 
         for batch in batches:
             arrow = arrow or pa.schema([batch.schema.field(c) for c in kept] + added)
-            chunks, codes = [], []
-            for text in batch.column(text_col).to_pylist():
-                chunks.append(chunk)
-                codes.append(_packed([seen.setdefault(w, len(seen)) for w in cut(text or "")]))
+            rows, codes, first = batch.select(kept), [], 0
+            for i, text in enumerate(batch.column(text_col).to_pylist(), 1):
+                codes.append(np.array([seen.setdefault(w, len(seen)) for w in cut(text or "")], np.int32))
                 size += len(text or "")
                 if len(seen) >= 1 << _BITS:
                     raise ValueError(f"a text of more than {1 << _BITS} distinct words")
                 if size >= CHUNK:
-                    yield words()
-                    chunk, seen, size = chunk + 1, {}, 0
-            n = len(codes)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(chunks, pa.int64()), pa.array(codes, pa.binary()),
-                                              *(pa.nulls(n, kind) for _, kind in added[2:])], schema=arrow)
-        if seen:
-            yield words()
+                    parts.append((rows.slice(first, i - first), codes))
+                    yield from finished()
+                    chunk, seen, size, parts, codes, first = chunk + 1, {}, 0, [], [], i
+            if codes:
+                parts.append((rows.slice(first), codes))
+        if parts:
+            yield from finished()
 
     columns = list(dict.fromkeys([*kept, text_col]))
-    return materialize(docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(code, schema), "bpe-codes")
+    return _by_chunk(docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(code, schema))
 
 
 def _folded(pairs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -246,30 +279,38 @@ def _folded(pairs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[str], finish: Callable, schema: str) -> DataFrame:
     """``finish(ids, decoded)`` of every text, beside ``kept``: its ids between commas, and the bytes that they decode to."""
     coded = _coded(docs, vocabulary, text_col, kept)
-    words = coded.where("__bucket >= 0").select(F.col("__bucket").alias("bucket"), F.col("__chunk").alias("chunk"), "__words", "__numbers").repartition("bucket")
-    pairs = words.select("bucket", "chunk", F.explode(F.arrays_zip(F.col("__words").alias("word"), F.col("__numbers").alias("number"))).alias("w"))
-    pairs = _folded(pairs.select("bucket", "chunk", "w.word", "w.number"), vocabulary)
-    # still by bucket: a chunk's ids of one bucket go back as one row
-    back = pairs.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("number", "ids")).alias("w")).select("chunk", F.col("w.number").alias("numbers"), F.col("w.ids").alias("ids"))
-    long = coded.where("__bucket = -1").select(F.col("__chunk").alias("chunk"), F.col("__numbers").alias("numbers"), F.col("__words").alias("ids"))
+    words = coded.where("__bucket >= 0").select(F.col("__bucket").alias("bucket"), F.col("__chunk").alias("chunk"), "__words").repartition("bucket")
+    pairs = words.select("bucket", "chunk", F.posexplode(F.from_json("__words", "array<string>")).alias("place", "word"))
+    pairs = _folded(pairs, vocabulary)
+    # still by bucket: a chunk's ids of one bucket go back as one row, in the order of its words
+    placed = F.sort_array(F.collect_list(F.struct("place", "ids")))
+    back = pairs.groupBy("bucket", "chunk").agg(placed.alias("w")).select("chunk", "bucket", F.array_join("w.ids", " ").alias("ids"))
     pieces = vocabulary.binary_pieces
 
-    def put(texts: pa.Table, words: pa.Table) -> pa.Table:
-        numbers, found = (words.column(c).combine_chunks().flatten().to_pylist() for c in ("numbers", "ids"))
-        ids, back = [""] * len(numbers), [b""] * len(numbers)
-        for number, x in zip(numbers, found, strict=True):
-            ids[number], back[number] = x, b"".join([pieces[int(i)] for i in x.split(",")])
-        rows = []
-        for codes in texts.column("__codes").to_pylist():
-            row = _unpacked(codes)
-            rows.append(finish(",".join([ids[c] for c in row]), b"".join([back[c] for c in row])))
+    def put(own: pa.Table, back: pa.Table) -> pa.Table:
+        bucket = own.column("__bucket")
+        texts, listed = own.filter(pc.is_null(bucket)), own.filter(pc.is_valid(bucket))
+        found = dict(zip(back.column("bucket").to_pylist(), back.column("ids").to_pylist(), strict=True))
+        numbers = {b: _unpacked(x) for b, x in zip(listed.column("__bucket").to_pylist(), listed.column("__numbers").to_pylist(), strict=True)}
+        of = {b: x for b, x in zip(listed.column("__bucket").to_pylist(), listed.column("__words").to_pylist(), strict=True) if b < 0}
+        n = sum(map(len, numbers.values()))
+        ids, decoded = [""] * n, [b""] * n
+        for b, places in numbers.items():
+            for number, x in zip(places, json.loads(of[b]) if b < 0 else found[b].split(" "), strict=True):
+                ids[number], decoded[number] = x, b"".join([pieces[int(i)] for i in x.split(",")])
+        texts = texts.sort_by("__at")
+        codes = [c for x in texts.column("__codes").to_pylist() if x is not None for c in _unpacked(x)]
+        rows, at = [], 0
+        for k in texts.column("__n").to_pylist():
+            row, at = codes[at: at + k], at + k
+            rows.append(finish(",".join([ids[c] for c in row]), b"".join([decoded[c] for c in row])))
         made = [pa.array(list(x)) for x in zip(*rows, strict=True)]
         return pa.Table.from_arrays([*[texts.column(c) for c in kept], *made], schema=arrow) if rows else arrow.empty_table()
 
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     arrow = to_arrow_schema(_parse_datatype_string(f"struct<{kept_schema}, {schema}>"))
-    texts = coded.where("__bucket IS NULL").select(*[F.col(f"`{c}`") for c in kept], "__chunk", "__codes")
-    return texts.groupBy("__chunk").cogroup(back.unionAll(long).groupBy("chunk")).applyInArrow(put, f"{kept_schema}, {schema}")
+    own = coded.withColumn("__words", F.expr("CASE WHEN __bucket < 0 THEN __words END"))
+    return own.groupBy("__chunk").cogroup(back.groupBy("chunk")).applyInArrow(put, f"{kept_schema}, {schema}")
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

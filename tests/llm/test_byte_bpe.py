@@ -84,3 +84,20 @@ def test_other_columns_stay(spark):
     df = spark.createDataFrame([(1, "a b", "old", [1, 2], None), (2, None, "old", None, 2.5)], "number int, text string, ids string, word array<int>, chunk double")
     got = {r.number: r for r in encode_texts(df, Vocabulary(RANKS, P.PATTERN)).collect()}
     assert got[1].word == [1, 2] and got[2].chunk == 2.5 and got[2].ids == "" and got[1].ids != "old" and got[1].text == "a b"
+
+
+def test_texts_stay_where_they_are_written(spark):
+    """Only words and their ids are shuffled; the texts' side of the cogroup is read in buckets by chunk."""
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    plan = token_digests(df, Vocabulary(RANKS, P.PATTERN))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 2 and not any("__codes" in line for line in exchanges)
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(chunk" in plan and "hashpartitioning(__chunk" not in plan
+
+
+def test_texts_of_a_chunk_are_packed_together(spark):
+    rows = [(i, f"some words {i % 5} and more of them") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    coded = byte_bpe._coded(df, Vocabulary(RANKS, P.PATTERN), "text", ["id"])
+    texts = coded.where("__bucket IS NULL")
+    assert texts.count() == 200 and texts.where("__codes IS NOT NULL").count() < 20
