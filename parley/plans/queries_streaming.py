@@ -7,6 +7,8 @@ job drains the folder and stops; the queries return what the sinks wrote.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from parley import schemas as S
@@ -40,6 +42,15 @@ VALID_SQL = f"""{RESPONSE_SQL},
 valid AS (SELECT * FROM sent WHERE event_id % 13 NOT BETWEEN 1 AND 4)"""
 
 
+#: Rows of a dropped file of payloads, of about 1 KB each.
+PAYLOAD_ROWS = 50_000
+
+
+def _files_each(rows: int, parts: int, file_rows: int = PAYLOAD_ROWS) -> int:
+    """Files for each of ``parts`` equal parts of so many rows, so that no file (nor its writer) grows with the input."""
+    return max(1, math.ceil(rows / parts / file_rows))
+
+
 def _run_ingest(spark, sf_dir, with_partials: bool = False, parts: int | None = None):
     """Ingest the damaged payloads, in one micro-batch or dealt over ``parts`` of them."""
     drop = scratch_path(spark, "drop")
@@ -196,10 +207,12 @@ SELECT {", ".join(SCALAR_COLUMNS)} FROM valid""")
 def redelivered_files(spark, sf_dir):
     """The same files under two checkpoints, with a compaction between and a new file in the second: each record once."""
     store, drop = scratch_path(spark, "store"), scratch_path(spark, "drop")
-    payloads = damaged_payloads(load_table(spark, sf_dir, "events"))
+    events = load_table(spark, sf_dir, "events")
+    files = 2 * _files_each(events.count(), 4)      # of a part, and of a micro-batch
     for part in range(2):
-        payloads.where(F.pmod(F.col("event_id"), F.lit(2)) == part).select("value").repartition(2).write.mode("append").text(drop)
-        ingest_responses(text_stream(spark, drop, max_files_per_trigger=2, provenance=True), store, scratch_path(spark, "ckpt"),
+        sent = events.where(F.pmod(F.col("event_id"), F.lit(2)) == part).repartition(files)
+        damaged_payloads(sent).select("value").write.mode("append").text(drop)
+        ingest_responses(text_stream(spark, drop, max_files_per_trigger=files, provenance=True), store, scratch_path(spark, "ckpt"),
                          trigger={"availableNow": True}).awaitTermination()
         if part == 0:
             compact_messages(spark, store, 0)
