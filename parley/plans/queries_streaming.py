@@ -42,8 +42,8 @@ VALID_SQL = f"""{RESPONSE_SQL},
 valid AS (SELECT * FROM sent WHERE event_id % 13 NOT BETWEEN 1 AND 4)"""
 
 
-#: Rows of a dropped file of payloads, of about 1 KB each.
-PAYLOAD_ROWS = 50_000
+#: Rows of a dropped file: payloads of about 1 KB each, flat messages.
+PAYLOAD_ROWS, MESSAGE_ROWS = 50_000, 250_000
 
 
 def _files_each(rows: int, parts: int, file_rows: int = PAYLOAD_ROWS) -> int:
@@ -250,9 +250,14 @@ def stream_hourly(spark, sf_dir):
     """Closed hours, days and weeks of a stream in three micro-batches, with late rows before and after closing."""
     drop, out = scratch_path(spark, "drop"), scratch_path(spark, "totals")
     events = load_table(spark, sf_dir, "events")
-    for k in range(3):   # one file each; the source takes the older first
-        messages_from_events(events.where(F.expr(ARRIVAL) == k)).coalesce(1).write.parquet(f"{drop}/part{k}")
-    stream = spark.readStream.schema(S.MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{drop}/*")
+    sizes = {r.batch: r["count"] for r in events.groupBy(F.expr(ARRIVAL).alias("batch")).count().collect()}
+    # as many files each, none of them empty; the source takes the older first
+    files = max(1, min(_files_each(sum(sizes.values()), 1, MESSAGE_ROWS), *(sizes.get(k, 0) // 1000 for k in range(3))))
+    for k in range(3):
+        rows = events.where(F.expr(ARRIVAL) == k)
+        rows = rows.repartition(files) if files > 1 else rows.coalesce(1)
+        messages_from_events(rows).write.parquet(f"{drop}/part{k}")
+    stream = spark.readStream.schema(S.MESSAGE).option("maxFilesPerTrigger", files).parquet(f"{drop}/*")
     ingest_totals(stream, out, scratch_path(spark, "ckpt"), trigger={"availableNow": True}).awaitTermination()
     return spark.read.parquet(out).select("grain", F.col("bucket").cast("timestamp_ntz").alias("bucket"),
                                           "users", "conversations", "messages", "resolved", "escalated")

@@ -31,3 +31,12 @@ def test_redelivered_files_do_not_grow(spark, tmp_path, monkeypatch):
     ok = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 13 NOT BETWEEN 1 AND 4").count()
     assert rows.count() == ok
     assert len(files()[0]) == 12 and all(sum(1 for _ in open(f)) <= 700 for f in files()[0])
+
+
+def test_hourly_files_do_not_grow(spark, tmp_path, monkeypatch):
+    sf, files = _events(spark, tmp_path, 40_000), _dropped(monkeypatch, tmp_path)
+    whole = sorted(map(tuple, Q.stream_hourly(spark, sf).collect()))
+    monkeypatch.setattr(Q, "_files_each", lambda rows, parts, file_rows: 3)
+    monkeypatch.setattr(Q, "ARRIVAL", "CASE WHEN day(ts) > 20 THEN 1 WHEN event_id % 5 = 0 THEN 2 ELSE 0 END")
+    Q.stream_hourly(spark, sf).count()
+    assert whole and len(files()[0]) == 3 and len(files()[1]) == 9
