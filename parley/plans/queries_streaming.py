@@ -54,9 +54,11 @@ def _files_each(rows: int, parts: int, file_rows: int = PAYLOAD_ROWS) -> int:
 def _run_ingest(spark, sf_dir, with_partials: bool = False, parts: int | None = None):
     """Ingest the damaged payloads, in one micro-batch or dealt over ``parts`` of them."""
     drop = scratch_path(spark, "drop")
-    payloads = damaged_payloads(load_table(spark, sf_dir, "events")).select("value")
-    (payloads.repartition(parts) if parts else payloads).write.text(drop)
-    files = 1 if parts else None
+    events, files = load_table(spark, sf_dir, "events"), None
+    if parts:      # the events are dealt, not the payloads made of them, which are many times their size
+        files = _files_each(events.count(), parts)
+        events = events.repartition(parts * files)
+    damaged_payloads(events).select("value").write.text(drop)
     store, quarantine = scratch_path(spark, "store"), scratch_path(spark, "quarantine")
     log = scratch_path(spark, "partials")
     sinks = Sinks(partials=partials_sink(log, time_zone="UTC")) if with_partials else None

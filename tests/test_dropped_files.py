@@ -40,3 +40,12 @@ def test_hourly_files_do_not_grow(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "ARRIVAL", "CASE WHEN day(ts) > 20 THEN 1 WHEN event_id % 5 = 0 THEN 2 ELSE 0 END")
     Q.stream_hourly(spark, sf).count()
     assert whole and len(files()[0]) == 3 and len(files()[1]) == 9
+
+
+def test_measures_are_dealt_over_three_batches(spark, tmp_path, monkeypatch):
+    sf, files = _events(spark, tmp_path), _dropped(monkeypatch, tmp_path)
+    monkeypatch.setattr(Q, "PAYLOAD_ROWS", 500)
+    _, _, log = Q._run_ingest(spark, sf, with_partials=True, parts=3)
+    assert len(files()[0]) == 12
+    assert {r.batch_id for r in Q.read_log(spark, log).selectExpr("_metadata.file_path AS p").selectExpr(
+        "regexp_extract(p, 'batch_id=([0-9]+)', 1) AS batch_id").distinct().collect()} == {"0", "1", "2"}
