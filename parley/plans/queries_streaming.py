@@ -46,7 +46,7 @@ valid AS (SELECT * FROM sent WHERE event_id % 13 NOT BETWEEN 1 AND 4)"""
 PAYLOAD_ROWS, MESSAGE_ROWS = 50_000, 250_000
 
 
-def _files_each(rows: int, parts: int, file_rows: int = PAYLOAD_ROWS) -> int:
+def _files_each(rows: int, parts: int, file_rows: int) -> int:
     """Files for each of ``parts`` equal parts of so many rows, so that no file (nor its writer) grows with the input."""
     return max(1, math.ceil(rows / parts / file_rows))
 
@@ -56,7 +56,7 @@ def _run_ingest(spark, sf_dir, with_partials: bool = False, parts: int | None =
     drop = scratch_path(spark, "drop")
     events, files = load_table(spark, sf_dir, "events"), None
     if parts:      # the events are dealt, not the payloads made of them, which are many times their size
-        files = _files_each(events.count(), parts)
+        files = _files_each(events.count(), parts, PAYLOAD_ROWS)
         events = events.repartition(parts * files)
     damaged_payloads(events).select("value").write.text(drop)
     store, quarantine = scratch_path(spark, "store"), scratch_path(spark, "quarantine")
@@ -210,7 +210,7 @@ def redelivered_files(spark, sf_dir):
     """The same files under two checkpoints, with a compaction between and a new file in the second: each record once."""
     store, drop = scratch_path(spark, "store"), scratch_path(spark, "drop")
     events = load_table(spark, sf_dir, "events")
-    files = 2 * _files_each(events.count(), 4)      # of a part, and of a micro-batch
+    files = 2 * _files_each(events.count(), 4, PAYLOAD_ROWS)      # of a part, and of a micro-batch
     for part in range(2):
         sent = events.where(F.pmod(F.col("event_id"), F.lit(2)) == part).repartition(files)
         damaged_payloads(sent).select("value").write.mode("append").text(drop)
