@@ -101,3 +101,40 @@ def test_texts_of_a_chunk_are_packed_together(spark):
     coded = byte_bpe._coded(df, Vocabulary(RANKS, P.PATTERN), "text", ["id"])
     texts = coded.where("__bucket IS NULL")
     assert texts.count() == 200 and texts.where("__codes IS NOT NULL").count() < 20
+
+
+def test_the_vocabulary_is_not_in_the_plan(spark):
+    """Ranks come by a subquery: no text of the plan holds them, and no row carries them."""
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    made = token_digests(df, Vocabulary(RANKS, P.PATTERN))._jdf.queryExecution()
+    assert len(made.toString()) < 200_000
+    plan = made.executedPlan().toString()
+    assert "Subquery" in plan
+    carried = [line for line in plan.splitlines() if "__maps#" in line or " AS maps#" in line]
+    assert all("LocalTableScan" in line for line in carried)
+
+
+def test_the_fold_copies_no_arrays(spark):
+    """A step cuts and joins strings: Spark's slices and concatenations of arrays take twice its time."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = token_digests(df, Vocabulary(RANKS, P.PATTERN))._jdf.queryExecution().analyzed().toString()
+    assert "overlay(" in plan and "slice(" not in plan
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"[^\p{N}\p{L}\s]+|\S", r"\p{Lu}\p{Ll}*|\s+(?=\p{Nd})", r"(?i)ß|\w+", r"\d+|[[a-z]--[b]]"])
+def test_words_are_cut_as_by_regex(pattern):
+    import regex
+    blanks = byte_bpe._with_blanks(pattern)
+    cut, texts = byte_bpe._cutter(blanks), strange(200) + ["", "a😀b", "𝐀1 𝟘x"]
+    texts += ["".join(map(chr, range(a, a + 64))) + "x 1" for a in [*range(0, 0xD800, 64), *range(0xE000, 0x11000, 64), *range(0x1D400, 0x1D800, 64)]]
+    for text in texts:
+        assert cut(text) == regex.findall(blanks, text)
+
+
+def test_texts_without_words_beside_others(spark, library):
+    """Empty texts first, last and alone, and more texts in a chunk than are put together at a time."""
+    rows = [(i, None if i % 3 == 0 else f"{i} word" * (i % 7)) for i in range(200)] + [(200, "")]
+    for some in (rows, rows[:1]):
+        df = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        got = [tuple(r) for r in token_digests(df, Vocabulary(RANKS, P.PATTERN)).collect()]
+        assert sorted(got) == [(i, *expected(library, t)) for i, t in some]
