@@ -124,18 +124,20 @@ class Vocabulary:
 
     def maps(self, spark: SparkSession) -> Column:
         """A subquery: by hash, the characters of whole tokens, and of the pairs that make one."""
-        entries = []
-        for token, rank in self.ranks.items():
-            entries.append((token.decode("latin-1"), self._char(rank)))
-            for i in range(1, len(token)):
-                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if left is not None and right is not None:
-                    entries.append((self._char(left) + self._char(right), self._char(rank)))
-        place = np.array([xxhash.xxh64_intdigest(key.encode(), seed=42) & (RANK_MAPS - 1) for key, _ in entries], np.int64)
+        def entries() -> Iterator[tuple[str, int]]:
+            for token, rank in self.ranks.items():
+                yield token.decode("latin-1"), rank
+                for i in range(1, len(token)):
+                    left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                    if left is not None and right is not None:
+                        yield self._char(left) + self._char(right), rank
+
+        keys = pa.array((key for key, _ in entries()), pa.string())
+        place = np.fromiter((xxhash.xxh64_intdigest(key.encode(), seed=42) & (RANK_MAPS - 1) for key, _ in entries()), np.int64, len(keys))
+        chars = pa.array((self._char(rank) for _, rank in entries()), pa.string())
         order = np.argsort(place, kind="stable")
         starts = np.searchsorted(place[order], np.arange(RANK_MAPS + 1)).astype(np.int32)
-        keys, chars = (pa.array([entries[i][k] for i in order], pa.string()) for k in (0, 1))
-        maps = pa.MapArray.from_arrays(pa.array(starts), keys, chars)
+        maps = pa.MapArray.from_arrays(pa.array(starts), keys.take(order), chars.take(order))
         return spark.createDataFrame(pa.table({"maps": pa.ListArray.from_arrays(pa.array([0, RANK_MAPS], pa.int32()), maps)})).scalar()
 
     @staticmethod

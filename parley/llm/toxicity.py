@@ -89,9 +89,13 @@ def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.nd
     leaves among the others is held down by ``l2``.  ``least_z`` may ask for that
     many standard deviations as well.  ``weight`` is one for each document.
     """
-    held = [np.unique(w) for w in words]
-    often = np.bincount(np.concatenate(held), minlength=1 << bits)
-    marked = np.bincount(np.concatenate([h for h, y in zip(held, label, strict=True) if y == 1]), minlength=1 << bits)
+    # one document at a time: only the buckets that tell are copied
+    often, marked = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for w, y in zip(words, label, strict=True):
+        held = np.unique(w)
+        often[held] += 1
+        if y == 1:
+            marked[held] += 1
     share = label.mean()
     seen = telling(often, marked, share, chance)
     seen &= marked - often * share >= least_z * np.sqrt(np.maximum(often * share * (1 - share), 1))
@@ -101,10 +105,12 @@ def fit_sentences(words: list[np.ndarray], sizes: list[np.ndarray], label: np.nd
     weight = np.ones(len(label)) if weight is None else weight / weight.mean()
     place = np.where(seen, np.cumsum(seen), 0).astype(np.int32)   # 0: buckets that are left out
     size = np.concatenate(sizes)
-    kept = [(place[w], np.repeat(np.arange(len(n), dtype=np.int32), n)) for w, n in zip(words, sizes, strict=True)]
     before = np.cumsum([0, *map(len, sizes)])
-    word = np.concatenate([p[p > 0] for p, _ in kept])
-    sentence = np.concatenate([s[p > 0] + a for (p, s), a in zip(kept, before[:-1], strict=True)])
+    kept = []
+    for w, n, a in zip(words, sizes, before[:-1], strict=True):
+        there = place[w] > 0
+        kept.append((place[w[there]], np.repeat(np.arange(len(n), dtype=np.int32), n)[there] + a))
+    word, sentence = (np.concatenate(x) for x in zip(*kept, strict=True))
     del kept
     document = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
     n, positive = int(place.max()) + 2, label[document] == 1
@@ -146,12 +152,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 250
 
     got = rows.select("text", "label").mapInArrow(hashed, "words binary, sizes binary, label int").toArrow()
     label = got.column("label").to_numpy().astype(float)
-    words = [np.frombuffer(x, np.int32) for x in got.column("words").to_pylist()]
-    sizes = [np.frombuffer(x, np.int32) for x in got.column("sizes").to_pylist()]
+    words, sizes = ([np.frombuffer(x.as_buffer(), np.int32) for x in got.column(c)] for c in ("words", "sizes"))    # views, no copies
     if len(set(label)) < 2 or not sum(map(len, words)):
         return ToxicityModel(np.zeros(1 << bits), -40.0)
-    return fit_sentences(words, sizes, label, bits=bits, steps=steps, rate=rate, l2=l2, leak=leak, chance=chance, least_z=least_z,
-                         weight=np.where(label == 1, weights[1], weights[0]))
+    model = fit_sentences(words, sizes, label, bits=bits, steps=steps, rate=rate, l2=l2, leak=leak, chance=chance, least_z=least_z,
+                          weight=np.where(label == 1, weights[1], weights[0]))
+    del got, words, sizes
+    pa.default_memory_pool().release_unused()     # the driver goes on without the sample
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,

@@ -66,3 +66,22 @@ def test_query_on_held_out_labels(spark):
     right = sum(got[i].predicted == y for i, y in labels)
     assert right / len(labels) > 0.97
     assert sum(got[i].predicted for i, y in labels if y == 0) / len(labels) < 0.01
+
+
+def test_fitting_copies_only_words_that_tell():
+    """The driver holds the sample's words once; of the rest it keeps counts."""
+    import tracemalloc
+
+    from parley.llm.toxicity import fit_sentences
+    rnd = np.random.default_rng(4)
+    label = (np.arange(400) % 4 == 0).astype(float)
+    words = [rnd.integers(8, 1 << 12, 3000).astype(np.int32) for _ in label]
+    for w, y in zip(words, label, strict=True):
+        w[5:5 + int(y)] = 7
+    sizes = [np.full(10, 300, np.int32) for _ in label]
+    tracemalloc.start()
+    model = fit_sentences(words, sizes, label, bits=12, steps=20, rate=0.2, l2=0.1, leak=0.05, chance=0.01)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(w.nbytes for w in words)
+    assert model.weights[7] > 0 and (model.weights != 0).sum() == 1
