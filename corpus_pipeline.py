@@ -41,8 +41,8 @@ def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows whose text the model calls toxic, whatever their id."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    rows, key = _by_text(docs)
-    return _without(rows, score_toxicity(rows, model, id_col=key).where("predicted = 1"), key)
+    # the verdict comes with the row: no text is shuffled
+    return score_toxicity(docs, model, row_col="row").where("predicted = 0").select("row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

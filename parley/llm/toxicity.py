@@ -16,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from parley.llm.arrays import LOWER, byte_mask, doc_bytes, slices, span_hasher, word_spans
+from parley.llm.arrays import LOWER, byte_mask, doc_bytes, owner, slices, span_hasher, word_spans
 from parley.llm.learning import adam, fold_of, sample_by_label, sigmoid
 
 #: Words: ASCII letters and digits and every byte of other scripts.
 _WORD = byte_mask(drop=[(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 PREFIXES = (4, 5, 6, 7, 8)
+#: Bytes of text hashed at once: a worker needs some 40 times as much, and keeps part of it for later stages.
+SLICE_BYTES = 1 << 20
 _PART = 0xA5A5A5A5A5A5A5A5   # tells the first bytes of a word from a word of these bytes
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -34,10 +37,9 @@ class ToxicityModel:
     bias: float
 
     def probabilities(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each sentence, given its words' buckets and the first word of each (n+1 entries)."""
-        sums = np.zeros(len(buckets) + 1)
-        np.cumsum(self.weights[buckets], out=sums[1:])
-        return sigmoid(sums[first[1:]] - sums[first[:-1]] + self.bias)
+        """Of each sentence, given its words' buckets and the first word of each (n+1 entries); the words beside it make no difference."""
+        sums = np.add.reduceat(self.weights[buckets], first[:-1]) if len(buckets) else np.zeros(0)
+        return sigmoid(sums + self.bias)
 
 
 def sentence_words(texts: pa.Array, bits: int) -> tuple[np.ndarray, ...]:
@@ -141,7 +143,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 250
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 buckets, first, docs_at, *_ = sentence_words(part.column("text"), bits)
                 words = [buckets[first[a]: first[b]].astype(np.int32).tobytes()
                          for a, b in zip(docs_at[:-1], docs_at[1:], strict=True)]
@@ -162,29 +164,29 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 250
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5, id_col: str = "doc_id",
+                   text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Add ``score``, ``predicted`` and ``offending`` to (id, text) of ``docs``.
 
     ``offending`` holds the sentences whose own probability reaches ``threshold``:
     (first byte, end byte, probability, text).  A null or empty text has no
-    sentence, score 0 and predicted 0; repeated rows are scored each; an empty
-    table gives an empty result; other columns are ignored.
+    sentence, score 0 and predicted 0; repeated rows are scored each, equal texts alike; an empty
+    table gives an empty result; other columns are ignored, unless ``row_col`` names a
+    struct in which the whole row comes back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
     bits = int(np.log2(len(model.weights)))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("probability", pa.float64()), ("text", pa.string())]))
+    # by number, as names may be any; the text goes to the workers once
+    beside = {c: f"c{i}" for i, c in enumerate(docs.columns if row_col else [id_col]) if c != text_col or not row_col}
+    back = [*beside.values()] + ["text"] * bool(row_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 buckets, first, docs_at, start, stop, offsets = sentence_words(part.column("text"), bits)
                 p = shared.value.probabilities(buckets, first)
-                sums = np.zeros(len(p) + 1)
-                np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)), out=sums[1:])
-                score = 1 - np.exp(sums[docs_at[1:]] - sums[docs_at[:-1]])
-                score[docs_at[1:] == docs_at[:-1]] = 0.0
+                score = 1 - np.exp(np.bincount(owner(docs_at), np.log1p(-np.minimum(p, 1 - 1e-12)), len(part)))
                 found = [[] for _ in range(len(part))]
                 for s in np.flatnonzero(p >= threshold):
                     d = int(np.searchsorted(offsets, start[s], side="right")) - 1
@@ -193,10 +195,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
                     found[d].append({"start": a, "stop": b, "probability": float(p[s]),
                                      "text": body[a:b].decode("utf-8", "replace")})
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.clip(score, 0, 1)), pa.array(found, spans)], ["id", "score", "offending"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(
-        run, f"id {kind}, score double, offending array<struct<start:long,stop:long,probability:double,text:string>>")
-    return scored.select(F.col("id").alias(id_col), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
+                    [*(part.column(c) for c in back), pa.array(np.clip(score, 0, 1)), pa.array(found, spans)], [*back, "score", "offending"])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in beside.items()], F.col(f"`{text_col}`").alias("text"))
+    span = StructType([StructField("start", LongType()), StructField("stop", LongType()),
+                       StructField("probability", DoubleType()), StructField("text", StringType())])
+    scored = rows.mapInArrow(run, StructType([*(StructField(c, rows.schema[c].dataType) for c in back),
+                                              StructField("score", DoubleType()), StructField("offending", ArrayType(span))]))
+    named = {c: F.col(beside.get(c, "text")).alias(c) for c in [id_col, *docs.columns]}
+    whole = [F.struct(*[named[c] for c in docs.columns]).alias(row_col)] if row_col else []
+    return scored.select(named[id_col], "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending", *whole)

@@ -31,6 +31,21 @@ def test_toxic_rows_go_whatever_their_id(spark, tables):
     assert sorted(str(r.doc_id) for r in out if r.text == CLEAN) == ["-5", "None"] and None in [r.text for r in out]
 
 
+def test_toxic_rows_go_without_a_shuffle_of_texts(spark):
+    """Whole rows pass the model; names that the operator uses itself are theirs."""
+    from pyspark.sql import Row
+    kind = "score double, text string, row struct<text:string>, `a.b` array<int>, doc_id long, predicted string, c0 int"
+    rows = [(0.5, CLEAN, Row(text="x"), [1, None], 3, "p", 7), (0.5, CLEAN, Row(text="x"), [1, None], 3, "p", 7),
+            (None, None, None, None, None, None, None), (float("nan"), "", Row(text=None), [], 4, "1", 0)]
+    df = spark.createDataFrame(rows, kind)
+    out = corpus_pipeline.toxicity(spark, df, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+    assert corpus_pipeline.toxicity(spark, df.limit(0), SF).collect() == []
+
+
 def test_contaminated_rows_go_whatever_their_id(spark, tables):
     passage = max((r.text for r in tables[2].collect()), key=len)
     df = spark.createDataFrame([(None, passage, "en"), (5, passage, "en"), (5, CLEAN, "en"), (None, CLEAN, "en")], COLUMNS)

@@ -35,6 +35,18 @@ def test_scores_equal_brute_force(spark):
     assert score_toxicity(df.limit(0), model).collect() == []
 
 
+def test_equal_texts_score_alike_wherever_they_stand(spark):
+    """Also where a task's rows are cut into slices; the whole row comes back beside the verdict."""
+    rng = np.random.default_rng(2)
+    model = ToxicityModel(rng.normal(0, 1, 1 << BITS), -4.0)
+    text = "Good day, my friend. You are late again! What a morning."
+    rows = [(i, text if i % 3 else " ".join(map(str, rng.integers(0, 9999, 2000))) + ".", "x") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = score_toxicity(df, model, row_col="whole").collect()
+    assert len({r.score for r in got if r.doc_id % 3}) == 1
+    assert sorted(tuple(r.whole) for r in got) == rows and all(r.whole.doc_id == r.doc_id for r in got)
+
+
 def test_offending_sentences_are_located(spark):
     texts = [("all is well here. " if i % 2 else "fine day. You utter blockhead! é ende. ") * (1 + i % 3) + f"w{i}" for i in range(600)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
