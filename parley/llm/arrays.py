@@ -7,7 +7,7 @@ characters.  ``slices`` bounds what one step works on, so memory follows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,15 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
             yield batch.slice(a, b - a)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at the end of a task Arrow's pool gives back what it keeps, as the worker lives on through later stages."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def doc_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets of n+1 entries); a null is an empty text."""
     filled = pc.fill_null(column.cast(pa.large_binary()), b"")

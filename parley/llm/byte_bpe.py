@@ -44,6 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
+from parley.llm.arrays import released
 from parley.session import scratch_path
 
 RANK_MAPS = 1 << 16
@@ -291,6 +292,7 @@ def _coded(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: list[st
     added = [("__chunk", pa.int64()), ("__at", pa.int32()), ("__n", pa.int32()), ("__codes", pa.binary()),
              ("__bucket", pa.int32()), ("__words", pa.string()), ("__numbers", pa.binary())]
 
+    @released
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbering() -> defaultdict[str, int]:
             found = defaultdict()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.arrays import LOWER, byte_mask, doc_bytes, slices, span_hashes, word_spans
+from parley.llm.arrays import LOWER, byte_mask, doc_bytes, released, slices, span_hashes, word_spans
 from parley.plans.stages import materialize
 
 #: Words, after A-Z are lower-cased: digits, letters and every byte of other scripts.
@@ -78,6 +78,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", shard_bytes):
@@ -110,6 +111,7 @@ def term_frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
     """Occurrences in the whole corpus of each test term, read off the list lengths."""
     wanted = index.sparkSession.sparkContext.broadcast(np.unique(terms))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted.value), np.int64)
         for batch in batches:
@@ -262,6 +264,7 @@ def proximity_matches(index: DataFrame, terms: list[str], *, span: int, id_col:
     frequency = term_frequencies(index, tokens)
     wanted = sorted((int(t) for t in tokens), key=lambda t: frequency.get(t, 0))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, shard in _shards(batches):
             pivots = shard.postings(wanted[0])

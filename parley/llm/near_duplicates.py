@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.arrays import BLANK_SPLIT, LOWER, doc_bytes, mix, owner, slices, span_hashes, word_spans
+from parley.llm.arrays import BLANK_SPLIT, LOWER, doc_bytes, mix, owner, released, slices, span_hashes, word_spans
 from parley.llm.components import components
 from parley.llm.quality import grams
 from parley.llm.suffix_index import compressed
@@ -133,6 +133,7 @@ def sketches(docs: DataFrame, k: int, *, id_col: str, text_col: str) -> DataFram
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -161,6 +162,7 @@ def band_members(classes: DataFrame, width: int) -> DataFrame:
     """
     kind = classes.schema["id"].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
@@ -183,6 +185,7 @@ def rare_shingles(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """
     kind = texts.schema["id"].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked(batch):
@@ -218,6 +221,7 @@ def plausible_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataF
     kind = classes.schema["id"].dataType.simpleString()
     joined = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -238,6 +242,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     asked = materialize(texts.join(wanted, "id", "left_semi"), "pair-texts")
     side = lambda x: asked.select(F.col("id").alias(x), F.col("frame").alias(f"f{x}"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         members = lambda frame: shingle_sets(pa.array([unpack(frame)], pa.binary()), k)[0]
@@ -266,6 +271,7 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     kind = texts.schema["id"].dataType.simpleString()
     bits = [f"d{i}" for i in range(WORDS)]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         held, left = None, None

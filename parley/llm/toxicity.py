@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from parley.llm.arrays import LOWER, byte_mask, doc_bytes, owner, slices, span_hasher, word_spans
+from parley.llm.arrays import LOWER, byte_mask, doc_bytes, owner, released, slices, span_hasher, word_spans
 from parley.llm.learning import adam, fold_of, sample_by_label, sigmoid
 
 #: Words: ASCII letters and digits and every byte of other scripts.
@@ -141,6 +141,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 250
     """
     rows, weights = sample_by_label(docs, labels, label_col, sample_rows, id_col=id_col, text_col=text_col, keep=fold_of("id") != 0)
 
+    @released
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -181,6 +182,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
     beside = {c: f"c{i}" for i, c in enumerate(docs.columns if row_col else [id_col]) if c != text_col or not row_col}
     back = [*beside.values()] + ["text"] * bool(row_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):

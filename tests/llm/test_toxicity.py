@@ -47,6 +47,25 @@ def test_equal_texts_score_alike_wherever_they_stand(spark):
     assert sorted(tuple(r.whole) for r in got) == rows and all(r.whole.doc_id == r.doc_id for r in got)
 
 
+def test_a_task_gives_back_what_arrow_keeps(monkeypatch):
+    """Also to later stages: the worker lives on."""
+    import pyarrow as pa
+
+    from parley.llm import arrays
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(len(given))
+
+    monkeypatch.setattr(arrays.pa, "default_memory_pool", Pool)
+    given = []
+    batches = [pa.record_batch({"x": [i]}) for i in range(3)]
+    for batch in arrays.released(lambda them: (b.slice(0) for b in them))(iter(batches)):
+        given.append(batch)
+    assert given == batches and calls == [3]
+
+
 def test_offending_sentences_are_located(spark):
     texts = [("all is well here. " if i % 2 else "fine day. You utter blockhead! é ende. ") * (1 + i % 3) + f"w{i}" for i in range(600)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
