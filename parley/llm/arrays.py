@@ -7,6 +7,7 @@ characters.  ``slices`` bounds what one step works on, so memory follows
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,10 @@ import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Powers are products of one within a block of so many bytes and one of the block.
+_BLOCK = 1 << 12
+#: Returns freed memory to the system, where the C library has it (glibc).
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -28,11 +32,18 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library keep of freed memory: a worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``; at the end of a task Arrow's pool gives back what it keeps, as the worker lives on through later stages."""
+    """``run`` for ``mapInArrow``; at the end of a task its worker gives back the freed memory."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return task
 
@@ -77,16 +88,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(out)
-        if size > 1 << 24:   # one very long text: do not keep its table
-            _powers.pop(kind)
-    return have[:n]
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_BASE_INV, _BLOCK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,16 +110,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 def span_hasher(data: np.ndarray):
     """A function (starts, ends) -> 64-bit hash of each byte span.
 
-    Polynomial prefix sums are made once; each hash is a difference of two, mixed
-    with the span's length.
+    Polynomial prefix sums are made once, in place, without tables as long as the data;
+    each hash is a difference of two, mixed with the span's length.
     """
     n = len(data)
+    whole = n // _BLOCK * _BLOCK
+    up, down = (_powers(np.uint64(pow(int(base), _BLOCK, 1 << 64)), n // _BLOCK + 1) for base in (_BASE, _BASE_INV))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=sums[1:])
-    down = _power("down", _BASE_INV, n + 1)
+    body = sums[1:]
+    np.add(data, np.uint64(1), out=body)
+    blocks = body[:whole].reshape(-1, _BLOCK)
+    blocks *= _UP
+    blocks *= up[:-1, None]
+    body[whole:] *= _UP[: n - whole] * up[-1]
+    np.cumsum(body, out=body)
 
     def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (sums[ends] - sums[starts]) * down[starts]
+        value = (sums[ends] - sums[starts]) * (_DOWN[starts % _BLOCK] * down[starts // _BLOCK])
         return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
     return hashes

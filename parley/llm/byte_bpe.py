@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from parley.llm.arrays import released
+from parley.llm.arrays import give_back, released
 from parley.session import scratch_path
 
 RANK_MAPS = 1 << 16
@@ -373,7 +373,7 @@ def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: lis
     back = pairs.groupBy("bucket", "chunk").agg(placed.alias("w")).select("chunk", "bucket", F.array_join("w.ids", " ").alias("ids"))
     binary_pieces = vocabulary.binary_pieces
 
-    def put(own: pa.Table, back: pa.Table) -> pa.Table:
+    def together(own: pa.Table, back: pa.Table) -> pa.Table:
         bucket = own.column("__bucket")
         texts, listed = own.filter(pc.is_null(bucket)).sort_by("__at"), own.filter(pc.is_valid(bucket))
         found = dict(zip(back.column("bucket").to_pylist(), back.column("ids").to_pylist(), strict=True))
@@ -403,6 +403,11 @@ def _assembled(docs: DataFrame, vocabulary: Vocabulary, text_col: str, kept: lis
         made = [pa.array(list(x)) for x in zip(*rows, strict=True)]
         return pa.Table.from_arrays([*[texts.column(c) for c in kept], *made], schema=arrow) if rows else arrow.empty_table()
 
+    def put(own: pa.Table, back: pa.Table) -> pa.Table:
+        made = together(own, back)
+        give_back()
+        return made
+
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     arrow = to_arrow_schema(_parse_datatype_string(f"struct<{kept_schema}, {schema}>"))
     own = coded.withColumn("__words", F.expr("CASE WHEN __bucket < 0 THEN __words END"))

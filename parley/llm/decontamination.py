@@ -201,6 +201,7 @@ def decontaminate(index: DataFrame, items: list[Phrase], *, window: int = 13, sh
         terms = {int(t): frequency.get(int(t), 0) for _, tokens, _ in part for t in tokens}
         shared = spark.sparkContext.broadcast((part, terms))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases, terms = shared.value
             for name, ids, shard in _shards(batches):

@@ -50,6 +50,8 @@ MANY = 32
 RARE = 4
 #: Words of 64 bits in the bitmap of a difference.
 WORDS = 8
+#: Bytes of text shingled at once: a worker needs many times as much.
+SLICE_BYTES = 1 << 19
 
 
 def band_rows(least: float) -> int:
@@ -136,7 +138,7 @@ def sketches(docs: DataFrame, k: int, *, id_col: str, text_col: str) -> DataFram
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 hashes, at = shingle_sets(part.column("text"), k)
                 signature = []
                 for salt in (3, 5):   # sums of mixed hashes do not depend on the order
@@ -204,13 +206,13 @@ def rare_shingles(texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(id, text) of a batch of (id, zstd frame), a few megabytes at a time."""
+    """(id, text) of a batch of (id, zstd frame), ``SLICE_BYTES`` at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
     texts, first, held = [], 0, 0
     for i, frame in enumerate(batch.column("frame")):
         texts.append(unpack(frame.as_py()))
         held += len(texts[-1])
-        if held > 2 << 20 or i + 1 == batch.num_rows:
+        if held > SLICE_BYTES or i + 1 == batch.num_rows:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(texts, pa.binary())], ["id", "text"])
             texts, first, held = [], i + 1, 0
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.arrays import doc_bytes, mix, owner, slices, span_hasher
+from parley.llm.arrays import doc_bytes, mix, owner, released, slices, span_hasher
 from parley.llm.decontamination import stretches
 from parley.plans.stages import materialize
 
@@ -183,6 +183,7 @@ def compressed(docs: DataFrame) -> DataFrame:
     """(id, text as a zstd frame), for texts that have to be shuffled."""
     kind = docs.schema["id"].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:

@@ -24,8 +24,8 @@ from parley.llm.learning import adam, fold_of, sample_by_label, sigmoid
 #: Words: ASCII letters and digits and every byte of other scripts.
 _WORD = byte_mask(drop=[(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 PREFIXES = (4, 5, 6, 7, 8)
-#: Bytes of text hashed at once: a worker needs many times as much, and keeps part of it for later stages.
-SLICE_BYTES = 1 << 20
+#: Bytes of text hashed at once: a worker needs many times as much.
+SLICE_BYTES = 1 << 19
 _PART = 0xA5A5A5A5A5A5A5A5   # tells the first bytes of a word from a word of these bytes
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
