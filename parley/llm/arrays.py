@@ -140,7 +140,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that start at each position (the last n-1 positions are left out)."""
     total = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for i in range(n):
-        total = mix(total + words[i: len(words) - n + 1 + i] * np.uint64(2 * i + 3))
+        total = mix(total + words[i: i + len(total)] * np.uint64(2 * i + 3))
     return total
 
 

@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm.components import components
-from parley.llm.near_duplicates import estimate, near_duplicates, registers
+from parley.llm.near_duplicates import estimate, near_duplicates, registers, shingle_sets
 
 
 def shingles(text, k):
@@ -132,3 +133,18 @@ def test_copies_off_their_head_still_meet(spark):
     rnd.shuffle(docs)
     check(spark, docs, 3, 85)
     check(spark, docs, 5, 80)
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 8, 13])
+def test_shingles_of_a_slice_with_few_words(k):
+    for counts in itertools.product([0, 1, 2, 3, 4, 7], repeat=2):
+        texts = [" ".join(f"w{i}" for i in range(n)) for n in counts]
+        for column in (texts, texts[:1]):
+            assert np.diff(shingle_sets(pa.array(column), k)[1]).tolist() == [len(shingles(t, k)) for t in column]
+
+
+def test_tasks_of_few_words(spark):
+    texts = [None, "", "a", "a b", "a b c", "c b a", "A  b c", "a b c d", "a b c d e", "a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(len(texts), "doc_id")
+    got = sorted(tuple(r) for r in near_duplicates(docs, k=5, percent=80).collect())
+    assert got == sorted(brute(list(enumerate(texts)), 5, 80))
