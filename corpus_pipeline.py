@@ -19,6 +19,15 @@ from parley.llm.toxicity import score_toxicity, train_toxicity
 from parley.plans.stages import materialize
 from parley.session import scratch_path
 
+#: Bytes of rows that go to a Python worker at once: a task holds them several times over, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES`` at most from now on in this session, unless it asks for smaller ones; rows stay the same."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def _fresh(docs: DataFrame, name: str) -> str:
     while name in docs.columns:
@@ -40,6 +49,7 @@ def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows whose text the model calls toxic, whatever their id."""
+    _bound_batches(spark)
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     # the verdict comes with the row: no text is shuffled
     return score_toxicity(docs, model, row_col="row").where("predicted = 0").select("row.*")
@@ -52,6 +62,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     words are in no group; of those that stand repeatedly under one id one stays.
     Among equal ids the order is that of digests of the text, then of the whole row.
     """
+    _bound_batches(spark)
     key = _fresh(docs, "__row")
     rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
     found = near_duplicates(rows.select(F.col(key).alias("row"), "text"), k=5, percent=80, id_col="row")

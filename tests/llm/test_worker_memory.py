@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parley.llm import arrays
 from parley.llm.near_duplicates import unpacked
 
@@ -71,3 +73,27 @@ def test_frames_are_unpacked_half_a_megabyte_at_a_time():
     assert [x for p in parts for x in p.column("text").to_pylist()] == texts
     assert [x for p in parts for x in p.column("id").to_pylist()] == list(range(70))
     assert max(sum(map(len, p.column("text").to_pylist())) for p in parts) <= (1 << 19) + max(map(len, texts))
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_duplicates"])
+@pytest.mark.parametrize("asked", [None, "1m"])
+def test_a_stage_sends_no_more_than_four_megabytes_at_once(spark, tmp_path, stage, asked):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(0, 0), (5, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(0, "a b c"), (5, "d e f")], "doc_id long, text string")
+    long = spark.range(0, 10000, 1, 1).select("id", F.repeat(F.lit("abcdefgh"), 250).alias("text"))     # 20 MB in one task
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    spark.conf.unset(key)
+    try:
+        if asked:
+            spark.conf.set(key, asked)
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path)).collect()
+        got = long.mapInArrow(sizes, "rows long, bytes long").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r.rows for r in got) == 10000
+    assert max(r.bytes for r in got) < (1.1e6 if asked else 4.3e6)
